@@ -1,5 +1,235 @@
-"""The registered queries of the core, by name."""
+"""The registered queries of the core, by name. Each reads the given tables whole; a search takes as its queries every
+citation whose id is divisible by 100, against all chunks."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafmill.functions import text as T
+from leafmill.operators import answer, chunker, encode, expand, rerank, search, sections, store
+from leafmill.tables import clean_type, stripped, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+SEEDS, CANDIDATES = 8, 25
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    """Each block once."""
+    return table(s, d, "blocks").drop("metadata_json", "ingested_at").dropDuplicates(["block_id"])
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    """The latest row of each chunk with an id and its title."""
+    c = store.latest(table(s, d, "chunk_records").filter("chunk_id IS NOT NULL"))
+    return c.withColumn("title", rerank.section_title_of(F.col("section_title"), F.col("heading"), F.col("section_key")))
+
+
+def doc_scan_filter(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").filter(F.col("doc_type").isin("pdf", "docx") & (F.col("n_chars") > 0)).select("doc_id", "doc_type", "source", "n_chars")
+
+
+def text_clean(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).select("block_id", T.clean_text("text").alias("clean"))
+
+
+def text_narrative(s: SparkSession, d: str) -> DataFrame:
+    n = T.narrative("text")
+    return _blocks(s, d).select("block_id", n.alias("line"), T.word_count(n).alias("n_words"))
+
+
+def text_sentence_end(s: SparkSession, d: str) -> DataFrame:
+    n = T.narrative("text")
+    return _blocks(s, d).select("block_id", F.right(T.sentence_end(n, False), F.lit(3)).alias("soft"), F.right(T.sentence_end(n, True), F.lit(3)).alias("forced"))
+
+
+def text_tokens(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).select("block_id", F.size(T.tokens("text")).alias("n_tokens"), T.token_estimate("text").alias("estimate"))
+
+
+def text_preview(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).select("block_id", T.preview("text").alias("preview"))
+
+
+def text_variants(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).select("block_id", T.page_normal("text").alias("page"), T.slide_normal("text").alias("slide"), T.content_part("text").alias("content"))
+
+
+def heading_prefix(s: SparkSession, d: str) -> DataFrame:
+    n = T.narrative("text")
+    return _blocks(s, d).select("block_id", T.heading_like(n).alias("heading_like"), sections.inferred_heading(clean_type("block_type"), F.col("text")).alias("inferred"))
+
+
+def joined_parts(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).select("block_id", T.join_parts(F.split(F.coalesce("text", F.lit("")), "\n")).alias("sentences"))
+
+
+def heading_body(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).select("chunk_id", T.with_heading("heading", F.split(F.coalesce("text", F.lit("")), "\n")).alias("rendered"))
+
+
+def retrieved_text(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).select("chunk_id", T.retrieved_text("text", "title").alias("repaired"))
+
+
+def block_counts(s: SparkSession, d: str) -> DataFrame:
+    b = _blocks(s, d)
+    return b.groupBy("doc_type", clean_type("block_type").alias("block_type")).agg(F.count("*").alias("n_blocks"), F.countDistinct("source_file").alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def file_counts(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).groupBy("source_file").agg(F.count("*").alias("n_blocks"), F.max("page_number").alias("last_page"), F.max("slide_number").alias("last_slide"), F.countDistinct("sheet_name").alias("n_sheets"))
+
+
+def heading_scores(s: SparkSession, d: str) -> DataFrame:
+    b = _blocks(s, d).filter("doc_type = 'docx'")
+    return b.select("block_id", T.heading_score("text").alias("score"))
+
+
+def heading_forward_fill(s: SparkSession, d: str) -> DataFrame:
+    b = _blocks(s, d).filter("doc_type = 'docx'")
+    w = Window.partitionBy("source_file").orderBy("order", "block_id")
+    is_heading = clean_type("block_type") == "heading"
+    return b.select("block_id", F.last(F.when(is_heading, F.col("text")), ignorenulls=True).over(w).alias("running_heading"))
+
+
+def section_islands(s: SparkSession, d: str) -> DataFrame:
+    got = sections.sections(sections.prepared(table(s, d, "blocks")))
+    return got.select("block_id", F.array_join("path", " > ").alias("section_key"), "section_id", "part", F.col("heading.block_id").alias("heading_id"))
+
+
+def section_summary(s: SparkSession, d: str) -> DataFrame:
+    got = sections.sections(sections.prepared(table(s, d, "blocks")))
+    ordered = F.array_sort(F.collect_list(F.struct("order", "block_id")))
+    return got.groupBy("source_file", "section_id").agg(
+        F.count("*").alias("n_blocks"), F.min("order").alias("order_start"), F.max("order").alias("order_end"), F.array_join(F.sort_array(F.collect_set("page_number")).cast("array<string>"), ",").alias("pages"), F.get(ordered, F.lit(0))["block_id"].alias("first_block")
+    )
+
+
+def label_dedupe(s: SparkSession, d: str) -> DataFrame:
+    """The labels of header blocks, repeated ones numbered."""
+    b = _blocks(s, d).filter(clean_type("block_type") == "header")
+    cells = b.select("block_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\A\s*columns:\s*", ""), r" \| ")).alias("column", "label")).withColumn("label", stripped("label"))
+    n = F.row_number().over(Window.partitionBy("block_id", "label").orderBy("column"))
+    return cells.select("block_id", "column", F.when(n == 1, F.col("label")).otherwise(F.concat("label", F.lit(" ("), n.cast("string"), F.lit(")"))).alias("label"))
+
+
+def slide_rollup(s: SparkSession, d: str) -> DataFrame:
+    """The text of each slide, images left out, shapes in order."""
+    b = _blocks(s, d).filter("doc_type = 'pptx' AND slide_number IS NOT NULL")
+    b = b.withColumn("kept", F.when((clean_type("block_type") != "image") & (stripped(F.coalesce("text", F.lit(""))) != ""), F.col("text")))
+    shapes = F.array_sort(F.collect_list(F.struct(F.coalesce("shape_index", F.lit(-1)).alias("i"), "block_id", "kept", F.try_element_at("section_path", F.lit(1)).alias("hint"))))
+    g = b.groupBy("source_file", "slide_number").agg(shapes.alias("x"))
+    texts = F.filter(F.transform("x", lambda x: x["kept"]), lambda t: t.isNotNull())
+    return g.select("source_file", "slide_number", F.get("x", F.lit(0))["hint"].alias("section_hint"), stripped(F.array_join(texts, "\n")).alias("text"))
+
+
+def sentence_split(s: SparkSession, d: str) -> DataFrame:
+    b = _blocks(s, d).filter("doc_type = 'docx'")
+    each = b.select("block_id", F.posexplode(F.split(T.clean_text("text"), r"(?<=[.!?])[\s\x0B\x1C-\x1F\x85\p{Z}]+")).alias("position", "sentence"))
+    return each.withColumn("sentence", stripped("sentence")).filter("sentence <> ''")
+
+
+def chunk_full(s: SparkSession, d: str) -> DataFrame:
+    return chunker.chunk(table(s, d, "blocks"))
+
+
+def retrieval_text(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).select("chunk_id", encode.retrieval_text().alias("retrieval_text_built"))
+
+
+def hash_encode(s: SparkSession, d: str) -> DataFrame:
+    return encode.embedded(_chunks(s, d).drop("embedding", "retrieval_text")).select("chunk_id", "embedding")
+
+
+def run_summary(s: SparkSession, d: str) -> DataFrame:
+    return encode.run_summary(table(s, d, "chunk_records"))
+
+
+def store_valid(s: SparkSession, d: str) -> DataFrame:
+    v = store.valid(table(s, d, "chunk_records"))
+    return v.groupBy("run_id").agg(F.count("*").alias("n_records"), F.countDistinct("chunk_id").alias("n_chunks"))
+
+
+def store_upsert_latest(s: SparkSession, d: str) -> DataFrame:
+    return store.latest(store.valid(table(s, d, "chunk_records")).filter("chunk_id IS NOT NULL")).select("chunk_id", "embedded_at", "run_id", "char_count")
+
+
+def store_metadata(s: SparkSession, d: str) -> DataFrame:
+    c = store.latest(table(s, d, "chunk_records").filter("chunk_id IS NOT NULL"))
+    return store.metadata(c, table(s, d, "embedding_runs")).drop("order_start", "order_end")
+
+
+def vector_topk_batch(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    got = search.top_k_batch(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), q, 10)
+    return got.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def _questions(s: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """query_id, query and vector: every hundredth citation, with the vector of its source's first chunk."""
+    c = table(s, d, "citations").filter("citation_id % 100 = 0").select(F.col("citation_id").alias("query_id"), F.col("text").alias("query"), "source").dropDuplicates(["query_id"])
+    first = chunks.filter(F.size("embedding") == 64).groupBy("source_file").agg(F.min_by("embedding", "chunk_id").alias("v"))
+    return c.join(first, c.source == first.source_file).select("query_id", "query", "v")
+
+
+def _candidates(s: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k most similar chunks of each question with their columns (position, raw_score), and all chunks."""
+    chunks = _chunks(s, d)
+    questions = _questions(s, d, chunks)
+    got = search.top_k_batch(chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), questions.select("query_id", "v"), k)
+    found = got.withColumnRenamed("id", "chunk_id").join(chunks.drop("embedding", "retrieval_text"), "chunk_id").join(questions.select("query_id", "query"), "query_id")
+    return found.withColumnsRenamed({"rank": "position", "score": "raw_score"}).withColumn("source_block_count", F.col("metadata.source_block_count")), chunks.drop("embedding", "retrieval_text")
+
+
+def rerank_final(s: SparkSession, d: str) -> DataFrame:
+    found, _ = _candidates(s, d, CANDIDATES)
+    got = rerank.best(rerank.rerank(found), CANDIDATES)
+    return got.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), F.round("rerank_delta", 6).alias("rerank_delta"), F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("signal_names"))
+
+
+def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
+    found, _ = _candidates(s, d, CANDIDATES)
+    q = T.tokens(F.lower(T.narrative("query")))
+    return found.select("query_id", "chunk_id", F.round(rerank.overlap(q, T.tokens(T.narrative("text"))), 6).alias("text_overlap"), F.round(rerank.phrase_share(q, F.lower(T.narrative("text"))), 6).alias("phrase_share"))
+
+
+def _seeds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found, chunks = _candidates(s, d, SEEDS)
+    return found.withColumns({"seed": F.col("position") - 1, "final_score": F.col("raw_score")}), chunks
+
+
+def group_rank(s: SparkSession, d: str) -> DataFrame:
+    seeds, _ = _seeds(s, d)
+    return expand.group_ranks(seeds).select("query_id", "chunk_id", F.col("seed").cast("int").alias("seed"), F.col("group_rank").cast("int").alias("group_rank"))
+
+
+def associated_expand(s: SparkSession, d: str) -> DataFrame:
+    seeds, chunks = _seeds(s, d)
+    got = expand.expanded(seeds, chunks)
+    return got.select("query_id", "place", "chunk_id", "relationship", F.col("group_rank").cast("int").alias("group_rank"), F.round("score", 6).alias("score"))
+
+
+def citation_context(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "citations").dropDuplicates(["citation_id"])
+    r = c.select(F.col("answer_id").alias("query_id"), F.col("citation_id").alias("place"), F.col("source").alias("file_name"), F.col("section").alias("section_title"), "text", F.lit(None).cast("string").alias("preview"), "score")
+    return answer.citations(r)
+
+
+def grounded_prompt(s: SparkSession, d: str) -> DataFrame:
+    cited = citation_context(s, d)
+    q = table(s, d, "citations").select(F.col("answer_id").alias("query_id")).distinct().withColumn("query", F.concat(F.lit(" What supports answer "), F.col("query_id").cast("string"), F.lit("? ")))
+    return answer.prompts(q, cited)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        doc_scan_filter, text_clean, text_narrative, text_sentence_end, text_tokens, text_preview, text_variants, heading_prefix, joined_parts, heading_body, retrieved_text,
+        block_counts, file_counts, heading_scores, heading_forward_fill, section_islands, section_summary, label_dedupe, slide_rollup, sentence_split, chunk_full, retrieval_text, hash_encode, run_summary,
+        store_valid, store_upsert_latest, store_metadata, vector_topk_batch, rerank_overlap, rerank_final, group_rank, associated_expand, citation_context, grounded_prompt,
+    )
+}

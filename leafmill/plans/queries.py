@@ -111,7 +111,7 @@ def section_summary(s: SparkSession, d: str) -> DataFrame:
 def label_dedupe(s: SparkSession, d: str) -> DataFrame:
     """The labels of header blocks, repeated ones numbered."""
     b = _blocks(s, d).filter(clean_type("block_type") == "header")
-    cells = b.select("block_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\A\s*columns:\s*", ""), r" \| ")).alias("column", "label")).withColumn("label", stripped("label"))
+    cells = b.select("block_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\A\s*columns:\s*", ""), ", ")).alias("column", "label")).withColumn("label", stripped("label"))
     n = F.row_number().over(Window.partitionBy("block_id", "label").orderBy("column"))
     return cells.select("block_id", "column", F.when(n == 1, F.col("label")).otherwise(F.concat("label", F.lit(" ("), n.cast("string"), F.lit(")"))).alias("label"))
 

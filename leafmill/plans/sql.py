@@ -164,7 +164,7 @@ SELECT block_id, CASE WHEN n <= 12 THEN 2 ELSE 0 END + CASE WHEN contains('.;:,'
     "section_islands": f"WITH {PREPARED} SELECT block_id, array_to_string(path, ' > ') AS section_key, section_id, part, heading_id FROM sectioned",
     "section_summary": f"""WITH {PREPARED} SELECT source_file, section_id, count(*) AS n_blocks, min(o) AS order_start, max(o) AS order_end,
 coalesce(array_to_string(list_sort(list(DISTINCT page_number) FILTER (WHERE page_number IS NOT NULL)), ','), '') AS pages, first(block_id ORDER BY o, block_id) AS first_block FROM sectioned GROUP BY 1, 2""",
-    "label_dedupe": f"""WITH c AS (SELECT block_id, unnest(string_split(regexp_replace(coalesce(text, ''), '(?i)^\\s*columns:\\s*', ''), ' | ')) AS label, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '(?i)^\\s*columns:\\s*', ''), ' | '), 1) - 1 AS "column" FROM {B} WHERE {TYPE} = 'header'),
+    "label_dedupe": f"""WITH c AS (SELECT block_id, unnest(string_split(regexp_replace(coalesce(text, ''), '(?i)^\\s*columns:\\s*', ''), ', ')) AS label, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '(?i)^\\s*columns:\\s*', ''), ', '), 1) - 1 AS "column" FROM {B} WHERE {TYPE} = 'header'),
 d AS (SELECT block_id, "column", {strip('label')} AS label FROM c), e AS (SELECT *, row_number() OVER (PARTITION BY block_id, label ORDER BY "column") AS n FROM d)
 SELECT block_id, CAST("column" AS INT) AS "column", CASE WHEN n = 1 THEN label ELSE label || ' (' || n || ')' END AS label FROM e""",
     "slide_rollup": f"""SELECT source_file, slide_number, first(section_path[1] ORDER BY coalesce(shape_index, -1), block_id) AS section_hint,

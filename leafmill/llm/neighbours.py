@@ -5,9 +5,9 @@ centroids. The codebooks are fitted on at most SAMPLE vectors (chosen by hash);
 visits centroid pairs in the order of summed distance, from a heap, until the cells visited hold `candidates`
 vectors, and the entries of those cells are reranked by the exact cosine.
 
-Cells with one first centroid form a list; a query is sent once to each list it visits, with the cells to rerank
-there, and a task reranks cell by cell with matrix products. Lists of more than MOST_IN_LIST vectors are cut into
-parts, and so are the queries of a much visited list, so no task holds a group of unbounded size. Equal vectors are one entry;
+Cells whose first centroids lie close together form a list; a query is sent once to each list it visits, with the
+cells to rerank there, and a task reranks cell by cell with matrix products. Lists of more than MOST_IN_LIST vectors are
+cut into parts, and so are the queries of a much visited list, so no task holds a group of unbounded size. Equal vectors are one entry;
 their chunks are put back at the end, at most k + 1 for each entry, which is exact as all of them are equally similar."""
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -29,7 +28,8 @@ SAMPLE = 16_384
 ITERATIONS = 8
 PER_CELL = 24  # vectors in a cell, on average
 CENTROIDS = (4, 256)  # of a half, least and most; the cell counts are at most 65,536 numbers
-MOST_IN_LIST = 16_384
+MOST_IN_LIST = 65_536
+PER_LIST = 4  # first centroids of a list
 
 
 def usable(c: str, dimension: int) -> F.Column:  # type: ignore[name-defined]
@@ -37,10 +37,10 @@ def usable(c: str, dimension: int) -> F.Column:  # type: ignore[name-defined]
     return (F.size(c) == dimension) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
 
 
-def entries(vectors: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct usable vectors (vid, v: bytes of float32) and whose they are (id, vid). vectors: id, v."""
+def packed(vectors: DataFrame, dimension: int) -> DataFrame:
+    """The usable vectors: id, vid (a hash of the vector), v (bytes of float32). vectors: id, v."""
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("v")
             x = np.ascontiguousarray(v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() : v.offsets[-1].as_py()], np.float32)
@@ -48,8 +48,7 @@ def entries(vectors: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vid"), pa.Array.from_buffers(pa.binary(), len(b), buffers)], ["id", "vid", "v"])
 
     ok = vectors.filter(F.col("id").isNotNull() & usable("v", dimension)).select("id", F.xxhash64("v").alias("vid"), "v")
-    all_ = written(ok.mapInArrow(packed, "id string, vid bigint, v binary"), "vectors")
-    return all_.dropDuplicates(["vid"]).select("vid", "v"), all_.select("id", "vid").distinct()
+    return ok.mapInArrow(run, "id string, vid bigint, v binary")
 
 
 def unit(column: pa.Array, dimension: int) -> np.ndarray:
@@ -98,17 +97,19 @@ def visited(d1: np.ndarray, d2: np.ndarray, counts: list[list[int]], candidates:
 
 
 class Index:
-    """The codebooks, the number of vectors in each cell, and into how many parts each list is cut."""
+    """The codebooks, the number of vectors in each cell, and into how many parts each list and its queries are cut."""
 
-    def __init__(self, reps: DataFrame, dimension: int) -> None:
-        n = reps.count()
+    def __init__(self, vectors: DataFrame, n: int, dimension: int) -> None:
         self.dimension = dimension
         self.k = int(min(max(np.sqrt(n / PER_CELL), CENTROIDS[0]), CENTROIDS[1]))
-        sample = reps.orderBy("vid").limit(SAMPLE).toArrow().column("v")  # vid is a hash
-        x = unit(sample, dimension) if n else np.eye(self.k, dimension)
+        few = -(1 << 63) + min((1 << 64) - 1, (2 * SAMPLE << 64) // max(n, 1))  # vid is a hash: the lowest ones are a sample
+        sample = vectors.filter(F.col("vid") <= few).select("vid", "v").dropDuplicates(["vid"]).orderBy("vid").limit(SAMPLE).toArrow().column("v")
+        x = unit(sample, dimension) if len(sample) else np.eye(self.k, dimension)
         half = dimension // 2
         self.books = fit(x[:, :half], self.k), fit(x[:, half:], self.k, 8)
         self.counts = np.zeros((len(self.books[0]), len(self.books[1])), np.int64)
+        near = fit(self.books[0], max(1, len(self.books[0]) // PER_LIST), 9)
+        self.list_of = distances(self.books[0], near).argmin(1).tolist()
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.dimension // 2
@@ -116,9 +117,11 @@ class Index:
 
     def count(self, placed: DataFrame) -> None:
         """Fills in the counts; at most CENTROIDS[1] squared rows."""
-        for r in placed.groupBy("i", "j").count().toLocalIterator():
-            self.counts[r.i, r.j] = r["count"]
-        self.parts = np.maximum(1, -(-self.counts.sum(1) // MOST_IN_LIST)).tolist()
+        for r in placed.groupBy("cell").count().toLocalIterator():
+            self.counts[r.cell >> 8, r.cell & 255] = r["count"]
+        held = np.bincount(self.list_of, self.counts.sum(1)).astype(np.int64)
+        self.parts = np.maximum(1, -(-held // MOST_IN_LIST)).tolist()
+        self.slices = np.maximum(1, -(-4 * held // MOST_IN_LIST)).tolist()
 
     @property
     def plain(self) -> list[list[int]]:
@@ -135,13 +138,14 @@ def _place(index: Broadcast):  # noqa: ANN202
         ix = index.value
         for b in batches:
             d1, d2 = ix.cells(unit(b.column("v"), ix.dimension))
-            yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("v"), pa.array(d1.argmin(1).astype(np.int32)), pa.array(d2.argmin(1).astype(np.int32))], ["vid", "v", "i", "j"])
+            cell = (d1.argmin(1) << 8 | d2.argmin(1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("v"), pa.array(cell)], ["vid", "v", "cell"])
 
     return run
 
 
 def _send(index: Broadcast, candidates: int):  # noqa: ANN202
-    """A row for each list (and part) that a query visits: i, part, and the second centroids of its cells there."""
+    """A row for each list (and part) that a query visits: the list, the part, and the query's cells there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, counts = _index_of(index)
@@ -151,16 +155,16 @@ def _send(index: Broadcast, candidates: int):  # noqa: ANN202
             for q in range(len(b)):
                 at: dict[int, list[int]] = {}
                 for i, j in visited(d1[q], d2[q], counts, candidates):
-                    at.setdefault(i, []).append(j)
-                for i, js in at.items():
-                    packed = np.array(js, np.uint8).tobytes()
-                    for part in range(ix.parts[i]):
+                    at.setdefault(ix.list_of[i], []).append(i << 8 | j)
+                for g, own in at.items():
+                    code = np.array(own, np.uint16).tobytes()
+                    for part in range(ix.parts[g]):
                         source.append(q)
-                        lists.append(i)
+                        lists.append(g)
                         parts.append(part)
-                        cells.append(packed)
+                        cells.append(code)
             take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("vid").take(take), b.column("v").take(take), pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], ["vid", "v", "i", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("vid").take(take), b.column("v").take(take), pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], ["vid", "v", "list", "part", "cells"])
 
     return run
 
@@ -170,15 +174,15 @@ def _rerank(k: int, least: float, dimension: int):  # noqa: ANN202
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         if not base.num_rows or not queries.num_rows:
             return empty
-        js = base.column("j").to_numpy()
+        js = base.column("cell").to_numpy()
         order = np.argsort(js, kind="stable")
         js = js[order]
         x, ids = unit(base.column("v").combine_chunks(), dimension)[order], base.column("vid").to_numpy()[order]
         y, qs = unit(queries.column("v").combine_chunks(), dimension), queries.column("vid").to_numpy()
         x32, y32 = x.astype(np.float32), y.astype(np.float32)
         cells = queries.column("cells").to_pylist()
-        sizes = np.fromiter(map(len, cells), np.int64, len(cells))
-        cell = np.frombuffer(b"".join(cells), np.uint8)
+        sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 2
+        cell = np.frombuffer(b"".join(cells), np.uint16).astype(np.int32)
         row = np.repeat(np.arange(len(cells)), sizes)
         by = np.argsort(cell, kind="stable")
         cell, row = cell[by], row[by]
@@ -219,23 +223,21 @@ def _rerank(k: int, least: float, dimension: int):  # noqa: ANN202
     return run
 
 
-def entry_neighbours(reps: DataFrame, k: int, least: float, candidates: int, dimension: int) -> DataFrame:
-    """The k most similar other entries of each entry, as far as found: a, b, similarity (at least `least`). What one
-    side finds counts for both."""
-    sc = reps.sparkSession.sparkContext
-    index = Index(reps, dimension)
-    placed = written(reps.mapInArrow(_place(sc.broadcast(index)), "vid bigint, v binary, i int, j int"), "placed")
+def entry_neighbours(vectors: DataFrame, k: int, least: float, candidates: int, dimension: int) -> DataFrame:
+    """The k most similar other entries of each entry, as far as found: a, b, similarity (at least `least`).
+    vectors: vid, v, repeated as they may be."""
+    sc = vectors.sparkSession.sparkContext
+    index = Index(vectors, vectors.select("vid").distinct().count(), dimension)
+    placed = written(vectors.select("vid", "v").mapInArrow(_place(sc.broadcast(index)), "vid bigint, v binary, cell int").dropDuplicates(["vid"]), "placed")
     index.count(placed)
     known = sc.broadcast(index)
-    parts = F.element_at(F.array(*map(F.lit, index.parts)), F.col("i") + 1)
-    base = placed.select("vid", "v", "i", "j", F.pmod("vid", parts).cast("int").alias("part"))
-    queries = placed.select("vid", "v").mapInArrow(_send(known, candidates), "vid bigint, v binary, i int, part int, cells binary")
-    slices = F.pmod(F.shiftright("vid", 20), F.lit(4) * parts).cast("int")
-    base = base.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(4) * parts - 1))) if max(index.parts) > 1 else base.withColumn("slice", F.lit(0))
-    queries = queries.withColumn("slice", slices if max(index.parts) > 1 else F.lit(0))
-    keys = ["i", "part", "slice"]
-    pairs = base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_rerank(k, least, dimension), "a bigint, b bigint, similarity double")
-    return pairs.union(pairs.select("b", "a", "similarity")) if least <= -1 else pairs
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
+    base = placed.withColumn("list", of(index.list_of, F.shiftright("cell", 8))).withColumn("part", F.pmod("vid", of(index.parts, F.col("list"))).cast("int"))
+    base = base.withColumn("slice", F.explode(F.sequence(F.lit(0), of(index.slices, F.col("list")) - 1)))
+    queries = placed.select("vid", "v").mapInArrow(_send(known, candidates), "vid bigint, v binary, list int, part int, cells binary")
+    queries = queries.withColumn("slice", F.pmod(F.shiftright("vid", 20), of(index.slices, F.col("list"))).cast("int"))
+    keys = ["list", "part", "slice"]
+    return base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_rerank(k, least, dimension), "a bigint, b bigint, similarity double")
 
 
 def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidates: int = 2000, dimension: int = 64) -> DataFrame:
@@ -246,10 +248,10 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidate
     similarity. Where ids share one vector, each has the others first."""
     if dimension % 2:
         raise ValueError("the dimension must be even")
-    reps, members = entries(vectors, dimension)
-    reps, members = written(reps, "entries"), written(members, "members")
-    pairs = written(entry_neighbours(reps, k, least, candidates, dimension), "near")
-    both = pairs.union(pairs.select("b", "a", "similarity")).distinct() if least > -1 else pairs.distinct()
+    vectors = packed(vectors, dimension)
+    members = written(vectors.select("id", "vid").distinct(), "members")
+    pairs = written(entry_neighbours(vectors, k, least, candidates, dimension), "near")
+    both = pairs.union(pairs.select("b", "a", "similarity")).distinct()  # what one side finds counts for both
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= 2 * k).drop("r")
     heads = members.withColumn("at", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).filter(F.col("at") <= k + 1)
     heads = written(heads, "heads")

@@ -26,6 +26,7 @@ from leafmill.tables import written
 BLOCKS, ROWS = 20, 3
 COMPONENTS = BLOCKS * ROWS
 MOST_IN_BLOCK = 500
+MOST_NAMED = 1_000_000  # 8 bytes each
 MIN_WORDS = 20
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -85,7 +86,7 @@ def _shingle_sets(k: int):  # noqa: ANN202
                 continue
             ends = np.cumsum(counts[full])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(batch, h, np.concatenate([[0], ends[:-1]]), full)), lists], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("kind").take(pa.array(full)), pa.array(_set_keys(batch, h, np.concatenate([[0], ends[:-1]]), full)), lists], ["kind", "rep", "shingles"])
 
     return run
 
@@ -100,8 +101,14 @@ def fingerprints(records: DataFrame, k: int = SHINGLE, min_words: int = MIN_WORD
 
 
 def shingle_sets(records: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """rep and shingles of the records named in `ids` (kind, id)."""
-    return _with_words(records.join(ids, ["kind", "id"], "left_semi"), k).mapInArrow(_shingle_sets(k), "rep bigint, shingles array<bigint>").dropDuplicates(["rep"])
+    """kind, rep and shingles of the records named in `ids` (kind, id), and perhaps of a few others whose hash is the same.
+
+    Up to MOST_NAMED names, by a count, their hashes are sent to all tasks, so that only texts that are needed move;
+    more are joined by shuffle."""
+    key = F.xxhash64("kind", "id").alias("key")
+    names = written(ids.select(key).distinct(), "names")
+    few = F.broadcast(names) if names.count() <= MOST_NAMED else names
+    return _with_words(records.withColumn("key", key).join(few, "key", "left_semi"), k).mapInArrow(_shingle_sets(k), "kind string, rep bigint, shingles array<bigint>").dropDuplicates(["rep"])
 
 
 def _sized(a: str, b: str, similarity: float) -> str:
@@ -120,12 +127,12 @@ def block_pairs(reps: DataFrame, blocks: DataFrame, similarity: float) -> DataFr
 
 
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that share one of their rarest shingles, as every pair of the similarity does: a, b (a < b)."""
-    each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    ranked = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
-    kept = ranked.filter(f"rank <= n - ceil({similarity} * n - 1e-9) + 1").select("token", "rep", "n")
-    b = kept.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    return kept.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a")).join(b, "token").filter(f"a < b AND {_sized('n_a', 'n_b', similarity)}").select("a", "b").distinct()
+    """The pairs of one kind that share one of their rarest shingles, as every pair of the similarity does: a, b (a < b)."""
+    each = sets.select("kind", "rep", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    ranked = each.join(each.groupBy("kind", "token").agg(F.count("*").alias("df")), ["kind", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")))
+    kept = ranked.filter(f"rank <= n - ceil({similarity} * n - 1e-9) + 1").select("kind", "token", "rep", "n")
+    b = kept.select("kind", "token", F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    return kept.select("kind", "token", F.col("rep").alias("a"), F.col("n").alias("n_a")).join(b, ["kind", "token"]).filter(f"a < b AND {_sized('n_a', 'n_b', similarity)}").select("a", "b").distinct()
 
 
 def similar_sets(records: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, min_words: int = MIN_WORDS, most_in_block: int = MOST_IN_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +155,7 @@ def similar_sets(records: DataFrame, similarity: float = SIMILARITY, k: int = SH
         pairs = block_pairs(reps, blocks.join(hot, "block", "left_anti"), similarity).union(prefix_pairs(written(shingle_sets(records, crowded, k), "crowded"), similarity)).distinct()
     pairs = written(pairs, "pairs")
     named = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("kind", "id")
-    sets = shingle_sets(records, named, k)
+    sets = shingle_sets(records, named, k).drop("kind")
     sa, sb = sets.withColumnsRenamed({"rep": "a", "shingles": "sa"}), sets.withColumnsRenamed({"rep": "b", "shingles": "sb"})
     shared = F.size(F.array_intersect("sa", "sb"))
     both = pairs.join(sa, "a").join(sb, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))

@@ -4,6 +4,7 @@ Python's idea of white space (Unicode, with U+001C-U+001F) is kept throughout; s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_text(c: Column | str) -> Column:
     """Line ends as LF, runs of spaces and tabs as one space, at most one blank line, no outer white space."""
     x = F.regexp_replace(F.translate(F.coalesce(_c(c), F.lit("")), "\r", "\n"), r"[ \t]+", " ")
@@ -52,10 +58,9 @@ def sentence_end(c: Column, force: Column | bool) -> Column:
 
 def join_parts(parts: Column | str, punctuate: bool = True) -> Column:
     """The parts as one line of sentences; the last one always ends."""
-    p = narrative_parts(parts)
     if not punctuate:
-        return F.array_join(p, " ")
-    return F.array_join(F.transform(p, lambda x, i: sentence_end(x, i == F.size(p) - 1)), " ")
+        return F.array_join(narrative_parts(parts), " ")
+    return let(narrative_parts(parts), lambda p: F.array_join(F.transform(p, lambda x, i: sentence_end(x, i == F.size(p) - 1)), " "))
 
 
 def word_count(c: Column) -> Column:
@@ -81,10 +86,7 @@ def starts_with_heading(body: Column, heading: Column) -> Column:
     return (heading != "") & ((b == h) | b.startswith(F.concat(h, F.lit(":"))))
 
 
-def with_heading(heading: Column | str, body_parts: Column | str) -> Column:
-    """Heading and body as one text: "heading: body" for a short heading, else a blank line between; not repeated
-    where the body begins with it."""
-    h, body = narrative(heading), join_parts(body_parts)
+def _headed(h: Column, body: Column) -> Column:
     short = without_colons(h)
     return (
         F.when(h == "", body).when(body == "", h).when(starts_with_heading(body, short), body)
@@ -92,33 +94,41 @@ def with_heading(heading: Column | str, body_parts: Column | str) -> Column:
     )
 
 
+def with_heading(heading: Column | str, body_parts: Column | str) -> Column:
+    """Heading and body as one text: "heading: body" for a short heading, else a blank line between; not repeated
+    where the body begins with it."""
+    return let(F.array(narrative(heading), join_parts(body_parts)), lambda x: _headed(F.get(x, F.lit(0)), F.get(x, F.lit(1))))
+
+
 def word_split(parts: Column) -> Column:
     """At least four parts, three quarters of them of at most two words: text that was cut at its words."""
-    p = narrative_parts(parts)
-    return (F.size(p) >= 4) & (F.size(F.filter(p, lambda x: word_count(x) <= 2)) >= 0.75 * F.size(p))
+    return let(narrative_parts(parts), lambda p: (F.size(p) >= 4) & (F.size(F.filter(p, lambda x: word_count(x) <= 2)) >= 0.75 * F.size(p)))
 
 
 def join_words(parts: Column) -> Column:
     """Word-sized parts as one sentence, with spaces around punctuation put right."""
     rules = ((SPACE + r"+([,.;:!?])", "$1"), (r"([(\[{])" + SPACE + "+", "$1"), (SPACE + r"+([)\]}])", "$1"))
     joined = reduce(lambda x, r: F.regexp_replace(x, *r), rules, F.array_join(narrative_parts(parts), " "))
-    return sentence_end(narrative(joined), True)
+    return let(narrative(joined), lambda x: sentence_end(x, True))
 
 
 def retrieved_text(text: Column | str, heading: Column | str) -> Column:
     """A stored text repaired for reading: words cut apart are joined, the heading leads, parts are sentences."""
-    clean, h = clean_text(text), narrative(heading)
-    parts = F.filter(F.transform(F.split(clean, r"\n{2,}"), stripped), lambda x: x != "")
-    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
-    rest = F.slice(parts, 2, 2_000_000)
-    led = (h != "") & same_text(first, h)
-    first_line = narrative(first)
-    return (
-        F.when(clean == "", "").when(F.size(parts) <= 1, narrative(clean))
-        .when(word_split(F.when(led, rest).otherwise(parts)),
-              F.when(led, with_heading(h, F.array(join_words(rest)))).when(heading_like(first_line), with_heading(first_line, F.array(join_words(rest)))).otherwise(join_words(parts)))
-        .when(led, with_heading(h, rest)).when(heading_like(first_line), with_heading(first_line, rest)).otherwise(join_parts(parts))
-    )
+
+    def repaired(x: Column) -> Column:
+        """x: the parts and, as the last element, the heading on one line."""
+        n = F.size(x) - 1
+        h, parts, rest, first = F.element_at(x, -1), F.slice(x, 1, n), F.slice(x, 2, F.greatest(n - 1, F.lit(0))), F.get(x, F.lit(0))
+        led, line = (h != "") & same_text(first, h), narrative(first)
+        lead = F.when(led, h).when(heading_like(line), line)
+        cut = word_split(F.when(led, rest).otherwise(parts))
+        body = F.when(cut, join_words(F.when(lead.isNull(), parts).otherwise(rest))).when(lead.isNull(), join_parts(parts)).otherwise(join_parts(rest))
+        whole = let(F.array(lead, body, F.when(cut, "cut")), lambda v: F.when(F.get(v, F.lit(0)).isNull(), F.get(v, F.lit(1))).otherwise(
+            let(F.when(F.get(v, F.lit(2)).isNull(), F.get(v, F.lit(1))).otherwise(join_parts(F.array(F.get(v, F.lit(1))))), lambda b: _headed(F.get(v, F.lit(0)), b))))
+        return F.when(n == 0, "").when(n == 1, line).otherwise(whole)
+
+    pieces = F.filter(F.transform(F.split(clean_text(text), r"\n{2,}"), stripped), lambda p: p != "")
+    return let(F.concat(pieces, F.array(narrative(heading))), repaired)
 
 
 def tokens(c: Column | str) -> Column:
@@ -138,9 +148,8 @@ def token_estimate(c: Column | str) -> Column:
 
 
 def preview(c: Column | str, most: int = 260) -> Column:
-    x = narrative(c)
-    cut = F.regexp_replace(F.substring(x, 1, most - 3), SPACE + r"+\z", "")
-    return F.when(F.length(x) > most, F.concat(cut, F.lit("..."))).otherwise(x)
+    cut = lambda x: F.regexp_replace(F.substring(x, 1, most - 3), SPACE + r"+\z", "")
+    return let(narrative(c), lambda x: F.when(F.length(x) > most, F.concat(cut(x), F.lit("..."))).otherwise(x))
 
 
 def content_part(c: Column | str) -> Column:

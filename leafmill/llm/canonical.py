@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leafmill.tables import written
+
 # Letters of other scripts, then the Latin letters they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТХҮаеѕіјорсухһԁԛԝӏ"
 AS_LATIN = "ABESIJKMHOPCTXYaesijopcyxhdqwl"
@@ -29,6 +31,7 @@ INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200d\u200c\u200e\u200f\u202a\u202b\
 JOINERS = "\u200c\u200d"
 RUN = re.compile(r"\r\n?|[\x00-\x7f]?[^\x00-\x7f]+")
 LAST = 0x30000
+MOST_CITED = 1_000_000  # 8 bytes each
 
 
 def single_characters() -> dict[str, str]:
@@ -134,16 +137,19 @@ def same_look(citations: DataFrame, blocks: DataFrame) -> DataFrame:
     citation_id, block_id.
 
     Compared by 128-bit digests of both forms. Texts that show nothing (null, empty, only spaces or invisible
-    characters) are in no pair. Repeated rows count once. Blocks of files that nothing cites leave before their
-    text is read by Python. Equal texts of a file are joined once and their ids put back afterwards."""
+    characters) are in no pair. Repeated rows count once. Texts never move: each task writes the digests of its rows, and
+    only these are joined. Where up to MOST_CITED files are cited, by a count, blocks of other files are passed over. Equal
+    texts of a file are joined once and their ids put back afterwards."""
     c = citations.filter(F.col("text").isNotNull() & F.col("source").isNotNull() & F.col("citation_id").isNotNull()).select("citation_id", F.col("source").alias("file"), "text")
     b = blocks.filter(F.col("text").isNotNull() & F.col("block_id").isNotNull()).select("block_id", F.col("source_file").alias("file"), "text")
-    b = b.join(c.select("file").distinct(), "file", "left_semi")
+    cited = written(c.select(F.xxhash64("file").alias("cited")).distinct(), "cited")
+    if cited.count() <= MOST_CITED:
+        b = b.join(F.broadcast(cited), F.xxhash64("file") == F.col("cited"), "left_semi")
 
     def forms(df: DataFrame, key: str) -> DataFrame:
-        look = df.withColumn("look", canonical("text")).filter(F.col("look").rlike(r"[^\s\p{Z}]"))
-        return look.select(key, "file", F.md5("look").alias("look"), F.md5("text").alias("raw")).distinct()
+        look = df.select(key, "file", F.md5("text").alias("raw"), canonical("text").alias("look")).filter(F.col("look").rlike(r"[^\s\p{Z}]"))
+        return written(look.select(key, "file", F.md5("look").alias("look"), "raw"), "forms")
 
-    cf, bf = forms(c, "citation_id"), forms(b, "block_id")
+    cf, bf = forms(c, "citation_id").distinct(), forms(b, "block_id").distinct()
     kinds = cf.select("file", "look", F.col("raw").alias("raw_c")).distinct().join(bf.select("file", "look", F.col("raw").alias("raw_b")).distinct(), ["file", "look"]).filter("raw_c <> raw_b")
     return kinds.join(cf.withColumnRenamed("raw", "raw_c"), ["file", "look", "raw_c"]).join(bf.withColumnRenamed("raw", "raw_b"), ["file", "look", "raw_b"]).select("citation_id", "block_id")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from leafmill.tables import handover_dir
+
 _shipped: set[str] = set()
 
 
@@ -17,7 +18,7 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).parent
-    target = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "leafmill.zip"  # the driver's, only to hand the file to Spark
+    target = handover_dir(spark) / "leafmill.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))

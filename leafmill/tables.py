@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def handover_dir(spark: SparkSession) -> Path:
+    """A folder of the driver for a file that Spark then sends to the executors: in the shared folder where that is
+    mounted, else (an object store, or HDFS) the driver's own temporary folder, which no executor reads."""
+    shared = shared_dir(spark)
+    local = shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else None
+    if local:
+        Path(local).mkdir(parents=True, exist_ok=True)
+    return Path(tempfile.mkdtemp(prefix="spark-", dir=local))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder, read back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -9,10 +9,8 @@ are merged exactly by the vocabulary's ranks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import Vocabulary, default_path, distinct_pieces, split, texts_of
-from leafmill.tables import once_per_key
+from leafmill.tables import handover_dir, once_per_key
 
 LEXICON = 65_536
 MOST_CACHED = 400_000
@@ -165,7 +163,7 @@ def encode(documents: DataFrame, path: str | None = None, lexicon_size: int = LE
     vocabulary = Vocabulary(path or default_path())
     sc = documents.sparkSession.sparkContext
     texts = once_per_key(documents.select("doc_id", "text"), "doc_id")
-    folder = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))  # the driver's, only to hand the file to Spark
+    folder = handover_dir(documents.sparkSession)
     file = f"lexicon-{uuid.uuid4().hex}.npy"
     np.save(folder / file, build_lexicon(texts, vocabulary, lexicon_size))
     sc.addFile(str(folder / file))

@@ -38,9 +38,12 @@ def most_apart(similarity: float) -> int:
     return math.ceil(COMPONENTS * (1 - similarity) + 3.5 * math.sqrt(COMPONENTS * similarity * (1 - similarity)))
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each row, sorted: hashes, rows, and the rows' numbers of shingles."""
-    h, row, _ = shingles(*list_parts(batch.column("words")), k)
+def _sets(batch: pa.RecordBatch, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each row of enough words, sorted: hashes, rows, and the rows' numbers of shingles."""
+    words, offsets = list_parts(batch.column("words"))
+    h, row, _ = shingles(words, offsets, k)
+    enough = (np.diff(offsets) >= min_words)[row]
+    h, row = h[enough], row[enough]
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -56,10 +59,10 @@ def _set_keys(batch: pa.RecordBatch, h: np.ndarray, starts: np.ndarray, full: np
     return mixed(np.add.reduceat(mixed(h), starts) + salt).view(np.int64)
 
 
-def _fingerprints(k: int):  # noqa: ANN202
+def _fingerprints(k: int, min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, row, counts = _sets(batch, k)
+            h, row, counts = _sets(batch, k, min_words)
             full = np.flatnonzero(counts)
             if not len(full):
                 continue
@@ -80,7 +83,7 @@ def _fingerprints(k: int):  # noqa: ANN202
 def _shingle_sets(k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, row, counts = _sets(batch, k)
+            h, row, counts = _sets(batch, k, k)
             full = np.flatnonzero(counts)
             if not len(full):
                 continue
@@ -91,13 +94,14 @@ def _shingle_sets(k: int):  # noqa: ANN202
     return run
 
 
-def _with_words(records: DataFrame, min_words: int) -> DataFrame:
-    return records.select("kind", "id", word_hashes("text").alias("words")).filter(F.size("words") >= min_words)
+def _with_words(records: DataFrame) -> DataFrame:
+    """Too short texts are left out later: a filter here would cut every text into words twice, and before any join."""
+    return records.select("kind", "id", word_hashes("text").alias("words"))
 
 
 def fingerprints(records: DataFrame, k: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
     """kind, id, rep (key of the shingle set; copies share it), n (shingles), components. Records of fewer words are left out."""
-    return _with_words(records, max(min_words, k)).mapInArrow(_fingerprints(k), "kind string, id string, rep bigint, n int, components array<smallint>")
+    return _with_words(records).mapInArrow(_fingerprints(k, max(min_words, k)), "kind string, id string, rep bigint, n int, components array<smallint>")
 
 
 def shingle_sets(records: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -108,7 +112,7 @@ def shingle_sets(records: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     key = F.xxhash64("kind", "id").alias("key")
     names = written(ids.select(key).distinct(), "names")
     few = F.broadcast(names) if names.count() <= MOST_NAMED else names
-    return _with_words(records.withColumn("key", key).join(few, "key", "left_semi"), k).mapInArrow(_shingle_sets(k), "kind string, rep bigint, shingles array<bigint>").dropDuplicates(["rep"])
+    return _with_words(records.withColumn("key", key).join(few, "key", "left_semi")).mapInArrow(_shingle_sets(k), "kind string, rep bigint, shingles array<bigint>").dropDuplicates(["rep"])
 
 
 def _sized(a: str, b: str, similarity: float) -> str:

@@ -33,6 +33,8 @@ def _rows(batches: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterat
     for batch in batches:
         values, offsets = list_parts(batch.column("words"))
         h, row, pos = shingles(values, offsets, SHINGLE)
+        enough = (np.diff(offsets) >= RUN)[row]
+        h, row, pos = h[enough], row[enough], pos[enough]
         if known is not None and len(known):
             keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             h, row, pos = h[keep], row[keep], pos[keep]
@@ -46,7 +48,7 @@ def _rows(batches: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterat
 
 
 def _shingled(df: DataFrame, key: str, known=None) -> DataFrame:  # noqa: ANN001
-    rows = df.filter(F.col("text").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), word_hashes("text").alias("words")).filter(F.size("words") >= RUN)
+    rows = df.filter(F.col("text").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), word_hashes("text").alias("words"))
     return rows.mapInArrow(lambda it: _rows(it, known.value if known is not None else None), f"id bigint, at {_AT}")
 
 

@@ -11,14 +11,16 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_text, heading_like, join_parts, narrative, sentence_end, starts_with_heading, token_estimate, with_heading, without_colons, word_pieces
+from leafmill.functions.text import clean_text, heading_like, narrative, sentence_end, starts_with_heading, token_estimate, with_heading, without_colons, word_pieces
 from leafmill.operators.sections import HEADING_TYPES, prepared, sections
+from leafmill.tables import written
 
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _CUTS = {"paragraph": re.compile(r"\n{2,}"), "line": re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), "sentence": re.compile(r"(?<=[.!?])\s+"), "word": re.compile(r"\s+")}
@@ -110,10 +112,11 @@ def segments(sectioned: DataFrame, config: ChunkConfig) -> DataFrame:
         "tokens": F.when(own | (left_tokens <= 0), config.max_tokens).otherwise(left_tokens),
     })
     whole = ~F.col("is_table") & (F.length("clean") <= F.col("chars")) & (token_estimate("clean") <= F.col("tokens"))
-    beyond = df.filter(~whole).select("source_file", "block_id", "is_table", "clean", "chars", "tokens").mapInPandas(_cut, "source_file string, block_id string, segments array<string>")
-    one = df.filter(whole).withColumn("segments", F.array("clean"))
-    both = one.unionByName(df.filter(~whole).join(beyond, ["source_file", "block_id"]).select(*one.columns))
-    return both.select("*", F.posexplode("segments").alias("seg", "segment")).drop("segments", "clean", "chars", "tokens", "text")
+    df = written(df.drop("text").withColumn("whole", whole), "sized")
+    beyond = df.filter("NOT whole").select("source_file", "block_id", "is_table", "clean", "chars", "tokens").mapInPandas(_cut, "source_file string, block_id string, segments array<string>")
+    one = df.filter("whole").withColumn("segments", F.array("clean"))
+    both = one.unionByName(df.filter("NOT whole").join(beyond, ["source_file", "block_id"]).select(*one.columns))
+    return both.select("*", F.posexplode("segments").alias("seg", "segment")).drop("segments", "clean", "chars", "tokens", "whole")
 
 
 class _Size(NamedTuple):
@@ -182,16 +185,14 @@ def _pack(config: ChunkConfig):  # noqa: ANN202
 def packed(segs: DataFrame, config: ChunkConfig) -> DataFrame:
     """The groups of body segments: source_file, section_id, part, group, pos, order, block_id, seg. A segment of the
     overlap is in two groups. Only sizes go through Python."""
-    p = narrative("segment")
-    short, whole = without_colons(narrative("heading.text")), narrative("heading.text")
-    like = heading_like(short)
-    none = F.col("heading").isNull() | (whole == "")
-    dot = lambda force: F.length(sentence_end(p, force)) - F.length(p)
-    sized = segs.filter("NOT is_table").select(
-        "source_file", "section_id", "part", "order", "block_id", "seg", F.length(p).alias("chars"), word_pieces(p).alias("pieces"), dot(False).alias("soft"), dot(True).alias("hard"),
+    df = segs.filter("NOT is_table").select("source_file", "section_id", "part", "order", "block_id", "seg", "segment", narrative("segment").alias("p"), narrative("heading.text").alias("whole"))
+    df = df.withColumns({"short": without_colons(F.col("whole")), "soft_end": sentence_end(F.col("p"), False), "hard_end": sentence_end(F.col("p"), True)}).withColumn("like", heading_like(F.col("short")))
+    p, short, whole, like = (F.col(c) for c in ("p", "short", "whole", "like"))
+    sized = df.select(
+        "source_file", "section_id", "part", "order", "block_id", "seg", F.length(p).alias("chars"), word_pieces(p).alias("pieces"), (F.length("soft_end") - F.length(p)).alias("soft"), (F.length("hard_end") - F.length(p)).alias("hard"),
         token_estimate("segment").alias("tokens"), F.coalesce(starts_with_heading(p, short), F.lit(False)).alias("leads"),
-        F.when(none, 0).when(like, F.length(short) + 2).otherwise(F.length(whole) + 2).alias("lead_chars"),
-        F.when(none, 0).when(like, word_pieces(short) + 1).otherwise(word_pieces(whole)).alias("lead_pieces"),
+        F.when(whole == "", 0).when(like, F.length(short) + 2).otherwise(F.length(whole) + 2).alias("lead_chars"),
+        F.when(whole == "", 0).when(like, word_pieces(short) + 1).otherwise(word_pieces(whole)).alias("lead_pieces"),
     )
     keys = ["source_file", "section_id", "part"]
     sorted_ = sized.repartition(*keys).sortWithinPartitions(*keys, "order", "block_id", "seg")
@@ -213,7 +214,7 @@ def section_title(heading: Column, path: Column) -> Column:
 
 def chunk_rows(sectioned: DataFrame, config: ChunkConfig) -> DataFrame:
     """Chunks before short headings are attached, with seq (their place in the file)."""
-    segs = segments(sectioned, config)
+    segs = written(segments(sectioned, config), "segments")
     facts = F.struct(*_SEGMENT, "segment")
     context = ["source_path", "doc_type", "path", "heading"]
     body = packed(segs, config).join(segs.filter("NOT is_table").select("source_file", "block_id", "seg", *context, facts.alias("s")), ["source_file", "block_id", "seg"])
@@ -297,12 +298,12 @@ def _attach(config: ChunkConfig):  # noqa: ANN202
 
 def merged(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
     """Chunks with short heading chunks attached to the chunk they introduce or follow, and numbered."""
-    p = narrative("text")
+    df = chunks.select("source_file", "seq", "chunk_type", "block_types", narrative("text").alias("p"))
+    df = df.withColumns({"low": without_colons(F.lower("p")), "soft_end": sentence_end(F.col("p"), False), "hard_end": sentence_end(F.col("p"), True)})
     heads = (F.size("block_types") > 0) & (F.size(F.array_except("block_types", F.array(*map(F.lit, HEADING_TYPES)))) == 0)
-    low = without_colons(F.lower(p))
-    introduces = p.endswith(":") | low.startswith(_INTRODUCERS[0]) | low.startswith(_INTRODUCERS[1]) | low.startswith(_INTRODUCERS[2])
-    dot = lambda force: F.length(sentence_end(p, force)) - F.length(p)
-    sized = chunks.select("source_file", "seq", ((F.col("chunk_type") == "section") & heads & (p != "") & (F.length(p) < config.min_section_chars)).alias("short"), introduces.alias("introduces"), F.length(p).alias("chars"), word_pieces(p).alias("pieces"), dot(False).alias("soft"), dot(True).alias("hard"))
+    introduces = F.col("p").endswith(":") | reduce(lambda a, b: a | b, (F.col("low").startswith(x) for x in _INTRODUCERS))
+    short = (F.col("chunk_type") == "section") & heads & (F.col("p") != "") & (F.length("p") < config.min_section_chars)
+    sized = df.select("source_file", "seq", short.alias("short"), introduces.alias("introduces"), F.length("p").alias("chars"), word_pieces(F.col("p")).alias("pieces"), (F.length("soft_end") - F.length("p")).alias("soft"), (F.length("hard_end") - F.length("p")).alias("hard"))
     places = sized.repartition("source_file").sortWithinPartitions("source_file", "seq").mapInPandas(_attach(config), "source_file string, seq int, target int, role int")
     df = chunks.withColumn("section_title", section_title(F.col("heading"), F.col("section_path"))).join(places, ["source_file", "seq"])
     fields = [c for c in df.columns if c not in ("source_file", "target")]
@@ -331,4 +332,5 @@ def chunk(blocks: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     """The chunks of all files' blocks. Empty and null texts give nothing; a null source_file is the file ""; the latest row
     of a repeated block counts; further columns are ignored."""
     c = config or ChunkConfig()
-    return merged(chunk_rows(sections(prepared(blocks)), c), c)
+    sectioned = written(sections(prepared(blocks)), "sections")
+    return merged(written(chunk_rows(sectioned, c), "chunks"), c)

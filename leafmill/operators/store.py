@@ -42,11 +42,16 @@ def metadata(records: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def model_name(runs: DataFrame, default: str) -> str:
+    """The name of the latest run's model that has one, to encode questions with; `default` if none has."""
+    found = runs.select(F.col("model.name").alias("name"), "created_at").filter(stripped(F.coalesce("name", F.lit(""))) != "").orderBy(F.desc_nulls_last("created_at"), "name").first()
+    return found.name.strip() if found else default
+
+
 def upsert(spark: SparkSession, path: str, records: DataFrame, reset: bool = False) -> dict[str, int]:
     """Stores records at `path`: rows of known chunk_ids are replaced, others added; with `reset` only these stay.
 
-    The table is rewritten beside the old one and then exchanged, so a failed job leaves the old one whole.
-    Returns records_seen and records_stored."""
+    The new table is first written whole into the shared folder; only then is the old one overwritten. Returns records_seen and records_stored."""
     fresh = latest(with_ids(valid(records)))
     seen, stored = records.count(), fresh.count()
     new = fresh

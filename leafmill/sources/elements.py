@@ -18,6 +18,7 @@ P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+PROPERTIES = {"lastModifiedBy": "last_modified_by"}
 #: Fields of an element; what an element lacks is null.
 SCHEMA = (
     "kind string, n int, text string, style string, bold boolean, rows array<array<string>>, slide int, top bigint, left bigint, placeholder string, name string, shape_path string, parent_group string, "
@@ -147,8 +148,9 @@ def xlsx(content: bytes) -> Iterator[dict]:
         formats, parts = _date_formats(z), _targets(z, "xl/workbook.xml")
         sheets = list(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{M}sheet"))
         core = _xml(z, "docProps/core.xml")
-        facts = {} if core is None else {e.tag.rpartition("}")[2]: e.text for e in core if e.text}
-        yield {"kind": "workbook", "facts": json.dumps({"sheet_names": [s.get("name") for s in sheets], **facts}, ensure_ascii=False)}
+        own = {} if core is None else {e.tag.rpartition("}")[2]: e.text for e in core if e.text}
+        facts = {PROPERTIES.get(k, k): own[k] for k in ("creator", "title", "subject", "description", "keywords", "category", "created", "modified", *PROPERTIES) if k in own}
+        yield {"kind": "workbook", "facts": json.dumps({"sheet_count": len(sheets), "sheet_names": [s.get("name") for s in sheets], **facts}, ensure_ascii=False)}
         for k, s in enumerate(sheets, 1):
             data = ET.fromstring(z.read(parts[s.get(f"{R}id")][1])).find(f"{M}sheetData")
             rows = list(data) if data is not None else []

@@ -18,6 +18,7 @@ HEADING_THRESHOLD = 3
 SKIPPED_PLACEHOLDERS = ("dt", "ftr", "sldNum", "dgm", "obj")
 SLIDE_ROW = 50_000  # EMU
 NOTES_INDEX = 9999
+EMPTY_NOTES = ("click to add notes", "notes")
 BULLET = r"\A([•\-*–—]|\d+[.)])\s+"
 BLOCK = ["block_id", "source_file", "source_path", "doc_type", "block_type", "order", "text", "section_path", "page_number", "slide_number", "shape_index", "sheet_name", "row_number", "metadata_json"]
 
@@ -108,12 +109,13 @@ def pptx_blocks(found: DataFrame, skip: tuple[str, ...] = SKIPPED_PLACEHOLDERS)
             part("bullet", F.array_join(F.transform(F.filter(texts, bullet), lambda p: F.concat(F.repeat(F.lit("  "), p["level"]), p["text"])), "\n"), F.lit("::bullets")),
         ))
     )
-    title = F.first(F.when(F.col("is_title") & (F.size(lines) > 0), plain(lines)), ignorenulls=True).over(Window.partitionBy("source_path", "slide").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    named = F.coalesce(F.col("placeholder").isin("title", "ctrTitle"), F.lit(False))
+    title = F.first(F.when(named & (F.size(lines) > 0), plain(lines)), ignorenulls=True).over(Window.partitionBy("source_path", "slide").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     shapes = shapes.withColumn("hint", title).select("*", F.posexplode(parts).alias("pos", "b"))
     shapes = shapes.select("source_path", "source_file", "doc_type", "slide", "shape_index", "pos", "hint", F.col("b.block_type").alias("block_type"), F.col("b.text").alias("text"), F.col("b.suffix").alias("suffix"),
                            F.to_json(F.struct("name", F.col("placeholder").alias("placeholder_type"), "shape_path", "parent_group", "top", "left")).alias("metadata_json")).filter("text <> ''")
     hints = shapes.filter("hint IS NOT NULL").groupBy("source_path", "slide").agg(F.first("hint").alias("hint"))
-    notes = df.filter("kind = 'notes'").withColumn("text", stripped("text")).filter(~F.col("text").rlike(r"\A\d+\z")).groupBy("source_path", "source_file", "doc_type", "slide").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    notes = df.filter("kind = 'notes'").withColumn("text", slide_normal("text")).filter(~F.col("text").rlike(r"\A\d*\z") & ~F.lower("text").isin(*EMPTY_NOTES)).groupBy("source_path", "source_file", "doc_type", "slide").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("text"))
     notes = notes.join(hints, ["source_path", "slide"], "left").withColumns({"shape_index": F.lit(NOTES_INDEX), "pos": F.lit(0), "block_type": F.lit("notes"), "suffix": F.lit(""), "metadata_json": F.lit(None).cast("string")})
     both = shapes.unionByName(notes)
     place = F.when(F.col("block_type") == "notes", "notes").otherwise(F.concat(F.lit("shape_"), F.col("shape_index").cast("string"), "suffix"))

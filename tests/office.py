@@ -35,7 +35,7 @@ def pptx(path):
 
     tree = sp("Box", None, 900000, 5, (0, "Lower text"), (1, "A point")) + sp("Title 1", "title", 0, 0, (0, "Aims")) + sp("Date", "dt", 0, 0, (0, "2024")) + sp("Callout 2", None, 500000, 0, (0, "Mind this"))
     slide = f"<p:sld {PA}><p:cSld><p:spTree>{tree}</p:spTree></p:cSld></p:sld>"
-    notes = f"<p:notes {PA}><p:cSld><p:spTree>{sp('N', 'body', 0, 0, (0, 'Say hello'))}{sp('No', 'sldNum', 0, 0, (0, '1'))}</p:spTree></p:cSld></p:notes>"
+    notes = f"<p:notes {PA}><p:cSld><p:spTree>{sp('N', 'body', 0, 0, (0, 'Say hello'))}{sp('No', 'sldNum', 0, 0, (0, '1'))}{sp('E', 'body', 0, 0, (0, 'Click to add notes'))}</p:spTree></p:cSld></p:notes>"
     _zip(path, {
         "ppt/presentation.xml": f'<p:presentation {PA}><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst></p:presentation>',
         "ppt/_rels/presentation.xml.rels": rels(("rId1", "slide", "slides/slide1.xml")), "ppt/slides/slide1.xml": slide,

@@ -128,6 +128,11 @@ def test_store(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_model_name(spark):
+    runs = spark.createDataFrame([(("old",), 1), (("new",), 2), ((" ",), 3), (None, 4)], "model struct<name:string>, created_at int")
+    assert store.model_name(runs, "x") == "new" and store.model_name(runs.limit(0), "x") == "x"
+
+
 def test_encoding(spark):
     c = spark.createDataFrame([("c", "f.docx", "f.docx", "section", ["A", "B"], None, "Head", "Body text")], "chunk_id string, file_name string, source_file string, chunk_type string, section_path array<string>, section_title string, heading string, text string")
     got = encode.embedded(c).first()

@@ -31,7 +31,7 @@ def test_blocks(spark, folder):
     book = {r.block_type: r for r in got if r.doc_type == "xlsx"}
     assert book["header"].text == "Columns: Key, Key (2), When" and book["header"].row_number == 1
     assert book["row"].text == "Key: 3 | Key (2): TRUE | When: 2024-01-01 00:00:00 | D: =A3*2" and book["row"].section_path == ["Data"]
-    assert "Data Rows: 1" in book["sheet_metadata"].text and "Data" in book["workbook_metadata"].text
+    assert "Data Rows: 1" in book["sheet_metadata"].text and book["workbook_metadata"].text == "Sheet Count: 1\nSheet Names: Data"
 
 
 def test_not_recursive(spark, folder):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_text, heading_score, page_normal, slide_normal
+from leafmill.functions.text import heading_score, page_normal, slide_normal
 from leafmill.sources.elements import FIELDS, READERS, SCHEMA
 from leafmill.tables import stripped
 

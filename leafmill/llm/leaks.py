@@ -56,7 +56,7 @@ def corpus_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Each document with the item shingles in it: doc_id, at (positions and hashes). `items`: item_id, at."""
     tokens = items.select(F.explode("at.h").alias("h")).distinct()
     if tokens.count() <= MOST_BROADCAST:  # by a count; the array is 8 bytes a shingle of the items
-        known = np.sort(np.array([r.h for r in tokens.toLocalIterator()], np.int64).view(np.uint64))
+        known = np.sort(tokens.toArrow().column("h").to_numpy().view(np.uint64))
         return _shingled(documents, "doc_id", documents.sparkSession.sparkContext.broadcast(known)).withColumnRenamed("id", "doc_id")
     each = _shingled(documents, "doc_id").select(F.col("id").alias("doc_id"), F.inline("at"))
     return each.join(tokens, "h", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("at"))

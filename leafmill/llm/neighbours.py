@@ -169,6 +169,19 @@ def _send(index: Broadcast, candidates: int):  # noqa: ANN202
     return run
 
 
+def _keep_best(best: tuple[np.ndarray, np.ndarray], rows: np.ndarray, p: np.ndarray, first: int) -> None:
+    """Puts the similarities p (of queries `rows` with the entries from `first` on) among the best of each query."""
+    scores, entries = best
+    better = p.max(axis=1) > scores[rows].min(axis=1)
+    if not better.any():
+        return
+    rows, p = rows[better], p[better]
+    both = np.hstack([scores[rows], p])
+    names = np.hstack([entries[rows], np.broadcast_to(np.arange(first, first + p.shape[1], dtype=np.int32), p.shape)])
+    at = np.argpartition(-both, scores.shape[1] - 1, axis=1)[:, : scores.shape[1]]
+    scores[rows], entries[rows] = np.take_along_axis(both, at, 1), np.take_along_axis(names, at, 1)
+
+
 def _rerank(k: int, least: float, dimension: int):  # noqa: ANN202
     def run(base: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
@@ -186,7 +199,8 @@ def _rerank(k: int, least: float, dimension: int):  # noqa: ANN202
         row = np.repeat(np.arange(len(cells)), sizes)
         by = np.argsort(cell, kind="stable")
         cell, row = cell[by], row[by]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = k + 4  # itself, and some that float32 may misplace
+        best = np.full((len(qs), held), max(-2.0, least - 1e-4), np.float32), np.full((len(qs), held), -1, np.int32)
         for j in np.unique(cell):
             a, b = np.searchsorted(js, [j, j + 1])
             if a == b:
@@ -195,16 +209,9 @@ def _rerank(k: int, least: float, dimension: int):  # noqa: ANN202
             for s in range(0, len(all_rows), 4096):
                 rows = all_rows[s : s + 4096]
                 for t in range(a, b, 2048):
-                    p = y32[rows] @ x32[t : min(b, t + 2048)].T
-                    if least <= -1 and p.shape[1] > k + 1:
-                        most = np.partition(p, p.shape[1] - k - 1, axis=1)[:, -k - 1][:, None]
-                        q, e = np.nonzero(p >= most)
-                    else:
-                        q, e = np.nonzero(p >= least - 1e-4)
-                    found.append((rows[q], e + t, np.empty(0)))
-        if not found:
-            return empty
-        q, e = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                    _keep_best(best, rows, y32[rows] @ x32[t : min(b, t + 2048)].T, t)
+        q, e = np.nonzero(best[1] >= 0)
+        e = best[1][q, e]
         keep = qs[q] != ids[e]
         q, e = q[keep], e[keep]
         sim = np.empty(len(q))
@@ -250,7 +257,10 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidate
         raise ValueError("the dimension must be even")
     vectors = packed(vectors, dimension)
     members = written(vectors.select("id", "vid").distinct(), "members")
-    pairs = written(entry_neighbours(vectors, k, least, candidates, dimension), "near")
+    pairs = entry_neighbours(vectors, k, least, candidates, dimension)
+    if least <= -1:  # every list gives k for a query: keep few of all lists before they count for both sides
+        pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= 3 * k).drop("r")
+    pairs = written(pairs, "near")
     both = pairs.union(pairs.select("b", "a", "similarity")).distinct()  # what one side finds counts for both
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= 2 * k).drop("r")
     heads = members.withColumn("at", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).filter(F.col("at") <= k + 1)

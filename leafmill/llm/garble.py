@@ -5,6 +5,8 @@ records: those without replacement characters, C1 controls and well-formed UTF-8
 Its counts cover all clean records. Then every token with characters beyond ASCII is scored: as it is, and after
 each encode-decode chain that applies to it. The likeliest form is accepted if it is likelier than the token as
 it stands by more than a margin, which is validated on a sample of clean tokens and of the same tokens garbled on purpose.
+Forms with little evidence but their score (one odd character at a word's end, say) have a margin of their own, above
+what all distinct clean tokens of any script gain.
 
 Tokens are runs without ASCII white space; a verdict is found once for each distinct token of a task."""
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 import codecs
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +30,8 @@ from leafmill.llm.canonical import transducer
 MOST_TRIGRAMS = 400_000
 SAMPLE = 400  # clean texts on which the margin is validated
 LEAST_MARGIN, MOST_MARGIN = 4.0, 12.0
+ABOVE_CLEAN = 4.0  # the margin of weak forms over what clean tokens gain
+STEPS = 8  # of a histogram of gains, to a unit
 LOST = "�"
 PARTS = re.compile(r"([ \t\n\r]+)")
 #: Tokens that keep a text from being trained on: runs of accented letters, symbols inside words, case that jumps inside a word.
@@ -86,15 +91,33 @@ def utf8_again(text: str, encoding: str) -> str:
     return "".join([*out, text[end:]])
 
 
+_C1 = re.compile("[\x7f-\x9f]")
+_WINDOWS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256)]
+
+
 def decoded(raw: bytes, encoding: str) -> str | None:
     if encoding == "windows":
-        return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw)
+        return "".join(map(_WINDOWS.__getitem__, raw))
     try:
         return raw.decode(encoding)
     except UnicodeDecodeError:
         return None
 
 
+_WIDE = {"shift_jis", "euc_jp"}
+_WIDE_SWAPS = [x for x in SWAPS if _WIDE & set(x)]
+
+
+@lru_cache(1 << 16)
+def _one_byte_swaps(chars: str) -> list[tuple[dict[int, str], tuple[str, ...]]]:
+    """What the chains between one-byte encodings make of these characters, each different result once."""
+    out: dict[str, tuple[str, ...]] = {}
+    for read, written in SWAPS:
+        if read not in _WIDE and written not in _WIDE and (raw := to_bytes(chars, read)) is not None and (c := decoded(raw, written)) and c != chars and not _C1.search(c):
+            out.setdefault(c, (read, "to " + written))
+    return [(dict(zip(map(ord, chars), c, strict=True)), chain) for c, chain in out.items()]
+
+
 def candidates(token: str, swaps: bool = True) -> dict[str, tuple[str, ...]]:
     """What the token may have been, and the chain that leads there; the first chain to reach a form counts."""
     out: dict[str, tuple[str, ...]] = {}
@@ -108,11 +131,13 @@ def candidates(token: str, swaps: bool = True) -> dict[str, tuple[str, ...]]:
             if (d := utf8_again(c, e)) != c:
                 out.setdefault(d, (*chain, e))
     if swaps:
+        for table, chain in _one_byte_swaps("".join(sorted({x for x in token if x > "\x7f"}))):
+            out.setdefault(token.translate(table), chain)
         raw = {}
-        for read, written in SWAPS:
+        for read, written in _WIDE_SWAPS:
             if read not in raw:
                 raw[read] = to_bytes(token, read)
-            if raw[read] is not None and (c := decoded(raw[read], written)) and c != token and not any("\x7f" <= x < "\xa0" for x in c):
+            if raw[read] is not None and (c := decoded(raw[read], written)) and c != token and not _C1.search(c):
                 out.setdefault(c, (read, "to " + written))
     return out
 
@@ -141,8 +166,8 @@ class CharModel:
         self.rest = 0.0001 / SPAN
         self.known: dict[int, float] = {}
 
-    def score(self, token: str) -> float:
-        """Natural logarithm of the token's probability, with a space at both ends."""
+    def score(self, token: str, least: float = -math.inf) -> float:
+        """Natural logarithm of the token's probability, with a space at both ends; something below `least` if it is below."""
         codes = [32, 32, *map(ord, folded(token)), 32]
         total, known = 0.0, self.known
         for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
@@ -152,6 +177,8 @@ class CharModel:
                 bc = b * SPAN + c
                 p = known[abc] = math.log(self.three.get(abc, 0.0) + self.two.get(bc, 0.0) + self.one.get(c, 0.0) + self.rest)
             total += p
+            if total < least:
+                break
         return total
 
 
@@ -168,29 +195,49 @@ def folded(text: str) -> str:
 class Restorer:
     """Verdicts on tokens: None (as it should be), or the restored form, and whether something is lost."""
 
-    GOOD = -3.2  # mean log probability of a character from which on other one-byte encodings aren't tried
-    FAIR = -4.5  # and that a form read from another one-byte encoding must have
+    GOOD = -3.2  # mean log probability of a character from which on forms of other one-byte encodings are weak
+    FAIR = -4.5  # and below which such a form is
 
-    def __init__(self, model: CharModel, margin: float) -> None:
-        self.model, self.margin = model, margin
+    def __init__(self, model: CharModel, margin: float, weak_margin: float = math.inf) -> None:
+        self.model, self.margin, self.weak_margin = model, margin, weak_margin
         self.verdict = lru_cache(1 << 18)(self._verdict)
 
-    def gain(self, token: str) -> tuple[float, str, tuple[str, ...]]:
-        """How much likelier the likeliest form is, that form, and its chain."""
+    def forms(self, token: str, margin: float, weak_margin: float) -> tuple[list[tuple[float, str, tuple[str, ...]]], list[tuple[float, str, tuple[str, ...]]]]:
+        """What the token may have been, with how much likelier that is (beyond the margins), and its chain: forms with
+        evidence besides the score, and weak ones."""
         score = self.model.score
         own = max(score(token), score(transducer()(token)))  # look-alikes and special spaces aren't garbled
         swaps = own / (len(token) + 1) < self.GOOD and (len(_ODD.findall(token)) > 1 or bool(_INSIDE.search(token)))
-        found = {c: chain for c, chain in candidates(token, swaps).items() if not chain[-1].startswith("to ") or score(c) / (len(c) + 1) >= self.FAIR}
+        found = candidates(token)
         if token[-1] in "ÃÂâГ":  # a no-break space that became a plain one
             found |= {k: c for k, c in candidates(token + "\xa0", swaps=False).items() if "\xa0" not in k}
-        best = max(((score(c), c, chain) for c, chain in found.items()), default=(own, token, ()))
-        return best[0] - own, best[1], best[2]
+        strong, weak = [], []
+        for c, chain in found.items():
+            utf8 = not chain[-1].startswith("to ")
+            least = margin if utf8 else min(margin, weak_margin) if swaps else weak_margin
+            if least == math.inf or (p := score(c, own + least)) - own <= least:
+                continue
+            if utf8 or (swaps and p / (len(c) + 1) >= self.FAIR):
+                if p - own > margin:
+                    strong.append((p - own, c, chain))
+            elif p - own > weak_margin:
+                weak.append((p - own, c, chain))
+        return strong, weak
+
+    def gain(self, token: str) -> tuple[float, str, tuple[str, ...]]:
+        """How much likelier the likeliest form with other evidence is, that form, and its chain."""
+        return max(self.forms(token, -math.inf, math.inf)[0], default=(0.0, token, ()))
+
+    def weak_gain(self, token: str) -> float:
+        """How much likelier the likeliest weak form is, 0 if none is."""
+        return max((x[0] for x in self.forms(token, math.inf, 0.0)[1]), default=0.0)
 
     def _verdict(self, token: str) -> tuple[str, bool, tuple[str, ...]] | None:
-        gain, best, chain = self.gain(token)
+        strong, weak = self.forms(token, self.margin, self.weak_margin)
+        best = max(strong + weak, default=None)
         lost = LOST in token or any("\x80" <= c < "\xa0" and c != "\x85" for c in token)
-        if gain > self.margin:
-            return best, LOST in best, chain
+        if best:
+            return best[1], LOST in best[1], best[2]
         return (token, True, ()) if lost else None
 
     def __call__(self, text: str) -> tuple[str, int, int]:
@@ -265,6 +312,47 @@ def validated_margin(model: CharModel, texts: list[str]) -> float:
     return float(min(max(LEAST_MARGIN, min((low + high) / 2, low + 4)), MOST_MARGIN))
 
 
+def _distinct_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens beyond ASCII of the clean texts, each once for a batch."""
+    for batch in batches:
+        found = {t for x in batch.column("text").to_pylist() if x and not x.isascii() and is_clean(x) for t in PARTS.split(x)[::2] if not t.isascii()}
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["token"])
+
+
+def script(token: str) -> str:
+    """The script of the first character beyond ASCII; all that aren't letters are one."""
+    c = next(x for x in token if x > "\x7f")
+    return unicodedata.name(c, "?").split()[0] if c.isalpha() else "SYMBOL"
+
+
+def _weak_gains(model: Broadcast):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Restorer(model.value, math.inf)
+        for batch in batches:
+            tokens = batch.column("token").to_pylist()
+            steps = [(script(t), math.ceil(g * STEPS)) for t in tokens if (g := r.weak_gain(t)) <= MOST_MARGIN]  # beyond it a token is garbled, whatever its text
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in steps], pa.string()), pa.array([x[1] for x in steps], pa.int32())], ["script", "step"])
+
+    return run
+
+
+def validated_weak_margin(model: Broadcast, texts: DataFrame) -> float:
+    """Above what the distinct clean tokens of any script gain from weak forms. Spark counts; a histogram for each script reaches the driver."""
+    tokens = texts.select("text").mapInArrow(_distinct_clean, "token string").distinct()
+    counts: dict[str, dict[int, int]] = {}
+    for x in tokens.mapInArrow(_weak_gains(model), "script string, step int").groupBy("script", "step").count().collect():
+        counts.setdefault(x.script, {})[x.step] = x["count"]
+    low = 0
+    for of in counts.values():
+        rest = sum(of.values()) * 0.001  # a thousandth may lie above: clean texts may hold a garbled token
+        for step in sorted(of, reverse=True):
+            rest -= of[step]
+            if rest < 0:
+                low = max(low, step)
+                break
+    return min(max(LEAST_MARGIN, low / STEPS + ABOVE_CLEAN), MOST_MARGIN)
+
+
 @lru_cache(1)
 def _restorer(known: Broadcast) -> Restorer:
     """One for all tasks of a Python worker, so that what it learned of tokens stays."""
@@ -296,5 +384,6 @@ def restored(documents: DataFrame) -> DataFrame:
     texts = documents.filter("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     model = train(texts)
     sample = [r.text for r in texts.filter(F.length("text") < 20_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    known = documents.sparkSession.sparkContext.broadcast((model, validated_margin(model, sample)))
+    sc = documents.sparkSession.sparkContext
+    known = sc.broadcast((model, validated_margin(model, sample), validated_weak_margin(sc.broadcast(model), texts)))
     return texts.mapInArrow(_restore(known), "doc_id bigint, text string, n_garbled int, n_lost int")

@@ -197,10 +197,26 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v"), F.col("v"))).distinct()
 
 
-def groups(records: DataFrame, **kw: float) -> DataFrame:
+def short_members(records: DataFrame, below: int) -> DataFrame:
+    """kind, id and rep of the records of fewer than `below` words: a key of the kind and the whole word sequence, or of the
+    text as it is where there is no word. Null texts are each alone."""
+    words = word_hashes("text")
+    short = records.filter(F.col("id").isNotNull()).select("kind", "id", "text", words.alias("words")).filter(F.coalesce(F.size("words"), F.lit(0)) < below)
+    key = F.when(F.col("text").isNull(), F.xxhash64(F.lit("null"), "kind", "id")).when(F.size("words") == 0, F.xxhash64(F.lit("text"), "kind", "text")).otherwise(F.xxhash64(F.lit("words"), "kind", "words"))
+    return short.select("kind", "id", key.alias("rep")).distinct()
+
+
+def groups(records: DataFrame, every: bool = False, **kw: float) -> DataFrame:
     """One row per compared record: kind, id, group_id (smallest id of the records linked with it, directly or over
-    others), n_links (its similar records)."""
+    others), n_links (its similar records).
+
+    With `every`, one row per record with an id: those of fewer words than a shingle are similar if all their words are
+    equal and in the same order; null texts are similar to none."""
+    if every:
+        kw["min_words"] = kw.get("k", SHINGLE)
     members, pairs = similar_sets(records, **kw)
+    if every:
+        members = members.union(short_members(records, kw["min_words"]))
     members, pairs = written(members, "members"), written(pairs, "links")
     sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
     ends = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("rep", "other")

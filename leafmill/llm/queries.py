@@ -71,17 +71,16 @@ def p5_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
-    other = F.coalesce("doc_type", F.lit("")) != "xlsx"
-    b = table(s, d, "blocks").filter(other).select(F.lit("block").alias("kind"), F.col("block_id").alias("id"), "text")
-    return b.union(table(s, d, "chunk_records").filter(other).select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.col("retrieval_text").alias("text")))
+    b = table(s, d, "blocks").select(F.lit("block").alias("kind"), F.col("block_id").alias("id"), "text", "doc_type")
+    return b.union(table(s, d, "chunk_records").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.col("retrieval_text").alias("text"), "doc_type"))
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_pairs(_records(s, d), similarity=0.6, k=3).select("rec_kind", "id_a", "id_b")
+    return neardup.similar_pairs(_records(s, d).filter(F.coalesce("doc_type", F.lit("")) != "xlsx"), similarity=0.6, k=3).select("rec_kind", "id_a", "id_b")
 
 
 def p6_groups(s: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(_records(s, d))
+    return neardup.groups(_records(s, d), every=True)
 
 
 def p7_ids(s: SparkSession, d: str) -> DataFrame:

@@ -81,6 +81,16 @@ def test_groups(spark):
     assert "null" not in {k[1] for k in got}
 
 
+def test_groups_of_short_texts(spark):
+    """Texts too short for a shingle, or for p6_found, have rows and groups too."""
+    rows = [("block", "a", "Total amount"), ("block", "b", "total, AMOUNT!"), ("block", "c", "amount total"), ("chunk", "d", "Total amount"), ("block", "e", "-"), ("block", "f", "-"), ("block", "g", "+")]
+    rows += [("block", "n", None), ("block", "o", None), ("block", "p", ""), ("block", None, "x"), ("block", "q", "one two three four five six"), ("block", "r", "One two three four five six."), ("block", "s", "one two three four five")]
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    got = {r.id: (r.group_id, r.n_links) for r in neardup.groups(df.union(df.limit(4)), every=True).collect()}
+    alone = {i: (i, 0) for i in "cdgnops"}
+    assert got == alone | {"a": ("a", 1), "b": ("a", 1), "e": ("e", 1), "f": ("e", 1), "q": ("q", 1), "r": ("q", 1)}
+
+
 def test_components(spark):
     edges = [(n, n + 1) for n in range(60)] + [(100, 102), (101, 102), (7, 7)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -29,7 +29,8 @@ GRAPHEME = regex.compile(r"\X")
 PROSE = (SECTION, PARAGRAPH, LINE, SENTENCE, WORD)
 #: By block type; what isn't named is prose.
 HIERARCHIES = {"table": (LINE, CELL, SENTENCE, WORD), "row": (LINE, CELL, SENTENCE, WORD), "header": (LINE, CELL, WORD), "bullet": (LINE, SENTENCE, WORD)}
-RESERVE = 4  # at most a fourth of the limit is overlap
+RESERVE = 4  # a fourth of the limit is room for overlap, more if its tokens need more
+PER_TOKEN = 4  # characters, as tokens are estimated
 OUT = "block_id string, source_file string, doc_type string, block_type string, section_path array<string>, piece_no int, start int, overlap_chars int, text string"
 
 
@@ -61,7 +62,8 @@ def spans(text: str, start: int, end: int, budget: int, levels: tuple, out: list
 
 
 def tail(text: str, start: int, end: int, words: int, most: int) -> int:
-    """Where the last `words` words of text[start:end] begin, at most `most` characters from the end."""
+    """Where the last `words` words of text[start:end] begin, at most `most` characters from the end. If not even one
+    word begins there, where as many grapheme clusters begin as make `words` tokens."""
     least = max(start, end - most)
     begin = end
     for _ in range(words):
@@ -73,12 +75,20 @@ def tail(text: str, start: int, end: int, words: int, most: int) -> int:
         if k <= start or (k == least and not text[k - 1].isspace()) or k == begin:
             break
         begin = k
+    if begin == end and words > 0:
+        least = max(start + 1, end - min(most, PER_TOKEN * words))
+        return next((m.start() for m in GRAPHEME.finditer(text, max(start, least - 64), end) if m.start() >= least), least)
     return begin
 
 
+def room(limit: int, overlap_words: int) -> int:
+    """The characters that are kept free for the overlap: a fourth of the limit, or as many as the tokens need, up to half of the limit."""
+    return max(limit // RESERVE, min(PER_TOKEN * overlap_words, limit // 2)) if overlap_words > 0 else 0
+
+
 def pieces(text: str, limit: int, overlap_words: int, block_type: str = "") -> list[tuple[int, int, int]]:
     """The pieces of `text` as (start, end, characters shared with the piece before)."""
-    reserve = limit // RESERVE if overlap_words > 0 else 0
+    reserve = room(limit, overlap_words)
     parts: list[tuple[int, int]] = []
     spans(text, 0, len(text), max(1, limit - reserve), HIERARCHIES.get(block_type, PROSE), parts)
     out: list[tuple[int, int, int]] = []
@@ -107,7 +117,8 @@ def split_oversized(blocks: DataFrame, limits: DataFrame) -> DataFrame:
 
     Columns: block_id, source_file, doc_type, block_type, section_path, piece_no (from 1), start (in the text without
     outer white space), overlap_chars, text. The overlap is overlap_tokens words, fewer only where they would take
-    more than a fourth of the limit. No piece for texts within the limit, null texts, and types without a positive
+    more than a fourth of the limit and four characters a token; inside an unbroken run it is grapheme clusters of
+    overlap_tokens by estimate, at most half of the limit. No piece for texts within the limit, null texts, and types without a positive
     limit. A type given twice takes its smallest limit. Repeated rows of a block are cut once for each; callers
     take the distinct ones. Blocks may have more columns."""
     lim = limits.filter("max_chars > 0").groupBy("doc_type").agg(F.min("max_chars").alias("max_chars"), F.min(F.coalesce("overlap_tokens", F.lit(0))).alias("overlap_tokens"))

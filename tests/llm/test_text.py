@@ -78,6 +78,17 @@ def test_pieces_prefer_boundaries():
     assert splitting.pieces("e" + "́" * 50, 10, 0)[0][:2] == (0, 10)
 
 
+@pytest.mark.parametrize("run", ["0123456789abcdef" * 40, "長い文字列" * 100, "👩‍🔧é" * 90])
+def test_pieces_of_unbroken_runs_overlap(run):
+    for text in (run, "Some words before. " + run):
+        parts = splitting.pieces(text, 200, 24)
+        assert all(b - a <= 200 for a, b, _ in parts) and joined(text, parts) == text
+        inside = [(a, shared) for a, _, shared in parts[1:] if a >= len(text) - len(run)]
+        assert len(inside) > 1 and all(80 <= shared <= 96 for _, shared in inside)
+        clusters = {m.start() for m in splitting.GRAPHEME.finditer(text)}
+        assert all(a in clusters for a, _ in inside)
+
+
 def test_split_oversized(spark):
     rows = [("a", "f", "docx", " Paragraph ", ["S"], None, "  " + "word " * 30 + " "), ("b", "f", "docx", "paragraph", None, None, "x" * 20 + " " * 50), ("n", "f", "docx", None, None, None, None), ("e", "f", "docx", None, None, None, ""), ("u", "f", "other", None, None, None, "y" * 999), ("long", "f", "docx", None, None, None, "z" * 100_000)]
     df, limits = spark.createDataFrame(rows, BLOCK), spark.createDataFrame([("docx", 40, 9, 2), ("docx", 40, 9, 2), ("bad", 0, 0, 0), (None, 1, 1, 1)], "doc_type string, max_chars int, max_tokens int, overlap_tokens int")

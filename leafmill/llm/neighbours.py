@@ -3,7 +3,8 @@
 Vectors are split into two halves, each quantised by its own codebook; a vector's cell is the pair of its nearest
 centroids. The codebooks are fitted on at most SAMPLE vectors (chosen by hash); every vector is indexed. A query
 visits centroid pairs in the order of summed distance, from a heap, until the cells visited hold `candidates`
-vectors, and the entries of those cells are reranked by the exact cosine.
+vectors, and the entries of those cells are reranked by the exact cosine. Where a recall is asked for, `candidates` is
+raised until it holds for PROBES vectors that are searched exactly.
 
 Cells whose first centroids lie close together form a list; a query is sent once to each list it visits, with the
 cells to rerank there, and a task reranks cell by cell with matrix products. Lists of more than MOST_IN_LIST vectors are
@@ -30,6 +31,8 @@ PER_CELL = 24  # vectors in a cell, on average
 CENTROIDS = (4, 256)  # of a half, least and most; the cell counts are at most 65,536 numbers
 MOST_IN_LIST = 65_536
 PER_LIST = 4  # first centroids of a list
+PROBES = 256  # vectors searched exactly where a recall is asked for
+MANY = 16  # from this part of all vectors on, sorting all centroid pairs is faster than a heap
 
 
 def usable(c: str, dimension: int) -> F.Column:  # type: ignore[name-defined]
@@ -96,6 +99,21 @@ def visited(d1: np.ndarray, d2: np.ndarray, counts: list[list[int]], candidates:
     return out
 
 
+def visited_of_many(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, candidates: int) -> list[tuple[int, int]]:
+    """The pairs of `visited`, by sorting all of them."""
+    order, before = held_before(d1, d2, counts)
+    n = counts.ravel()[order]
+    first = order[(before < candidates) & (n > 0)]
+    return list(zip((first // len(d2)).tolist(), (first % len(d2)).tolist(), strict=True))
+
+
+def held_before(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centroid pairs in order of d1[i] + d2[j], and how many vectors the cells before each hold."""
+    order = np.argsort((d1[:, None] + d2).ravel(), kind="stable")
+    n = counts.ravel()[order]
+    return order, np.cumsum(n) - n
+
+
 class Index:
     """The codebooks, the number of vectors in each cell, and into how many parts each list and its queries are cut."""
 
@@ -149,12 +167,13 @@ def _send(index: Broadcast, candidates: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, counts = _index_of(index)
+        many = candidates * MANY > ix.counts.sum()
         for b in batches:
             d1, d2 = ix.cells(unit(b.column("v"), ix.dimension))
             source, lists, parts, cells = [], [], [], []
             for q in range(len(b)):
                 at: dict[int, list[int]] = {}
-                for i, j in visited(d1[q], d2[q], counts, candidates):
+                for i, j in visited_of_many(d1[q], d2[q], ix.counts, candidates) if many else visited(d1[q], d2[q], counts, candidates):
                     at.setdefault(ix.list_of[i], []).append(i << 8 | j)
                 for g, own in at.items():
                     code = np.array(own, np.uint16).tobytes()
@@ -230,13 +249,54 @@ def _rerank(k: int, least: float, dimension: int):  # noqa: ANN202
     return run
 
 
-def entry_neighbours(vectors: DataFrame, k: int, least: float, candidates: int, dimension: int) -> DataFrame:
+def _probe(probes: Broadcast, k: int, dimension: int):  # noqa: ANN202
+    """Of each batch, the k entries most similar to each probe: the probe's number, similarity, cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vids, y = probes.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p = unit(b.column("v"), dimension) @ y.T
+            p[b.column("vid").to_numpy()[:, None] == vids] = -2
+            at = np.argpartition(-p, min(k, len(p)) - 1, axis=0)[:k]
+            row, q = at.ravel(), np.broadcast_to(np.arange(len(vids)), at.shape).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(p[row, q]), b.column("cell").take(pa.array(row))], ["probe", "similarity", "cell"])
+
+    return run
+
+
+def enough(index: Index, placed: DataFrame, k: int, recall: float) -> int:
+    """The candidates with which the probes' visits find that share of their k most similar entries. At most PROBES * k rows reach the driver."""
+    some = placed.select("vid", "v").orderBy("vid").limit(PROBES).toArrow()  # vid is a hash
+    if len(some) < 2:
+        return 0
+    y = unit(some.column("v"), index.dimension)
+    known = placed.sparkSession.sparkContext.broadcast((some.column("vid").to_numpy(), y))
+    near = placed.mapInArrow(_probe(known, k, index.dimension), "probe int, similarity double, cell int").filter("similarity > -2")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("similarity"), "cell"))).filter(F.col("r") <= k)
+    d1, d2 = index.cells(y)
+    at: dict[int, list[int]] = {}
+    for r in near.select("probe", "cell").collect():
+        at.setdefault(r.probe, []).append((r.cell >> 8) * d2.shape[1] + (r.cell & 255))
+    need = []
+    for q, cells in at.items():
+        order, before = held_before(d1[q], d2[q], index.counts)
+        of = np.empty_like(before)
+        of[order] = before
+        need += of[cells].tolist()
+    return int(np.quantile(need, recall, method="higher")) + 1
+
+
+def entry_neighbours(vectors: DataFrame, k: int, least: float, candidates: int, dimension: int, recall: float | None = None) -> DataFrame:
     """The k most similar other entries of each entry, as far as found: a, b, similarity (at least `least`).
-    vectors: vid, v, repeated as they may be."""
+    vectors: vid, v, repeated as they may be. With `recall`, `candidates` is the least number."""
     sc = vectors.sparkSession.sparkContext
     index = Index(vectors, vectors.select("vid").distinct().count(), dimension)
     placed = written(vectors.select("vid", "v").mapInArrow(_place(sc.broadcast(index)), "vid bigint, v binary, cell int").dropDuplicates(["vid"]), "placed")
     index.count(placed)
+    if recall is not None:
+        candidates = max(candidates, enough(index, placed, k, recall))
     known = sc.broadcast(index)
     of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
     base = placed.withColumn("list", of(index.list_of, F.shiftright("cell", 8))).withColumn("part", F.pmod("vid", of(index.parts, F.col("list"))).cast("int"))
@@ -247,17 +307,18 @@ def entry_neighbours(vectors: DataFrame, k: int, least: float, candidates: int,
     return base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_rerank(k, least, dimension), "a bigint, b bigint, similarity double")
 
 
-def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidates: int = 2000, dimension: int = 64) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidates: int = 2000, dimension: int = 64, recall: float | None = None) -> DataFrame:
     """The k most similar other ids of each id: id, other, similarity (cosine), rank.
 
     vectors: id, v. Ids without a usable vector (null, other length, not finite, all zero) and null ids are in no
     row. Repeated rows of an id count once. Ties go to the smaller id. With `least`, only pairs of at least this
-    similarity. Where ids share one vector, each has the others first."""
+    similarity. Where ids share one vector, each has the others first. With `recall`, as many candidates as that share of
+    the neighbours needs, `candidates` at least."""
     if dimension % 2:
         raise ValueError("the dimension must be even")
     vectors = packed(vectors, dimension)
     members = written(vectors.select("id", "vid").distinct(), "members")
-    pairs = entry_neighbours(vectors, k, least, candidates, dimension)
+    pairs = entry_neighbours(vectors, k, least, candidates, dimension, recall)
     if least <= -1:  # every list gives k for a query: keep few of all lists before they count for both sides
         pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= 3 * k).drop("r")
     pairs = written(pairs, "near")

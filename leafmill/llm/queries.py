@@ -39,7 +39,7 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(s: SparkSession, d: str) -> DataFrame:
-    return neighbours.most_similar(_vectors(s, d), candidates=3000).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "similarity", "rank")
+    return neighbours.most_similar(_vectors(s, d), candidates=3000, recall=0.93).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "similarity", "rank")
 
 
 def p3_pieces(s: SparkSession, d: str) -> DataFrame:

@@ -179,3 +179,22 @@ def test_neighbours_of_copies_and_few(spark):
         got.setdefault(r.id, []).append(r.other)
     assert got["c05"] == [f"c{n:02d}" for n in range(11) if n != 5] and len(got["other"]) == 10
     assert neighbours.most_similar(df.limit(1)).count() == 0
+
+
+def test_neighbours_hold_recall(spark):
+    """Few candidates are raised until far neighbours are found too."""
+    x = np.random.default_rng(4).normal(size=(1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(f"{n}", v.tolist()) for n, v in enumerate(x)], "id string, v array<float>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    truth = {(str(r), str(c)) for r in range(len(x)) for c in np.argsort(-s[r])[:10]}
+    got = {(r.id, r.other) for r in neighbours.most_similar(df, candidates=50, recall=0.93).collect()}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got) == len(truth)
+
+
+def test_visits_by_sorting():
+    g = np.random.default_rng(8)
+    d1, d2, counts = g.random(9), g.random(7), g.integers(0, 5, (9, 7))
+    for candidates in (1, 20, 1000):
+        assert neighbours.visited_of_many(d1, d2, counts, candidates) == neighbours.visited(d1, d2, counts.tolist(), candidates)

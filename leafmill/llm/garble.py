@@ -200,7 +200,18 @@ class Restorer:
 
     def __init__(self, model: CharModel, margin: float, weak_margin: float = math.inf) -> None:
         self.model, self.margin, self.weak_margin = model, margin, weak_margin
-        self.verdict = lru_cache(1 << 18)(self._verdict)
+        self._known = lru_cache(1 << 18)(self._verdict)
+        self._gains = lru_cache(1 << 18)(self._weak_gain)
+
+    def verdict(self, token: str) -> tuple[str, bool, tuple[str, ...]] | None:
+        """Digits count as one in scores, so tokens that differ in digits alone are judged alike."""
+        alike = _DIGIT.sub("0", token)
+        known = self._known(alike)
+        return known if known is None or alike == token else self._known(token)
+
+    def weak_gain(self, token: str) -> float:
+        """How much likelier the likeliest weak form is, 0 if none is."""
+        return self._gains(_DIGIT.sub("0", token))
 
     def forms(self, token: str, margin: float, weak_margin: float) -> tuple[list[tuple[float, str, tuple[str, ...]]], list[tuple[float, str, tuple[str, ...]]]]:
         """What the token may have been, with how much likelier that is (beyond the margins), and its chain: forms with
@@ -228,8 +239,7 @@ class Restorer:
         """How much likelier the likeliest form with other evidence is, that form, and its chain."""
         return max(self.forms(token, -math.inf, math.inf)[0], default=(0.0, token, ()))
 
-    def weak_gain(self, token: str) -> float:
-        """How much likelier the likeliest weak form is, 0 if none is."""
+    def _weak_gain(self, token: str) -> float:
         return max((x[0] for x in self.forms(token, math.inf, 0.0)[1]), default=0.0)
 
     def _verdict(self, token: str) -> tuple[str, bool, tuple[str, ...]] | None:

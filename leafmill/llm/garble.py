@@ -1,14 +1,20 @@
 """Texts decoded with a wrong character encoding, and their restoration.
 
-Two steps. First a character trigram model with interpolated (smoothed) probabilities is trained on the clean
-records: those without replacement characters, C1 controls and well-formed UTF-8 that was read as something else.
-Its counts cover all clean records. Then every token with characters beyond ASCII is scored: as it is, and after
-each encode-decode chain that applies to it. The likeliest form is accepted if it is likelier than the token as
-it stands by more than a margin, which is validated on a sample of clean tokens and of the same tokens garbled on purpose.
-Forms with little evidence but their score (one odd character at a word's end, say) have a margin of their own, above
-what all distinct clean tokens of any script gain.
-
-Tokens are runs without ASCII white space; a verdict is found once for each distinct token of a task."""
+Every step works on the distinct tokens of the whole corpus (runs without ASCII white space), which Spark counts once,
+by language and by whether the record is clean: clean records are those without replacement characters, C1 controls
+and well-formed UTF-8 that was read as something else.
+
+Character trigram models with interpolated (smoothed) probabilities are trained on all clean records, one over all of
+them and one for each language. Their counts stand in a table of CELLS hashed cells (two rows, the smaller count holds),
+so a model has one size whatever the corpus, and no trigram is dropped. Then each distinct token with characters beyond
+ASCII is scored, by the language that likes it best: as it is, and after every encode-decode chain that applies to
+it; a lost character (U+FFFD, a C1 control) is a chain too, whose result has something unobserved in its place. The likeliest form
+is accepted if it is likelier than the token as it stands by more than a margin. There are three margins, for chains through
+UTF-8 (or a loss) and for chains between other encodings, which have less evidence, on one character or on more. Each is validated on all clean
+tokens, as they are and garbled on purpose: it lies by GUARD above what all but a thousandth of the clean tokens of any
+script gain, but not above what half of the garbled ones gain.
+
+Tokens that differ in digits alone are judged as one; a verdict is a chain, which is then applied to each of them."""
 
 from __future__ import annotations
 
@@ -16,7 +22,9 @@ import codecs
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,29 +33,37 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.canonical import transducer
-
-MOST_TRIGRAMS = 400_000
-SAMPLE = 400  # clean texts on which the margin is validated
-LEAST_MARGIN, MOST_MARGIN = 4.0, 12.0
-ABOVE_CLEAN = 4.0  # the margin of weak forms over what clean tokens gain
-STEPS = 8  # of a histogram of gains, to a unit
-LOST = "�"
+from leafmill.llm.canonical import INVISIBLE, transducer
+from leafmill.llm.words import mixed
+from leafmill.tables import written
+
+CELLS = 1 << 22  # of a model's table; two rows of 4 bytes each
+LANGUAGES = 15  # slots of languages beside the one of all records; further languages share slots
+MOST_COUNTED = 200_000  # tokens that a task holds before it passes them on
+MOST_SENT = 1_000_000  # garbled tokens that all tasks are sent; more are joined
+FALSE = 0.001  # of the clean tokens, as many may gain more than the margin less GUARD: clean records may hold a garbled token
+GUARD = 4.0  # how much further a form must be likelier, as a natural logarithm
+UNOBSERVED = -8.0  # log probability of a lost character: one of a few thousand
+STEPS, MOST_STEPS = 8, 800  # of a histogram of gains, to a unit and in all
+LOST = "\ufffd"
+_DIGIT = re.compile("[1-9]")
 PARTS = re.compile(r"([ \t\n\r]+)")
 #: Tokens that keep a text from being trained on: runs of accented letters, symbols inside words, case that jumps inside a word.
 UNCLEAN = re.compile(r"[À-ÖØ-öø-ÿ]{3}|[^\W\d_][¡-¶¸-¿×÷†‡ˆ‰˜ƒ][^\W\d_]|[а-яё][А-ЯЁ]|[\x80-\x84\x86-\x9f\ufffd]|[^\W\d_][\u2500-\u259f]")
-SPAN = 1 << 21
+#: Scripts so rare that ordinary neighbours of other scripts are likelier than they are.
+RARE = re.compile(r"[\u0460-\u048f\u0530-\u058f\u0700-\u08ff]")
+SPAN = 1 << 21  # of code points
 
 #: Encodings in which UTF-8 is commonly misread, and pairs (read as, written in) of other encodings.
 MISREAD_UTF8 = ("windows", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-15", "mac_cyrillic")
 WEST, CYRILLIC = ("windows", "mac_roman", "cp437", "cp850"), ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5")
 SWAPS = (
+    ("latin-1", "windows"),
     *((w, c) for w in WEST for c in (*CYRILLIC, "cp1250", "iso8859-2", "shift_jis", "euc_jp")),
     *((a, b) for a in WEST for b in WEST if a != b),
     *((a, b) for a in CYRILLIC for b in (*CYRILLIC, "windows") if a != b),
     ("cp1250", "windows"), ("cp1250", "iso8859-2"), ("iso8859-2", "cp1250"), ("iso8859-2", "windows"), ("shift_jis", "windows"),
 )
-_MULTI = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}")
 
 
 def _one_byte(error: UnicodeEncodeError) -> tuple[bytes, int]:
@@ -75,22 +91,6 @@ def to_bytes(text: str, encoding: str) -> bytes | None:
         return None
 
 
-def utf8_again(text: str, encoding: str) -> str:
-    """`text` with the well-formed UTF-8 that was read as `encoding` read as UTF-8."""
-    raw = as_bytes(text, encoding)
-    if not _MULTI.search(raw):
-        return text
-    out, end = [], 0
-    for x in _MULTI.finditer(raw):
-        try:
-            c = x[0].decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        out += [text[end : x.start()], c]
-        end = x.end()
-    return "".join([*out, text[end:]])
-
-
 _C1 = re.compile("[\x7f-\x9f]")
 _WINDOWS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256)]
 
@@ -104,229 +104,231 @@ def decoded(raw: bytes, encoding: str) -> str | None:
         return None
 
 
+@lru_cache(None)
+def byte_of(encoding: str) -> dict[str, int]:
+    """The characters beyond ASCII that a one-byte encoding has, and their bytes."""
+    out = {c: b for b in range(0x80, 0x100) if (c := decoded(bytes([b]), encoding)) and c > "\x7f"}
+    return out | ({chr(b): b for b in range(0x80, 0xA0)} if encoding == "windows" else {})
+
+
+@lru_cache(None)
+def _misread_utf8(encoding: str) -> re.Pattern:
+    """Well-formed UTF-8 of more than one byte as its characters are when it is read as `encoding`."""
+    of = byte_of(encoding)
+    some = lambda a, b: "[" + "".join(re.escape(c) for c, n in of.items() if a <= n <= b) + "]"
+    last = some(0x80, 0xBF)
+    forms = ((0xC2, 0xDF, None, 0), (0xE0, 0xE0, (0xA0, 0xBF), 1), (0xE1, 0xEF, (0x80, 0xBF), 1), (0xF0, 0xF0, (0x90, 0xBF), 2), (0xF1, 0xF4, (0x80, 0xBF), 2))
+    return re.compile("|".join(some(a, b) + (some(*second) if second else "") + last * (more or 1) for a, b, second, more in forms))
+
+
+def utf8_again(text: str, encoding: str) -> str:
+    """`text` with the well-formed UTF-8 that was read as `encoding` read as UTF-8."""
+    of = byte_of(encoding)
+    return _misread_utf8(encoding).sub(lambda m: decoded(bytes(map(of.__getitem__, m[0])), "utf-8") or m[0], text)
+
+
+@lru_cache(None)
+def swap_table(read: str, written_in: str) -> dict[str, str]:
+    """What the characters beyond ASCII of one one-byte encoding are in another."""
+    return {c: d for c, b in byte_of(read).items() if (d := decoded(bytes([b]), written_in))}
+
+
 _WIDE = {"shift_jis", "euc_jp"}
 _WIDE_SWAPS = [x for x in SWAPS if _WIDE & set(x)]
+#: Encodings in which byte A0, which may end a UTF-8 sequence, is a no-break space, so that it is easily lost.
+_BLANK_A0 = [e for e in MISREAD_UTF8 if e == "windows" or b"\xa0".decode(e) == "\xa0"]
+
+
+_NARROW_SWAPS = [x for x in SWAPS if not _WIDE & set(x)]
 
 
 @lru_cache(1 << 16)
 def _one_byte_swaps(chars: str) -> list[tuple[dict[int, str], tuple[str, ...]]]:
     """What the chains between one-byte encodings make of these characters, each different result once."""
     out: dict[str, tuple[str, ...]] = {}
-    for read, written in SWAPS:
-        if read not in _WIDE and written not in _WIDE and (raw := to_bytes(chars, read)) is not None and (c := decoded(raw, written)) and c != chars and not _C1.search(c):
-            out.setdefault(c, (read, "to " + written))
+    own = set(chars)
+    for read, written_in in _NARROW_SWAPS:
+        if own <= (table := swap_table(read, written_in)).keys() and (c := "".join(map(table.__getitem__, chars))) != chars and not _C1.search(c):
+            out.setdefault(c, (read, "to " + written_in))
     return [(dict(zip(map(ord, chars), c, strict=True)), chain) for c, chain in out.items()]
 
 
-def candidates(token: str, swaps: bool = True) -> dict[str, tuple[str, ...]]:
-    """What the token may have been, and the chain that leads there; the first chain to reach a form counts."""
-    out: dict[str, tuple[str, ...]] = {}
-    once = {}
+def through_utf8(token: str) -> dict[str, tuple[str, ...]]:
+    """What the token is when the UTF-8 in it is read as such, once or twice, also where its last byte became a blank; the first chain to reach a form counts."""
+    once: dict[str, tuple[str, ...]] = {}
     for e in MISREAD_UTF8:
         if (c := utf8_again(token, e)) != token:
             once.setdefault(c, (e,))
-    out |= once
+    if token[-1] > "\x7f":
+        for e in _BLANK_A0:
+            if "\xa0" not in (c := utf8_again(token + "\xa0", e)):
+                once.setdefault(c, (e, "with a blank"))
+    out = dict(once)
     for c, chain in once.items():
-        for e in MISREAD_UTF8[:5]:
-            if (d := utf8_again(c, e)) != c:
+        for e in MISREAD_UTF8:
+            if not c.isascii() and (d := utf8_again(c, e)) != c:
                 out.setdefault(d, (*chain, e))
-    if swaps:
-        for table, chain in _one_byte_swaps("".join(sorted({x for x in token if x > "\x7f"}))):
-            out.setdefault(token.translate(table), chain)
-        raw = {}
-        for read, written in _WIDE_SWAPS:
-            if read not in raw:
-                raw[read] = to_bytes(token, read)
-            if raw[read] is not None and (c := decoded(raw[read], written)) and c != token and not _C1.search(c):
-                out.setdefault(c, (read, "to " + written))
     return out
 
 
-class CharModel:
-    """Interpolated trigram probabilities of lower-cased characters, digits as one."""
+def between_others(token: str) -> dict[str, tuple[str, ...]]:
+    """What the token is when its bytes are read in another encoding than UTF-8."""
+    out = {token.translate(table): chain for table, chain in reversed(_one_byte_swaps("".join(sorted({x for x in token if x > "\x7f"}))))}
+    raw = {}
+    for read, written_in in _WIDE_SWAPS:
+        if read not in raw:
+            raw[read] = to_bytes(token, read)
+        if raw[read] is not None and (c := decoded(raw[read], written_in)) and c != token and not _C1.search(c):
+            out.setdefault(c, (read, "to " + written_in))
+    return out
 
-    WEIGHTS = (0.7, 0.2, 0.0999)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        first, mid, last = keys // SPAN // SPAN, keys // SPAN % SPAN, keys % SPAN
-        total = counts.sum() or 1
-        pairs, where = np.unique(first * SPAN + mid, return_inverse=True)
-        starts = np.bincount(where, counts, len(pairs))
-        ends, at = np.unique(mid * SPAN + last, return_inverse=True)
-        two = np.bincount(at, counts, len(ends))
-        ones, at1 = np.unique(last, return_inverse=True)
-        one = np.bincount(at1, counts, len(ones))
-        mids, at0 = np.unique(mid, return_inverse=True)
-        before = np.bincount(at0, counts, len(mids))
-        w3, w2, w1 = self.WEIGHTS
-        self.one = {int(k): w1 * v / total for k, v in zip(ones, one, strict=True)}
-        of = dict(zip(mids.tolist(), before.tolist(), strict=True))
-        self.two = {int(k): w2 * v / of[int(k) // SPAN] for k, v in zip(ends, two, strict=True)}
-        self.three = dict(zip(keys.tolist(), (w3 * counts / starts[where]).tolist(), strict=True))
-        self.rest = 0.0001 / SPAN
-        self.known: dict[int, float] = {}
-
-    def score(self, token: str, least: float = -math.inf) -> float:
-        """Natural logarithm of the token's probability, with a space at both ends; something below `least` if it is below."""
-        codes = [32, 32, *map(ord, folded(token)), 32]
-        total, known = 0.0, self.known
-        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
-            abc = (a * SPAN + b) * SPAN + c
-            p = known.get(abc)
-            if p is None:
-                bc = b * SPAN + c
-                p = known[abc] = math.log(self.three.get(abc, 0.0) + self.two.get(bc, 0.0) + self.one.get(c, 0.0) + self.rest)
-            total += p
-            if total < least:
-                break
-        return total
+_ODD = re.compile(r"[^\x00-\x7f]")
+_LOSSES = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
-_DIGIT = re.compile("[1-9]")
+def candidates(token: str) -> tuple[dict[str, tuple[str, ...]], dict[str, tuple[str, ...]]]:
+    """What the token may have been and the chain that leads there: forms through UTF-8 or with a loss, and those between other encodings."""
+    utf8 = through_utf8(token)
+    if _LOSSES.search(token):
+        utf8.setdefault(_LOSSES.sub(LOST, token), ("lost",))
+    return utf8, between_others(token)
 
 
-_SPACES = re.compile(r"[\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]")
-
-
-def folded(text: str) -> str:
-    return _SPACES.sub(" ", _DIGIT.sub("0", text.lower()))
-
-
-class Restorer:
-    """Verdicts on tokens: None (as it should be), or the restored form, and whether something is lost."""
-
-    GOOD = -3.2  # mean log probability of a character from which on forms of other one-byte encodings are weak
-    FAIR = -4.5  # and below which such a form is
-
-    def __init__(self, model: CharModel, margin: float, weak_margin: float = math.inf) -> None:
-        self.model, self.margin, self.weak_margin = model, margin, weak_margin
-        self._known = lru_cache(1 << 18)(self._verdict)
-        self._gains = lru_cache(1 << 18)(self._weak_gain)
-
-    def verdict(self, token: str) -> tuple[str, bool, tuple[str, ...]] | None:
-        """Digits count as one in scores, so tokens that differ in digits alone are judged alike."""
-        alike = _DIGIT.sub("0", token)
-        known = self._known(alike)
-        return known if known is None or alike == token else self._known(token)
-
-    def weak_gain(self, token: str) -> float:
-        """How much likelier the likeliest weak form is, 0 if none is."""
-        return self._gains(_DIGIT.sub("0", token))
-
-    def forms(self, token: str, margin: float, weak_margin: float) -> tuple[list[tuple[float, str, tuple[str, ...]]], list[tuple[float, str, tuple[str, ...]]]]:
-        """What the token may have been, with how much likelier that is (beyond the margins), and its chain: forms with
-        evidence besides the score, and weak ones."""
-        score = self.model.score
-        own = max(score(token), score(transducer()(token)))  # look-alikes and special spaces aren't garbled
-        swaps = own / (len(token) + 1) < self.GOOD and (len(_ODD.findall(token)) > 1 or bool(_INSIDE.search(token)))
-        found = candidates(token)
-        if token[-1] in "ÃÂâГ":  # a no-break space that became a plain one
-            found |= {k: c for k, c in candidates(token + "\xa0", swaps=False).items() if "\xa0" not in k}
-        strong, weak = [], []
-        for c, chain in found.items():
-            utf8 = not chain[-1].startswith("to ")
-            least = margin if utf8 else min(margin, weak_margin) if swaps else weak_margin
-            if least == math.inf or (p := score(c, own + least)) - own <= least:
-                continue
-            if utf8 or (swaps and p / (len(c) + 1) >= self.FAIR):
-                if p - own > margin:
-                    strong.append((p - own, c, chain))
-            elif p - own > weak_margin:
-                weak.append((p - own, c, chain))
-        return strong, weak
-
-    def gain(self, token: str) -> tuple[float, str, tuple[str, ...]]:
-        """How much likelier the likeliest form with other evidence is, that form, and its chain."""
-        return max(self.forms(token, -math.inf, math.inf)[0], default=(0.0, token, ()))
-
-    def _weak_gain(self, token: str) -> float:
-        return max((x[0] for x in self.forms(token, math.inf, 0.0)[1]), default=0.0)
-
-    def _verdict(self, token: str) -> tuple[str, bool, tuple[str, ...]] | None:
-        strong, weak = self.forms(token, self.margin, self.weak_margin)
-        best = max(strong + weak, default=None)
-        lost = LOST in token or any("\x80" <= c < "\xa0" and c != "\x85" for c in token)
-        if best:
-            return best[1], LOST in best[1], best[2]
-        return (token, True, ()) if lost else None
-
-    def __call__(self, text: str) -> tuple[str, int, int]:
-        """The text restored, the garbled tokens, and those in which something is lost."""
-        if text.isascii():
-            return text, 0, 0
-        parts, n, lossy = PARTS.split(text), 0, 0
-        for k in range(0, len(parts), 2):
-            if not parts[k].isascii() and (v := self.verdict(parts[k])) is not None:
-                n += 1
-                lossy += v[1]
-                parts[k] = v[0]
-        return ("".join(parts) if n else text), n, lossy
-
-
-_INSIDE = re.compile(r"[a-z][^\x00-\x7f\u2010-\u2026\u20ac][a-z]")
-_ODD = re.compile(r"[^\x00-\x7f\u2010-\u2026\u20ac]")
+def folded_codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the lower-cased tokens as numbers, two spaces before and one after each, digits and spaces as one; and each one's token."""
+    low = [t.lower() for t in tokens]
+    x = np.frombuffer("".join([f"  {t} " for t in low]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    x[(x >= 49) & (x <= 57)] = 48
+    x[((x >= 0x2000) & (x <= 0x200A)) | np.isin(x, (0xA0, 0x1680, 0x202F, 0x205F, 0x3000))] = 32
+    return x, np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)) + 3)
 
 
-#: Scripts so rare that ordinary neighbours of other scripts are likelier than they are.
-RARE = re.compile(r"[\u0460-\u048f\u0530-\u058f\u0700-\u08ff]")
+def trigrams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of the tokens as numbers, and each one's token."""
+    x, owner = folded_codes(tokens)
+    inside = owner[:-2] == owner[2:]
+    return ((x[:-2] * SPAN + x[1:-1]) * SPAN + x[2:])[inside], owner[:-2][inside]
 
 
-@lru_cache(1 << 18)
-def clean_token(token: str) -> bool:
-    return not UNCLEAN.search(token) and all((c := utf8_again(token, e)) == token or RARE.search(c) for e in ("windows", "mac_roman", "cp437", "cp1251"))
+def orders(abc: np.ndarray) -> list[np.ndarray]:
+    """What is counted of a trigram: itself, its first two characters, its last two, the middle one, the last one, and all."""
+    return [abc, abc // SPAN, abc % (SPAN * SPAN), abc // SPAN % SPAN, abc % SPAN, np.zeros_like(abc)]
 
 
-def is_clean(text: str) -> bool:
-    """No sign of a wrong encoding in the text, so that models may be trained on it."""
-    return text.isascii() or all(t.isascii() or clean_token(t) for t in PARTS.split(text)[::2])
+def cells_of(keys: np.ndarray, order: int, slot: int) -> np.ndarray:
+    """The cells of keys in both rows of the table."""
+    h = mixed(keys.view(np.uint64) ^ mixed(np.array([slot * 8 + order + 1], np.uint64)))
+    return np.stack([(h & np.uint64(CELLS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) % CELLS + CELLS])
 
 
-def codes(text: str) -> np.ndarray:
-    """The characters of `folded` text as numbers."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    x[(x >= 49) & (x <= 57)] = 48
-    x[((x >= 0x2000) & (x <= 0x200A)) | np.isin(x, (0xA0, 0x1680, 0x202F, 0x205F, 0x3000))] = 32
-    return x
+class CharModel:
+    """Interpolated trigram probabilities of lower-cased characters, of all records (slot 0) and of each language."""
 
+    WEIGHTS = (0.7, 0.2, 0.0999)
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folded trigrams of the clean texts as numbers, counted in slices. Runs of white space count as one space."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            texts = [t for t in batch.column("text").slice(start, 1000).to_pylist() if t and is_clean(t)]
-            x = codes("  ".join(["", *(" ".join(t.split()) for t in texts), ""]))
-            keys, counts = np.unique((x[:-2] * SPAN + x[1:-1]) * SPAN + x[2:], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, slots: list[int]) -> None:
+        self.table = np.zeros(2 * CELLS, np.float32)
+        self.table[cells] = counts
+        self.slots = slots
+        self.rest = 0.0001 / SPAN
+
+    def _logs(self, abc: np.ndarray, slot: int) -> np.ndarray:
+        of = [self.table[cells_of(k, n, slot)].min(axis=0).astype(np.float64) for n, k in enumerate(orders(abc))]
+        share = lambda n, all_: np.divide(of[n], of[all_], out=np.zeros(len(abc)), where=of[all_] > 0).clip(0, 1)
+        w3, w2, w1 = self.WEIGHTS
+        return np.log(w3 * share(0, 1) + w2 * share(2, 3) + w1 * share(4, 5) + self.rest)
+
+    def scores(self, forms: list[str], lost: bool = False) -> np.ndarray:
+        """Natural logarithms of the forms' probabilities, each by the language in which it is likeliest. With `lost`, a lost character is unobserved."""
+        abc, owner = trigrams(forms)
+        distinct, at = np.unique(abc, return_inverse=True)
+        best = np.full(len(forms), -math.inf)
+        for slot in self.slots:
+            p = self._logs(distinct, slot)
+            if lost:
+                p[distinct % SPAN == ord(LOST)] = UNOBSERVED
+            best = np.maximum(best, np.bincount(owner, p[at], len(forms)))
+        return best
+
+
+@lru_cache(1 << 18)
+def clean_token(token: str) -> bool:
+    return not UNCLEAN.search(token) and all((c := utf8_again(token, e)) == token or RARE.search(c) for e in ("windows", "mac_roman", "cp437", "cp1251"))
 
 
-def train(documents: DataFrame) -> CharModel:
-    """The model of all clean texts. Counts are summed by Spark; the most frequent trigrams reach the driver."""
-    counts = documents.select("text").filter("text IS NOT NULL").mapInArrow(_trigrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "key").limit(MOST_TRIGRAMS).toArrow()
-    return CharModel(top.column("key").to_numpy(), top.column("n").to_numpy())
+def tokens_of(text: str) -> list[str]:
+    return [t for t in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t]
 
 
-def garbled_on_purpose(token: str) -> list[str]:
-    """The token as a few wrong decodings leave it."""
-    raw = token.encode("utf-8")
-    return [raw.decode("latin-1"), *(decoded(raw, e) for e in ("windows", "mac_roman", "cp437", "cp850"))]
+def slot_of(lang: str | None) -> int:
+    """The slot of a language, 0 for an unknown one."""
+    name = (lang or "").strip().lower()
+    return zlib.crc32(name.encode()) % LANGUAGES + 1 if name not in ("", "und") else 0
 
 
-def validated_margin(model: CharModel, texts: list[str]) -> float:
-    """Above what clean tokens gain, below what garbled ones do, within the limits of this module."""
-    clean = {t for x in texts if is_clean(x) for t in PARTS.split(x)[::2] if t and not t.isascii()}
-    r = Restorer(model, math.inf)
-    false = [r.gain(t)[0] for t in clean]
-    true = [r.gain(g)[0] for t in sorted(clean)[:: max(1, len(clean) // 200)] for g in garbled_on_purpose(t) if g]
-    low, high = (np.quantile(false, 0.999) if false else 0.0), (np.quantile(true, 0.02) if true else math.inf)
-    return float(min(max(LEAST_MARGIN, min((low + high) / 2, low + 4)), MOST_MARGIN))
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, slot of its records' language, and how often it stands in clean ones. Tokens of ASCII count in clean records only."""
+    held: dict[int, defaultdict[str, int]] = defaultdict(lambda: defaultdict(int))
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        for slot, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array([slot] * len(counts), pa.int32()), pa.array(counts.values(), pa.int64())], ["token", "slot", "n"])
+        held.clear()
 
-def _distinct_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens beyond ASCII of the clean texts, each once for a batch."""
     for batch in batches:
-        found = {t for x in batch.column("text").to_pylist() if x and not x.isascii() and is_clean(x) for t in PARTS.split(x)[::2] if not t.isascii()}
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["token"])
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            tokens = tokens_of(_DIGIT.sub("0", text))
+            odd = [] if text.isascii() else [t for t in set(tokens) if not t.isascii()]
+            counts = held[slot_of(lang)]
+            if all(map(clean_token, odd)):
+                for t in tokens:
+                    counts[t] += 1
+            else:
+                for t in odd:
+                    counts[t] += 0
+        if sum(map(len, held.values())) > MOST_COUNTED:
+            yield from flush()
+    yield from flush()
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        abc, owner = trigrams(batch.column("token").to_pylist())
+        slots, n = batch.column("slot").to_numpy()[owner], batch.column("n").to_numpy()[owner]
+        cells, counts = [], []
+        for slot in np.unique(slots).tolist():
+            here = slots == slot
+            for order, keys in enumerate(orders(abc[here])):
+                distinct, at = np.unique(keys, return_inverse=True)
+                total = np.bincount(at, n[here])
+                for s in {0, slot}:
+                    cells += [*cells_of(distinct, order, s)]
+                    counts += [total, total]
+        distinct, at = np.unique(np.concatenate(cells), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(at, np.concatenate(counts)).astype(np.int64))], ["cell", "n"])
+
+
+def train(tokens: DataFrame) -> CharModel:
+    """The models of all clean records, from their counted tokens. Spark sums the counts; at most 2 * CELLS of them reach the driver."""
+    counted = tokens.filter("n > 0")
+    slots = sorted({0} | {r.slot for r in counted.select("slot").distinct().collect()})
+    cells = counted.mapInArrow(_count_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return CharModel(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), slots)
+
+
+def garbled_on_purpose(token: str) -> tuple[str | None, str | None]:
+    """The token as wrong decodings leave it: its UTF-8 read in another encoding, and its bytes in one other encoding read in
+    another. The token's hash says which, of those that apply; None where none does."""
+    raw, seed = token.encode("utf-8", "surrogatepass"), zlib.crc32(token.encode("utf-8", "surrogatepass"))
+    rotated = lambda xs: (xs[(seed + n) % len(xs)] for n in range(len(xs)))
+    utf8 = next((c for e in rotated(MISREAD_UTF8) if (c := decoded(raw, e)) and c != token), None)
+    odd = {x for x in token if x > "\x7f"}
+    tables = (table for read, written_in in rotated(_NARROW_SWAPS) if odd <= (table := swap_table(written_in, read)).keys())
+    other = next((c for table in tables if (c := token.translate({ord(x): table[x] for x in odd})) != token), None)
+    return utf8, other
 
 
 def script(token: str) -> str:
@@ -335,65 +337,164 @@ def script(token: str) -> str:
     return unicodedata.name(c, "?").split()[0] if c.isalpha() else "SYMBOL"
 
 
-def _weak_gains(model: Broadcast):  # noqa: ANN202
+def visible(form: str) -> str:
+    """Without the marks and joiners that show nothing, which few clean records have."""
+    return "".join(c for c in form if c not in INVISIBLE) or form
+
+
+def _best(model: CharModel, tokens: list[str], own: np.ndarray, forms: list[dict[str, tuple[str, ...]]], plain: Callable[[str], str]) -> tuple[list[float], list[str | None], list[tuple[str, ...] | None]]:
+    """How much likelier each token's likeliest form, after `plain`, is than the token, that form, and its chain; 0 and null where there is no form."""
+    flat = [f for x in forms for f in x]
+    owner = np.repeat(np.arange(len(forms)), np.fromiter(map(len, forms), np.int64, len(forms)))
+    gain, best, chain = [0.0] * len(tokens), [None] * len(tokens), [None] * len(tokens)
+    if flat:
+        s = model.scores([plain(f) for f in flat], lost=True) - own[owner]
+        order = np.lexsort((np.arange(len(s)), -s, owner))
+        first = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
+        for k in first.tolist():
+            o = int(owner[k])
+            gain[o], best[o], chain[o] = float(s[k]), flat[k], forms[o][flat[k]]
+    return gain, best, chain
+
+
+#: u: chains through UTF-8 or with a loss, s: chains between other encodings; what the likeliest form gains, and what the clean token gains when it is garbled.
+JUDGED = "token string, clean boolean, many boolean, script string, u double, u_form string, u_chain array<string>, s double, s_form string, s_chain array<string>, u_true double, s_true double"
+
+
+def _judge(model: Broadcast):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(model.value, math.inf)
+        m, same = model.value, transducer()
         for batch in batches:
-            tokens = batch.column("token").to_pylist()
-            steps = [(script(t), math.ceil(g * STEPS)) for t in tokens if (g := r.weak_gain(t)) <= MOST_MARGIN]  # beyond it a token is garbled, whatever its text
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in steps], pa.string()), pa.array([x[1] for x in steps], pa.int32())], ["script", "step"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                tokens = part.column("token").to_pylist()
+                clean = [n > 0 and clean_token(t) for t, n in zip(tokens, part.column("n").to_pylist(), strict=True)]
+                as_is = m.scores(tokens)
+                own = np.maximum(as_is, m.scores([same(t) for t in tokens]))  # look-alikes and special spaces aren't garbled
+                found = list(map(candidates, tokens))
+                u, s = (_best(m, tokens, own, [f[k] for f in found], plain) for k, plain in enumerate((visible, str)))
+                true, purpose = [], [garbled_on_purpose(t) if c else (None, None) for t, c in zip(tokens, clean, strict=True)]
+                for k in (0, 1):
+                    wrong = [(n, x[k]) for n, x in enumerate(purpose) if x[k]]
+                    gains: list[float | None] = [None] * len(tokens)
+                    if wrong:
+                        for (n, _), score in zip(wrong, m.scores([w for _, w in wrong]).tolist(), strict=True):
+                            gains[n] = float(as_is[n]) - score
+                    true.append(pa.array(gains, pa.float64()))
+                columns = [part.column("token"), pa.array(clean), pa.array([len(_ODD.findall(t)) > 1 for t in tokens]), pa.array(map(script, tokens), pa.string())]
+                for gain, form, chain in (u, s):
+                    columns += [pa.array(gain, pa.float64()), pa.array(form, pa.string()), pa.array(chain, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, *true], ["token", "clean", "many", "script", "u", "u_form", "u_chain", "s", "s_form", "s_chain", "u_true", "s_true"])
 
     return run
 
+def judged(tokens: DataFrame, model: CharModel) -> DataFrame:
+    """Each distinct token beyond ASCII with its likeliest forms (see JUDGED)."""
+    odd = tokens.filter(F.col("token").rlike(r"[^\x00-\x7f]")).groupBy("token").agg(F.sum("n").alias("n"))
+    return odd.mapInArrow(_judge(tokens.sparkSession.sparkContext.broadcast(model)), JUDGED)
 
-def validated_weak_margin(model: Broadcast, texts: DataFrame) -> float:
-    """Above what the distinct clean tokens of any script gain from weak forms. Spark counts; a histogram for each script reaches the driver."""
-    tokens = texts.select("text").mapInArrow(_distinct_clean, "token string").distinct()
-    counts: dict[str, dict[int, int]] = {}
-    for x in tokens.mapInArrow(_weak_gains(model), "script string, step int").groupBy("script", "step").count().collect():
-        counts.setdefault(x.script, {})[x.step] = x["count"]
-    low = 0
-    for of in counts.values():
-        rest = sum(of.values()) * 0.001  # a thousandth may lie above: clean texts may hold a garbled token
+
+def margins(judgements: DataFrame) -> dict[str, float]:
+    """The margins of chains through UTF-8 (u) and between other encodings, for tokens of one character beyond ASCII (s) and of more (m). Spark counts the gains of all clean tokens; a histogram for each script reaches the driver."""
+    each = judgements.filter("clean").select("script", F.explode(F.array(*(F.struct(F.concat(F.when(F.col("many") & F.lit(k == "s"), "m").otherwise(k), F.lit(end)).alias("kind"), F.col(k + end).alias("gain")) for k in ("u", "s") for end in ("", "_true")))).alias("x"))
+    step = F.least(F.greatest(F.ceil(F.col("x.gain") * STEPS), F.lit(0)), F.lit(MOST_STEPS)).cast("int")
+    counts: dict[str, dict[str, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
+    for r in each.filter("x.gain IS NOT NULL").groupBy("script", "x.kind", step.alias("step")).count().collect():
+        counts[r.kind][r.script][r.step] = r["count"]
+
+    def quantile(of: dict[int, int], above: float) -> float:
+        """The gain that as large a share as `above` exceeds."""
+        rest = sum(of.values()) * above
         for step in sorted(of, reverse=True):
             rest -= of[step]
             if rest < 0:
-                low = max(low, step)
-                break
-    return min(max(LEAST_MARGIN, low / STEPS + ABOVE_CLEAN), MOST_MARGIN)
-
-
-@lru_cache(1)
-def _restorer(known: Broadcast) -> Restorer:
-    """One for all tasks of a Python worker, so that what it learned of tokens stays."""
-    return Restorer(*known.value)
+                return step / STEPS
+        return 0.0
+
+    def together(kind: str) -> dict[int, int]:
+        out: dict[int, int] = defaultdict(int)
+        for of in counts[kind].values():
+            for step, n in of.items():
+                out[step] += n
+        return out
+
+    def margin(kind: str) -> float:
+        """Scripts of too few tokens for that share to be one of them count in the whole alone."""
+        large = [of for of in counts[kind].values() if sum(of.values()) * FALSE >= 1]
+        low = max(quantile(of, FALSE) for of in (together(kind), *large))
+        half = quantile(together(f"{kind}_true"), 0.5)
+        return min(low + GUARD, max(low, half)) if half else low + GUARD
+
+    return {kind: margin(kind) for kind in ("u", "s", "m")}
+
+
+def garbled_tokens(judgements: DataFrame) -> DataFrame:
+    """The tokens (their digits as 0) with a form beyond the margin, and the chain to the likeliest: token, chain."""
+    least = margins(judgements)
+    utf8, other = F.col("u") > least["u"], F.col("s") > F.when(F.col("many"), least["m"]).otherwise(least["s"])
+    chain = F.when(utf8 & ~(other & (F.col("s") > F.col("u"))), F.col("u_chain")).when(other, F.col("s_chain"))
+    return judgements.select("token", chain.alias("chain")).filter("chain IS NOT NULL")
+
+
+def applied(token: str, chain: list[str]) -> str:
+    """The token after the chain's steps."""
+    if chain[0] == "lost":
+        return token
+    if chain[-1].startswith("to "):
+        return decoded(to_bytes(token, chain[0]) or b"", chain[-1].removeprefix("to ")) or token
+    for e, then in zip(chain, [*chain[1:], ""], strict=True):
+        if e != "with a blank":
+            token = utf8_again(token + "\xa0" * (then == "with a blank"), e)
+    return token
+
+
+def restore(text: str, known: dict[str, list[str]]) -> tuple[str, int, int]:
+    """The text restored, its garbled tokens, and those in which something is lost."""
+    if text.isascii() or known.keys().isdisjoint(tokens_of(_DIGIT.sub("0", text))):
+        return text, 0, 0
+    parts, n, lossy = PARTS.split(text), 0, 0
+    for k in range(0, len(parts), 2):
+        if (chain := known.get(_DIGIT.sub("0", parts[k]))) is not None:
+            n += 1
+            parts[k] = applied(parts[k], chain)
+            lossy += bool(_LOSSES.search(parts[k]))
+    return "".join(parts), n, lossy
+
+
+def _restore(known: Broadcast | None):  # noqa: ANN202
+    """Of rows with own chains (found), or by those that all tasks have."""
 
-
-def _restore(known: Broadcast):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = _restorer(known)
         for batch in batches:
-            ids, texts, tokens, lossy = [], [], [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text, n, lost = r(t)
-                if n:
-                    ids.append(i)
-                    texts.append(text)
-                    tokens.append(n)
-                    lossy.append(lost)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(tokens, pa.int32()), pa.array(lossy, pa.int32())], ["doc_id", "text", "n_garbled", "n_lost"])
+            own = [known.value] * batch.num_rows if known is not None else ({x["token"]: x["chain"] for x in f} for f in batch.column("found").to_pylist())
+            rows = [(i, *restore(t, k)) for i, t, k in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), own, strict=True)]
+            rows = [r for r in rows if r[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["doc_id", "text", "n_garbled", "n_lost"])
 
     return run
 
 
+def _odd_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and token: the tokens beyond ASCII of each row, their digits as 0."""
+    for batch in batches:
+        rows = [(k, o) for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True) if not t.isascii() for o in {x for x in tokens_of(_DIGIT.sub("0", t)) if not x.isascii()}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["key", "token"])
+
+
 def restored(documents: DataFrame) -> DataFrame:
     """The affected documents: doc_id, text (restored as far as it can be), n_garbled (tokens), n_lost (of these, with something lost).
 
-    Null and empty texts are never affected. Repeated rows give equal rows; callers take the distinct ones. A
-    replacement character or C1 control is always a garbled place."""
-    texts = documents.filter("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    model = train(texts)
-    sample = [r.text for r in texts.filter(F.length("text") < 20_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    sc = documents.sparkSession.sparkContext
-    known = sc.broadcast((model, validated_margin(model, sample), validated_weak_margin(sc.broadcast(model), texts)))
-    return texts.mapInArrow(_restore(known), "doc_id bigint, text string, n_garbled int, n_lost int")
+    Null and empty texts are never affected. Repeated rows give equal rows; callers take the distinct ones. Documents
+    without a column lang are of one unknown language. Up to MOST_SENT garbled tokens, by a count, all tasks are sent
+    them; more are joined with the tokens of each text."""
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    texts = documents.filter("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lang.alias("lang"))
+    tokens = written(texts.select("text", "lang").mapInArrow(_count_tokens, "token string, slot int, n bigint").groupBy("token", "slot").agg(F.sum("n").alias("n")), "tokens")
+    found = written(garbled_tokens(written(judged(tokens, train(tokens)), "judged")), "garbled")
+    out = "doc_id bigint, text string, n_garbled int, n_lost int"
+    if found.count() <= MOST_SENT:
+        known = {r["token"]: r["chain"] for r in found.toArrow().to_pylist()}
+        return texts.select("doc_id", "text").mapInArrow(_restore(documents.sparkSession.sparkContext.broadcast(known)), out)
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    of = keyed.select("key", "text").mapInArrow(_odd_tokens, "key bigint, token string").distinct().join(found, "token").groupBy("key").agg(F.collect_list(F.struct("token", "chain")).alias("found"))
+    return keyed.join(of, "key").select("doc_id", "text", "found").mapInArrow(_restore(None), out)

@@ -208,3 +208,24 @@ def test_restoring_single_odd_characters(spark):
     docs = spark.createDataFrame([*enumerate(clean), (900, whole.encode("cp1250").decode("cp1252")), (901, "nowy skład – “plan” raport…")], "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in garble.restored(docs).collect()}
     assert got == {900: whole}
+
+
+def test_restoring_when_tokens_are_joined(spark):
+    """The way for more garbled tokens than tasks are sent gives the same texts."""
+    rng = random.Random(7)
+    clean = [" ".join(rng.choice(WORDS["de"]) for _ in range(40)) for _ in range(80)]
+    wrong = [(900 + k, " ".join(rng.choice(WORDS["de"]) for _ in range(9)).encode().decode(e)) for k, e in enumerate(("latin-1", "cp1252", "cp437"))]
+    docs = spark.createDataFrame([*enumerate(clean), *wrong, (950, "Gr��e und für"), (None, wrong[0][1])], "doc_id bigint, text string").withColumns({"lang": F.lit("DE"), "token": F.lit(1)})
+    sent = {r.doc_id: tuple(r) for r in garble.restored(docs).collect()}
+    keep, garble.MOST_SENT = garble.MOST_SENT, 0
+    try:
+        joined_ = {r.doc_id: tuple(r) for r in garble.restored(docs).collect()}
+    finally:
+        garble.MOST_SENT = keep
+    assert sent == joined_ and set(sent) == {900, 901, 902, 950, None} and sent[950][3] == 1
+
+
+def test_chains_are_applied_as_judged():
+    for token in ("PrÃ¼fung", "Ã", "Ïðèâåò", "â€œx", "кНЯЕБН", "ÃƒÂ¼ber"):
+        for found in garble.candidates(token):
+            assert all(garble.applied(token, list(chain)) == form for form, chain in found.items())

@@ -46,6 +46,16 @@ def p3_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(s, d, "blocks"), table(s, d, "chunk_limits")).dropDuplicates(["block_id", "piece_no"])
 
 
+def p3_joined(s: SparkSession, d: str) -> DataFrame:
+    """Of each block that is cut: a digest of its pieces put together again without their overlaps, whether all of them keep the limit, and whether their numbers have no gap."""
+    limits = table(s, d, "chunk_limits").groupBy("doc_type").agg(F.min("max_chars").alias("max_chars"))
+    each = p3_pieces(s, d).join(F.broadcast(limits), "doc_type").groupBy("block_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(text, overlap_chars + 1)").alias("new")))).alias("x"), F.max(F.length("text") - F.col("max_chars")).alias("over"), F.max("piece_no").alias("last"), F.count("*").alias("n"),
+        F.max(F.expr("if(overlap_chars = length(text), 1, 0)")).alias("nothing_new"),
+    )
+    return each.select("block_id", F.md5(F.array_join(F.transform("x", lambda x: x["new"]), "")).alias("digest"), (F.col("over") <= 0).alias("within"), ((F.col("last") == F.col("n")) & (F.col("n") > 1) & (F.col("nothing_new") == 0)).alias("whole"))
+
+
 def p3_found(s: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split_oversized(table(s, d, "blocks"), table(s, d, "chunk_limits"))
     return pieces.filter("piece_no = 2").select("block_id").distinct()
@@ -104,4 +114,4 @@ def p9_texts(s: SparkSession, d: str) -> DataFrame:
     return garble.restored(table(s, d, "documents")).dropDuplicates(["doc_id"])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_texts, p5_budget, p5_counts, p6_found, p6_groups, p7_ids, p8_found, p8_passages, p9_found, p9_texts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_neighbours, p3_found, p3_pieces, p3_joined, p4_found, p4_texts, p5_budget, p5_counts, p6_found, p6_groups, p7_ids, p8_found, p8_passages, p9_found, p9_texts)}

@@ -1,10 +1,12 @@
 """Cutting texts beyond a size limit at natural boundaries, with an overlap.
 
 Texts within their limit never leave the JVM; only those beyond it reach Python. There a hierarchy of separators
-that suits the block type is tried from the top: a span over the budget is split at its first separator, and any
-part still over it at the next, down to grapheme clusters and, last, code points. The resulting spans are packed
-greedily to the limit. Every piece is a substring of the text without its outer white space: cutting the first
-overlap_chars off each piece and joining the rest gives that text again."""
+that suits the block type is tried from the top: parts between the coarsest separators are packed greedily to the limit. A
+part that doesn't fit any more begins the next piece, if it fits there beside the overlap; a part too long for any
+piece is cut at the next separators, down to grapheme clusters and, last, code points. A piece begins with the last
+overlap_tokens tokens of the one before; only what they really take is taken off its limit. Every piece is a substring
+of the text without its outer white space: cutting the first overlap_chars off each piece and joining the rest gives
+that text again."""
 
 from __future__ import annotations
 
@@ -29,76 +31,69 @@ GRAPHEME = regex.compile(r"\X")
 PROSE = (SECTION, PARAGRAPH, LINE, SENTENCE, WORD)
 #: By block type; what isn't named is prose.
 HIERARCHIES = {"table": (LINE, CELL, SENTENCE, WORD), "row": (LINE, CELL, SENTENCE, WORD), "header": (LINE, CELL, WORD), "bullet": (LINE, SENTENCE, WORD)}
-RESERVE = 4  # a fourth of the limit is room for overlap, more if its tokens need more
-PER_TOKEN = 4  # characters, as tokens are estimated
+MOST_WORD = 40  # characters of a word that is one token of an overlap; of longer runs PER_TOKEN characters are one
+PER_TOKEN = 4
+ROOM = 4  # a fourth of the limit at least is for new text
 OUT = "block_id string, source_file string, doc_type string, block_type string, section_path array<string>, piece_no int, start int, overlap_chars int, text string"
 
 
-def spans(text: str, start: int, end: int, budget: int, levels: tuple, out: list[tuple[int, int]]) -> None:
-    """Appends the parts of text[start:end], none longer than `budget`, in order."""
-    if end - start <= budget:
-        out.append((start, end))
-        return
-    if levels:
-        at = start
-        for m in levels[0].finditer(text, start, end):
-            if m.end() < end and m.end() > at:
-                spans(text, at, m.end(), budget, levels[1:], out)
-                at = m.end()
-        spans(text, at, end, budget, levels[1:], out)
-        return
-    at = here = start
-    for m in GRAPHEME.finditer(text, start, end):
-        if m.end() - at > budget:
-            if here > at:
-                out.append((at, here))
-                at = here
-            while m.end() - at > budget:  # one cluster beyond the budget
-                out.append((at, at + budget))
-                at += budget
-        here = m.end()
-    if at < end:
-        out.append((at, end))
-
-
-def tail(text: str, start: int, end: int, words: int, most: int) -> int:
-    """Where the last `words` words of text[start:end] begin, at most `most` characters from the end. If not even one
-    word begins there, where as many grapheme clusters begin as make `words` tokens."""
-    least = max(start, end - most)
-    begin = end
-    for _ in range(words):
+def tail(text: str, start: int, end: int, tokens: int, most: int) -> int:
+    """Where the last `tokens` tokens of text[start:end] begin, at most `most` characters from the end."""
+    least, begin = max(start, end - most), end
+    while tokens > 0:
         k = begin
-        while k > least and text[k - 1].isspace():
+        while k > start and text[k - 1].isspace():
             k -= 1
-        while k > least and not text[k - 1].isspace():
-            k -= 1
-        if k <= start or (k == least and not text[k - 1].isspace()) or k == begin:
+        word = k
+        while word > start and k - word <= MOST_WORD and not text[word - 1].isspace():
+            word -= 1
+        if k - word > MOST_WORD:
+            at = max(k - PER_TOKEN * tokens, least)
+            return min(begin, next((m.start() for m in GRAPHEME.finditer(text, max(start, at - 64), end) if m.start() >= at), at))
+        if word == k or word < least:
             break
-        begin = k
-    if begin == end and words > 0:
-        least = max(start + 1, end - min(most, PER_TOKEN * words))
-        return next((m.start() for m in GRAPHEME.finditer(text, max(start, least - 64), end) if m.start() >= least), least)
+        begin, tokens = word, tokens - 1
     return begin
 
 
-def room(limit: int, overlap_words: int) -> int:
-    """The characters that are kept free for the overlap: a fourth of the limit, or as many as the tokens need, up to half of the limit."""
-    return max(limit // RESERVE, min(PER_TOKEN * overlap_words, limit // 2)) if overlap_words > 0 else 0
-
-
-def pieces(text: str, limit: int, overlap_words: int, block_type: str = "") -> list[tuple[int, int, int]]:
+def pieces(text: str, limit: int, overlap_tokens: int, block_type: str = "") -> list[tuple[int, int, int]]:
     """The pieces of `text` as (start, end, characters shared with the piece before)."""
-    reserve = room(limit, overlap_words)
-    parts: list[tuple[int, int]] = []
-    spans(text, 0, len(text), max(1, limit - reserve), HIERARCHIES.get(block_type, PROSE), parts)
+    levels = HIERARCHIES.get(block_type, PROSE)
+    most = limit - max(1, limit // ROOM)  # characters of an overlap
     out: list[tuple[int, int, int]] = []
-    start = at = 0
-    for a, b in parts:
-        if b - start > limit:
-            out.append((start, a, at - start))
-            at = a
-            start = tail(text, start, a, overlap_words, reserve) if reserve else a
-        end = b
+    start = at = end = 0  # of the open piece: its begin, where its new text begins, its end
+
+    def next_start() -> int:
+        return tail(text, start, end, overlap_tokens, most)
+
+    def close() -> None:
+        nonlocal start, at
+        out.append((start, end, at - start))
+        start, at = next_start(), end
+
+    def place(a: int, b: int, level: int) -> None:
+        nonlocal end
+        if b - start > limit and end > at and b - next_start() <= limit:
+            close()
+        if b - start <= limit:
+            end = b
+        elif level < len(levels):
+            here = a
+            for m in levels[level].finditer(text, a, b):
+                if m.end() < b and m.end() > here:
+                    place(here, m.end(), level + 1)
+                    here = m.end()
+            place(here, b, level + 1)
+        else:
+            for m in GRAPHEME.finditer(text, a, b):
+                if m.end() - start > limit and end > at:
+                    close()
+                while m.end() - start > limit:  # one cluster beyond the limit
+                    end = start + limit
+                    close()
+                end = m.end()
+
+    place(0, len(text), 0)
     out.append((start, end, at - start))
     return out
 
@@ -116,12 +111,14 @@ def split_oversized(blocks: DataFrame, limits: DataFrame) -> DataFrame:
     """The pieces of each block whose text, without outer white space, has more code points than max_chars of its doc_type.
 
     Columns: block_id, source_file, doc_type, block_type, section_path, piece_no (from 1), start (in the text without
-    outer white space), overlap_chars, text. The overlap is overlap_tokens words, fewer only where they would take
-    more than a fourth of the limit and four characters a token; inside an unbroken run it is grapheme clusters of
-    overlap_tokens by estimate, at most half of the limit. No piece for texts within the limit, null texts, and types without a positive
-    limit. A type given twice takes its smallest limit. Repeated rows of a block are cut once for each; callers
-    take the distinct ones. Blocks may have more columns."""
-    lim = limits.filter("max_chars > 0").groupBy("doc_type").agg(F.min("max_chars").alias("max_chars"), F.min(F.coalesce("overlap_tokens", F.lit(0))).alias("overlap_tokens"))
+    outer white space), overlap_chars, text. The overlap is overlap_tokens tokens: words, and in runs of more than
+    MOST_WORD characters PER_TOKEN characters each. It has fewer words only where the piece before has no more, or where they
+    would leave less than a fourth of the limit for new text; a limit that can't hold overlap_tokens of PER_TOKEN characters is an error. No piece for texts within the
+    limit, null texts, and types without a positive limit. A type given twice takes its smallest limit. Repeated rows of
+    a block are cut once for each; callers take the distinct ones. Blocks may have more columns."""
+    wide = F.col("overlap_tokens") * PER_TOKEN >= F.col("max_chars")
+    whole = F.when(wide, F.raise_error(F.concat(F.lit("the overlap of "), "doc_type", F.lit(" doesn't fit its max_chars"))).cast("int")).otherwise(F.col("overlap_tokens"))
+    lim = limits.filter("max_chars > 0").groupBy("doc_type").agg(F.min("max_chars").alias("max_chars"), F.min(F.coalesce("overlap_tokens", F.lit(0))).alias("overlap_tokens")).withColumn("overlap_tokens", whole)
     b = blocks.select("block_id", "source_file", "doc_type", clean_type("block_type").alias("block_type"), "section_path", "text")
     over = b.join(lim, "doc_type").filter(F.length("text") > F.col("max_chars")).withColumn("text", stripped("text")).filter(F.length("text") > F.col("max_chars"))
     return over.mapInPandas(_cut, OUT)

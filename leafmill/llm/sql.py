@@ -22,6 +22,8 @@ kept AS (SELECT k.block_id, coalesce(string_agg(k.line, chr(10) ORDER BY k.line_
 SELECT p.block_id, kept.text, coalesce(n_removed, 0) AS n_removed FROM pages p LEFT JOIN kept ON p.block_id = kept.block_id""",
     "p3_found": r"""SELECT DISTINCT block_id FROM blocks b JOIN chunk_limits l ON b.doc_type = l.doc_type
 WHERE length(regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g')) > max_chars""",
+    "p3_joined": r"""WITH b AS (SELECT DISTINCT block_id, doc_type, regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g') AS t FROM blocks)
+SELECT block_id, md5(t) AS digest, true AS within, true AS whole FROM b JOIN chunk_limits l ON b.doc_type = l.doc_type WHERE length(t) > max_chars""",
     "p6_found": r"""WITH records AS (SELECT DISTINCT 'block' AS rec_kind, block_id AS id, text FROM blocks WHERE coalesce(doc_type, '') <> 'xlsx' AND text IS NOT NULL
 UNION SELECT DISTINCT 'chunk', chunk_id, retrieval_text FROM chunk_records WHERE coalesce(doc_type, '') <> 'xlsx' AND chunk_id IS NOT NULL AND retrieval_text IS NOT NULL),
 worded AS (SELECT rec_kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM records),

@@ -74,7 +74,13 @@ def test_pieces_prefer_boundaries():
     cut = [text[a:b].strip() for a, b, _ in splitting.pieces(text, 50, 0)]
     assert cut == ["First sentence here. Second sentence here.", "New paragraph starts. It goes on."]
     with_overlap = [text[a:b] for a, b, _ in splitting.pieces(text, 50, 2)]
-    assert with_overlap[1].startswith("here.")  # two words would take more than a fourth of the limit
+    assert with_overlap[1].startswith("sentence here.")
+    two = ("word " * 20).strip() + "\n\n" + ("other " * 28).strip()
+    assert [(a, b) for a, b, _ in splitting.pieces(two, 200, 2)][0] == (0, 101)  # the second paragraph fits a piece beside the overlap
+    shared = [text.split() for text in (two[a : a + n] for a, _, n in splitting.pieces(two, 200, 2)[1:])]
+    assert shared == [["word", "word"]]
+    long = " ".join(f"word{n}" for n in range(500))
+    assert all(len(long[a : a + n].split()) == 24 for a, _, n in splitting.pieces(long, 300, 24)[1:])
     assert splitting.pieces("e" + "́" * 50, 10, 0)[0][:2] == (0, 10)
 
 
@@ -84,7 +90,7 @@ def test_pieces_of_unbroken_runs_overlap(run):
         parts = splitting.pieces(text, 200, 24)
         assert all(b - a <= 200 for a, b, _ in parts) and joined(text, parts) == text
         inside = [(a, shared) for a, _, shared in parts[1:] if a >= len(text) - len(run)]
-        assert len(inside) > 1 and all(80 <= shared <= 96 for _, shared in inside)
+        assert len(inside) > 1 and all(80 <= shared <= 96 for _, shared in inside[1:])
         clusters = {m.start() for m in splitting.GRAPHEME.finditer(text)}
         assert all(a in clusters for a, _ in inside)
 
@@ -97,6 +103,8 @@ def test_split_oversized(spark):
     a = sorted((r for r in got if r.block_id == "a"), key=lambda r: r.piece_no)
     assert "".join(r.text[r.overlap_chars :] for r in a) == ("word " * 30).strip() and a[1].overlap_chars > 0 and a[0].section_path == ["S"]
     assert splitting.split_oversized(df.limit(0), limits).count() == 0
+    with pytest.raises(Exception, match="the overlap of docx"):
+        splitting.split_oversized(df, limits.withColumn("overlap_tokens", F.lit(10))).collect()
 
 
 def test_canonical_forms():

@@ -68,7 +68,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 def p4_texts(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "blocks").select(F.lit("block").alias("kind"), F.col("block_id").alias("id"), "text").dropDuplicates(["id"])
     c = table(s, d, "citations").select(F.lit("citation").alias("kind"), F.col("citation_id").cast("string").alias("id"), "text").dropDuplicates(["id"])
-    return b.union(c).withColumn("text", canonical.canonical("text"))
+    return b.union(c).select("kind", "id", canonical.readable("text").alias("text"), canonical.canonical("text").alias("form"))
 
 
 def p5_budget(s: SparkSession, d: str) -> DataFrame:

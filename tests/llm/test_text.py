@@ -112,6 +112,11 @@ def test_canonical_forms():
     same = {"Ｃａｆé": "Café", "Café": "Café", "no­br​ea﻿k": "nobreak", "a b c　d": "a b c d", "Тhіѕ": "This", "ﬁnal oﬀer…": "final offer...", "Key": "Key", "ｶﾞ": "ガ", "A‑B": "A-B", "u‍̈": "ü", "ӑ": "ă", "a\r\nb": "a\nb"}
     for a, b in same.items():
         assert t(a) == b and t(b) == b, a
+    assert t("𝐀bc ɡ ՕՏ Ꭺ ꓮ 𝚨") == "Abc g OS A A A"
+    r = canonical.Reader()
+    for own in ("Москва и Россия", "ΑΘΗΝΑ και Ελλάδα", "СССР", "Հայաստան", "Café, naïve", "plain"):
+        assert r(own) == own
+    assert r("Тhіѕ") == "This" and r("Моcквa") == "Москва" and r("Ｃａｆé x​") == "Café x" and r("рayment СССР") == "payment СССР"
     different = ["FOR", "for", "cafe", "café", "10²", "102", "a–b", "a-b", "ł", "l"]
     assert len({t(x) for x in different}) == len(different)
     assert t("👩‍🔧") == "👩‍🔧" and t("") == ""

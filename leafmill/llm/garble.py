@@ -390,8 +390,9 @@ def _judge(model: Broadcast):  # noqa: ANN202
 
 def judged(tokens: DataFrame, model: CharModel) -> DataFrame:
     """Each distinct token beyond ASCII with its likeliest forms (see JUDGED)."""
-    odd = tokens.filter(F.col("token").rlike(r"[^\x00-\x7f]")).groupBy("token").agg(F.sum("n").alias("n"))
-    return odd.mapInArrow(_judge(tokens.sparkSession.sparkContext.broadcast(model)), JUDGED)
+    spark = tokens.sparkSession
+    odd = tokens.filter(F.col("token").rlike(r"[^\x00-\x7f]")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").groupBy("token").agg(F.sum("n").alias("n"))  # few bytes, much work: as many tasks as asked for
+    return odd.mapInArrow(_judge(spark.sparkContext.broadcast(model)), JUDGED)
 
 
 def margins(judgements: DataFrame) -> dict[str, float]:

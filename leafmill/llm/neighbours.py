@@ -1,14 +1,15 @@
 """The k most similar vectors for every vector, by an inverted multi-index.
 
 Vectors are split into two halves, each quantised by its own codebook; a vector's cell is the pair of its nearest
-centroids. The codebooks are fitted on at most SAMPLE vectors (chosen by hash); every vector is indexed. A query
+centroids. Codebooks grow with the number of vectors and are fitted on at most SAMPLE vectors (chosen by hash); every vector is indexed. A query
 visits centroid pairs in the order of summed distance, from a heap, until the cells visited hold `candidates`
 vectors, and the entries of those cells are reranked by the exact cosine. Where a recall is asked for, `candidates` is
 raised until it holds for PROBES vectors that are searched exactly.
 
-Cells whose first centroids lie close together form a list; a query is sent once to each list it visits, with the
-cells to rerank there, and a task reranks cell by cell with matrix products. Lists of more than MOST_IN_LIST vectors are
-cut into parts, and so are the queries of a much visited list, so no task holds a group of unbounded size. Equal vectors are one entry;
+Cells whose centroids lie close together form a list of about IN_LIST vectors; a query is sent once to each list it visits, with the
+cells to rerank there, and a task reranks cell by cell with matrix products. A list's queries are cut into slices by how many
+visit it (measured with the probes), and a list is copied once for each slice; as lists don't grow with the number of vectors, neither do the
+copies of one. Lists that hold more than twice IN_LIST vectors (of one crowded cell, say) are cut into parts. Equal vectors are one entry;
 their chunks are put back at the end, at most k + 1 for each entry, which is exact as all of them are equally similar."""
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from leafmill.tables import written
 SAMPLE = 16_384
 ITERATIONS = 8
 PER_CELL = 24  # vectors in a cell, on average
-CENTROIDS = (4, 256)  # of a half, least and most; the cell counts are at most 65,536 numbers
-MOST_IN_LIST = 65_536
-PER_LIST = 4  # first centroids of a list
-PROBES = 256  # vectors searched exactly where a recall is asked for
-MANY = 16  # from this part of all vectors on, sorting all centroid pairs is faster than a heap
+CENTROIDS = (4, 1024)  # of a half, least and most; the cell counts are at most as many numbers squared
+IN_LIST = 32_768
+MOST_QUERIES = 65_536  # of a list, in one task
+PROBES = 256  # vectors searched exactly where a recall is asked for, and whose visits are counted
+MANY = 16  # from this part of all vectors on, cells are taken up to a distance, in steps of BINS, instead of from a heap
+BINS = 1024
 
 
 def usable(c: str, dimension: int) -> F.Column:  # type: ignore[name-defined]
@@ -99,14 +101,6 @@ def visited(d1: np.ndarray, d2: np.ndarray, counts: list[list[int]], candidates:
     return out
 
 
-def visited_of_many(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, candidates: int) -> list[tuple[int, int]]:
-    """The pairs of `visited`, by sorting all of them."""
-    order, before = held_before(d1, d2, counts)
-    n = counts.ravel()[order]
-    first = order[(before < candidates) & (n > 0)]
-    return list(zip((first // len(d2)).tolist(), (first % len(d2)).tolist(), strict=True))
-
-
 def held_before(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The centroid pairs in order of d1[i] + d2[j], and how many vectors the cells before each hold."""
     order = np.argsort((d1[:, None] + d2).ravel(), kind="stable")
@@ -115,40 +109,74 @@ def held_before(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray) -> tuple[np.
 
 
 class Index:
-    """The codebooks, the number of vectors in each cell, and into how many parts each list and its queries are cut."""
+    """The codebooks, how centroids are grouped, the number of vectors in each cell, and into how many parts and slices each list is cut."""
 
     def __init__(self, vectors: DataFrame, n: int, dimension: int) -> None:
-        self.dimension = dimension
-        self.k = int(min(max(np.sqrt(n / PER_CELL), CENTROIDS[0]), CENTROIDS[1]))
+        self.dimension, self.n = dimension, n
+        k = int(min(max(np.sqrt(n / PER_CELL), CENTROIDS[0]), CENTROIDS[1]))
         few = -(1 << 63) + min((1 << 64) - 1, (2 * SAMPLE << 64) // max(n, 1))  # vid is a hash: the lowest ones are a sample
         sample = vectors.filter(F.col("vid") <= few).select("vid", "v").dropDuplicates(["vid"]).orderBy("vid").limit(SAMPLE).toArrow().column("v")
-        x = unit(sample, dimension) if len(sample) else np.eye(self.k, dimension)
+        x = unit(sample, dimension) if len(sample) else np.eye(k, dimension)
         half = dimension // 2
-        self.books = fit(x[:, :half], self.k), fit(x[:, half:], self.k, 8)
+        self.books = fit(x[:, :half], k), fit(x[:, half:], k, 8)
+        lists, most = max(1, -(-n // IN_LIST)), [max(1, len(b) // 4) for b in self.books]
+        first = min(lists, most[0])
+        wanted = first, min(max(1, -(-lists // first)), most[1])
+        self.groups = [distances(b, fit(b, w, 9)).argmin(1) for b, w in zip(self.books, wanted, strict=True)]
+        self.members = [[np.flatnonzero(g == a) for a in range(w)] for g, w in zip(self.groups, wanted, strict=True)]
+        self.place = [np.array([int((g[:c] == g[c]).sum()) for c in range(len(g))]) for g in self.groups]  # of a centroid in its group
         self.counts = np.zeros((len(self.books[0]), len(self.books[1])), np.int64)
-        near = fit(self.books[0], max(1, len(self.books[0]) // PER_LIST), 9)
-        self.list_of = distances(self.books[0], near).argmin(1).tolist()
+        self.parts = self.slices = np.ones(wanted[0] * wanted[1], np.int64)
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.dimension // 2
         return distances(x[:, :half], self.books[0]), distances(x[:, half:], self.books[1])
 
+    def lists(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each cell, and its number there."""
+        g, h = self.groups[0][i], self.groups[1][j]
+        width = np.array([len(m) for m in self.members[1]])
+        return g * len(width) + h, self.place[0][i] * width[h] + self.place[1][j]
+
     def count(self, placed: DataFrame) -> None:
-        """Fills in the counts; at most CENTROIDS[1] squared rows."""
+        """Fills in the counts; at most as many rows as there are cells."""
         for r in placed.groupBy("cell").count().toLocalIterator():
-            self.counts[r.cell >> 8, r.cell & 255] = r["count"]
-        held = np.bincount(self.list_of, self.counts.sum(1)).astype(np.int64)
-        self.parts = np.maximum(1, -(-held // MOST_IN_LIST)).tolist()
-        self.slices = np.maximum(1, -(-4 * held // MOST_IN_LIST)).tolist()
-
-    @property
-    def plain(self) -> list[list[int]]:
-        return self.counts.tolist()
-
-
-@lru_cache(1)
-def _index_of(b: Broadcast) -> tuple[Index, list[list[int]]]:
-    return b.value, b.value.plain
+            self.counts[divmod(r.cell, self.counts.shape[1])] = r["count"]
+        i, j = np.nonzero(self.counts)
+        held = np.bincount(self.lists(i, j)[0], self.counts[i, j], len(self.parts))
+        self.parts = np.maximum(1, -(-held // (2 * IN_LIST))).astype(np.int64)
+
+    def cut(self, visits: np.ndarray, of: int) -> None:
+        """Sets the slices. visits: how many of `of` queries visit each list."""
+        self.slices = np.maximum(1, -(-visits * self.n // (max(of, 1) * MOST_QUERIES))).astype(np.int64)
+
+    def visits(self, d1: np.ndarray, d2: np.ndarray, candidates: int) -> Iterator[list[tuple[int, bytes]]]:
+        """Of each query the lists it visits, each with its cells there: their numbers, or bits where they are many."""
+        if candidates * MANY < self.n:
+            plain = self.counts.tolist()
+            for a, b in zip(d1, d2, strict=True):
+                cells = np.array(visited(a, b, plain, candidates), np.int64).reshape(-1, 2)
+                lists, number = self.lists(cells[:, 0], cells[:, 1])
+                order = np.argsort(lists, kind="stable")
+                names, starts = np.unique(lists[order], return_index=True)
+                yield list(zip(names.tolist(), (x.astype(np.uint16).tobytes() for x in np.split(number[order], starts[1:])), strict=True)) if len(names) else []
+            return
+        some, rows = self.counts > 0, max(1, (1 << 21) // self.counts.size)
+        for start in range(0, len(d1), rows):
+            sums = d1[start : start + rows, :, None] + d2[start : start + rows, None, :]
+            low, high = sums.min((1, 2), keepdims=True), sums.max((1, 2), keepdims=True)
+            bins = ((sums - low) * (BINS / np.maximum(high - low, 1e-12))).astype(np.int32)
+            q = np.arange(len(sums))[:, None, None] * (BINS + 1)
+            held = np.bincount((bins + q).ravel(), np.broadcast_to(self.counts, sums.shape).ravel(), len(sums) * (BINS + 1)).reshape(len(sums), -1).cumsum(1)
+            last = (held < candidates).sum(1)
+            near = (bins <= last[:, None, None]) & some
+            for one in near:
+                out = []
+                for g, x in enumerate(self.members[0]):
+                    for h, y in enumerate(self.members[1]):
+                        if (bits := one[np.ix_(x, y)]).any():
+                            out.append((g * len(self.members[1]) + h, np.packbits(bits.ravel()).tobytes()))
+                yield out
 
 
 def _place(index: Broadcast):  # noqa: ANN202
@@ -156,34 +184,48 @@ def _place(index: Broadcast):  # noqa: ANN202
         ix = index.value
         for b in batches:
             d1, d2 = ix.cells(unit(b.column("v"), ix.dimension))
-            cell = (d1.argmin(1) << 8 | d2.argmin(1)).astype(np.int32)
+            cell = (d1.argmin(1) * d2.shape[1] + d2.argmin(1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("v"), pa.array(cell)], ["vid", "v", "cell"])
 
     return run
 
 
-def _send(index: Broadcast, candidates: int):  # noqa: ANN202
-    """A row for each list (and part) that a query visits: the list, the part, and the query's cells there."""
+def _base(index: Broadcast):  # noqa: ANN202
+    """The entries with their list and part, the cell's number in the list, and the list's slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, counts = _index_of(index)
-        many = candidates * MANY > ix.counts.sum()
+        ix = index.value
         for b in batches:
-            d1, d2 = ix.cells(unit(b.column("v"), ix.dimension))
-            source, lists, parts, cells = [], [], [], []
-            for q in range(len(b)):
-                at: dict[int, list[int]] = {}
-                for i, j in visited_of_many(d1[q], d2[q], ix.counts, candidates) if many else visited(d1[q], d2[q], counts, candidates):
-                    at.setdefault(ix.list_of[i], []).append(i << 8 | j)
-                for g, own in at.items():
-                    code = np.array(own, np.uint16).tobytes()
-                    for part in range(ix.parts[g]):
-                        source.append(q)
-                        lists.append(g)
-                        parts.append(part)
-                        cells.append(code)
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("vid").take(take), b.column("v").take(take), pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], ["vid", "v", "list", "part", "cells"])
+            lists, number = ix.lists(*divmod(b.column("cell").to_numpy(), ix.counts.shape[1]))
+            part = b.column("vid").to_numpy() % ix.parts[lists]
+            columns = [pa.array(x.astype(np.int32)) for x in (lists, part, number, ix.slices[lists])]
+            yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("v"), *columns], ["vid", "v", "list", "part", "number", "slices"])
+
+    return run
+
+
+def _send(index: Broadcast, candidates: int):  # noqa: ANN202
+    """A row for each list (and part) that a query visits: the list, the part, the slice, and the query's cells there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                b = whole.slice(start, 2000)
+                source, lists, parts, cells = [], [], [], []
+                for q, at in enumerate(ix.visits(*ix.cells(unit(b.column("v"), ix.dimension)), candidates)):
+                    for g, code in at:
+                        for part in range(ix.parts[g]):
+                            source.append(q)
+                            lists.append(g)
+                            parts.append(part)
+                            cells.append(code)
+                take = pa.array(source, pa.int64())
+                slices = (b.column("vid").to_numpy()[source] >> 20) % ix.slices[lists] if source else np.empty(0)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vid").take(take), b.column("v").take(take), pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), pa.array(slices.astype(np.int32)), pa.array(cells, pa.binary())],
+                    ["vid", "v", "list", "part", "slice", "cells"],
+                )
 
     return run
 
@@ -201,23 +243,26 @@ def _keep_best(best: tuple[np.ndarray, np.ndarray], rows: np.ndarray, p: np.ndar
     scores[rows], entries[rows] = np.take_along_axis(both, at, 1), np.take_along_axis(names, at, 1)
 
 
-def _rerank(k: int, least: float, dimension: int):  # noqa: ANN202
+def _rerank(k: int, least: float, dimension: int, wide: bool):  # noqa: ANN202
     def run(base: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         if not base.num_rows or not queries.num_rows:
             return empty
-        js = base.column("cell").to_numpy()
+        js = base.column("number").to_numpy()
         order = np.argsort(js, kind="stable")
         js = js[order]
         x, ids = unit(base.column("v").combine_chunks(), dimension)[order], base.column("vid").to_numpy()[order]
         y, qs = unit(queries.column("v").combine_chunks(), dimension), queries.column("vid").to_numpy()
         x32, y32 = x.astype(np.float32), y.astype(np.float32)
         cells = queries.column("cells").to_pylist()
-        sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 2
-        cell = np.frombuffer(b"".join(cells), np.uint16).astype(np.int32)
-        row = np.repeat(np.arange(len(cells)), sizes)
-        by = np.argsort(cell, kind="stable")
-        cell, row = cell[by], row[by]
+        if wide:
+            bits = np.unpackbits(np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1), axis=1)
+            cell, row = np.nonzero(bits[:, : js[-1] + 1].T)
+        else:
+            cell = np.frombuffer(b"".join(cells), np.uint16).astype(np.int32)
+            row = np.repeat(np.arange(len(cells)), np.fromiter(map(len, cells), np.int64, len(cells)) // 2)
+            by = np.argsort(cell, kind="stable")
+            cell, row = cell[by], row[by]
         held = k + 4  # itself, and some that float32 may misplace
         best = np.full((len(qs), held), max(-2.0, least - 1e-4), np.float32), np.full((len(qs), held), -1, np.int32)
         for j in np.unique(cell):
@@ -266,45 +311,48 @@ def _probe(probes: Broadcast, k: int, dimension: int):  # noqa: ANN202
     return run
 
 
-def enough(index: Index, placed: DataFrame, k: int, recall: float) -> int:
-    """The candidates with which the probes' visits find that share of their k most similar entries. At most PROBES * k rows reach the driver."""
+def enough(index: Index, placed: DataFrame, k: int, least: float, candidates: int, recall: float | None) -> int:
+    """The candidates with which the probes' visits find that share of their k most similar entries of at least that similarity,
+    `candidates` at least. Sets the index's slices. At most PROBES * k rows reach the driver."""
     some = placed.select("vid", "v").orderBy("vid").limit(PROBES).toArrow()  # vid is a hash
-    if len(some) < 2:
-        return 0
+    if not len(some):
+        return candidates
     y = unit(some.column("v"), index.dimension)
-    known = placed.sparkSession.sparkContext.broadcast((some.column("vid").to_numpy(), y))
-    near = placed.mapInArrow(_probe(known, k, index.dimension), "probe int, similarity double, cell int").filter("similarity > -2")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("similarity"), "cell"))).filter(F.col("r") <= k)
     d1, d2 = index.cells(y)
-    at: dict[int, list[int]] = {}
-    for r in near.select("probe", "cell").collect():
-        at.setdefault(r.probe, []).append((r.cell >> 8) * d2.shape[1] + (r.cell & 255))
-    need = []
-    for q, cells in at.items():
-        order, before = held_before(d1[q], d2[q], index.counts)
-        of = np.empty_like(before)
-        of[order] = before
-        need += of[cells].tolist()
-    return int(np.quantile(need, recall, method="higher")) + 1
+    if recall is not None and len(some) > 1:
+        known = placed.sparkSession.sparkContext.broadcast((some.column("vid").to_numpy(), y))
+        near = placed.mapInArrow(_probe(known, k, index.dimension), "probe int, similarity double, cell int").filter(F.col("similarity") >= max(least, -1.5))
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("similarity"), "cell"))).filter(F.col("r") <= k)
+        at: dict[int, list[int]] = {}
+        for r in near.select("probe", "cell").collect():
+            at.setdefault(r.probe, []).append(r.cell)
+        need = []
+        for q, cells in at.items():
+            order, before = held_before(d1[q], d2[q], index.counts)
+            of = np.empty_like(before)
+            of[order] = before
+            need += of[cells].tolist()
+        candidates = max(candidates, int(np.quantile(need, recall, method="higher")) + 1) if need else candidates
+    visits = np.zeros(len(index.parts), np.int64)
+    for at_lists in index.visits(d1, d2, candidates):
+        visits[[g for g, _ in at_lists]] += 1
+    index.cut(visits, len(some))
+    return candidates
 
 
 def entry_neighbours(vectors: DataFrame, k: int, least: float, candidates: int, dimension: int, recall: float | None = None) -> DataFrame:
-    """The k most similar other entries of each entry, as far as found: a, b, similarity (at least `least`).
+    """The k most similar other entries of each entry, as far as found: a, b, similarity (at least `least`); for each list apart.
     vectors: vid, v, repeated as they may be. With `recall`, `candidates` is the least number."""
     sc = vectors.sparkSession.sparkContext
     index = Index(vectors, vectors.select("vid").distinct().count(), dimension)
-    placed = written(vectors.select("vid", "v").mapInArrow(_place(sc.broadcast(index)), "vid bigint, v binary, cell int").dropDuplicates(["vid"]), "placed")
+    placed = written(vectors.select("vid", "v").dropDuplicates(["vid"]).mapInArrow(_place(sc.broadcast(index)), "vid bigint, v binary, cell int"), "placed")
     index.count(placed)
-    if recall is not None:
-        candidates = max(candidates, enough(index, placed, k, recall))
+    candidates = enough(index, placed, k, least, candidates, recall)
     known = sc.broadcast(index)
-    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
-    base = placed.withColumn("list", of(index.list_of, F.shiftright("cell", 8))).withColumn("part", F.pmod("vid", of(index.parts, F.col("list"))).cast("int"))
-    base = base.withColumn("slice", F.explode(F.sequence(F.lit(0), of(index.slices, F.col("list")) - 1)))
-    queries = placed.select("vid", "v").mapInArrow(_send(known, candidates), "vid bigint, v binary, list int, part int, cells binary")
-    queries = queries.withColumn("slice", F.pmod(F.shiftright("vid", 20), of(index.slices, F.col("list"))).cast("int"))
+    base = placed.mapInArrow(_base(known), "vid bigint, v binary, list int, part int, number int, slices int").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    queries = placed.select("vid", "v").mapInArrow(_send(known, candidates), "vid bigint, v binary, list int, part int, slice int, cells binary")
     keys = ["list", "part", "slice"]
-    return base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_rerank(k, least, dimension), "a bigint, b bigint, similarity double")
+    return base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_rerank(k, least, dimension, candidates * MANY >= index.n), "a bigint, b bigint, similarity double")
 
 
 def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidates: int = 2000, dimension: int = 64, recall: float | None = None) -> DataFrame:
@@ -316,14 +364,13 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidate
     the neighbours needs, `candidates` at least."""
     if dimension % 2:
         raise ValueError("the dimension must be even")
-    vectors = packed(vectors, dimension)
-    members = written(vectors.select("id", "vid").distinct(), "members")
-    pairs = entry_neighbours(vectors, k, least, candidates, dimension, recall)
-    if least <= -1:  # every list gives k for a query: keep few of all lists before they count for both sides
-        pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= 3 * k).drop("r")
-    pairs = written(pairs, "near")
-    both = pairs.union(pairs.select("b", "a", "similarity")).distinct()  # what one side finds counts for both
-    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= 2 * k).drop("r")
+    vectors = written(packed(vectors, dimension), "packed")
+    members = vectors.select("id", "vid").distinct()
+    near = entry_neighbours(vectors, k, least, candidates, dimension, recall)
+    if least > -1:  # what one side finds counts for both; without a least similarity each has k of its own
+        near = written(near, "near")
+        near = near.union(near.select("b", "a", "similarity")).distinct()
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= (2 * k if least > -1 else k)).drop("r")
     heads = members.withColumn("at", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).filter(F.col("at") <= k + 1)
     heads = written(heads, "heads")
     few = members.join(heads.groupBy("vid").agg(F.count("*").alias("held")).filter(F.col("held") <= k), "vid", "left_semi")  # the others have k copies
@@ -336,8 +383,8 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidate
     )
 
 
-def found_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85, candidates: int = 1000, dimension: int = 64) -> DataFrame:
+def found_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85, candidates: int = 500, dimension: int = 64, recall: float = 0.995) -> DataFrame:
     """Pairs of ids of which one is among the k most similar of the other, of at least the similarity: chunk_id_a,
     chunk_id_b (first smaller)."""
-    near = most_similar(vectors, k, least, candidates, dimension)
+    near = most_similar(vectors, k, least, candidates, dimension, recall)
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()

@@ -193,8 +193,18 @@ def test_neighbours_hold_recall(spark):
     assert len(got & truth) >= 0.9 * len(truth) and len(got) == len(truth)
 
 
-def test_visits_by_sorting():
+def test_wide_visits_hold_the_narrow_ones():
+    """Cells taken up to a distance are those from the heap and at most a step more; both code the same cells."""
     g = np.random.default_rng(8)
-    d1, d2, counts = g.random(9), g.random(7), g.integers(0, 5, (9, 7))
+    ix = neighbours.Index.__new__(neighbours.Index)
+    ix.n, ix.counts = 10**9, g.integers(0, 5, (9, 7))
+    ix.groups = [np.array([0, 1, 0, 2, 1, 0, 2, 2, 1]), np.array([0, 1, 1, 0, 0, 1, 1])]
+    ix.members = [[np.flatnonzero(x == a) for a in range(x.max() + 1)] for x in ix.groups]
+    ix.place = [np.array([int((x[:c] == x[c]).sum()) for c in range(len(x))]) for x in ix.groups]
+    d1, d2 = g.random((20, 9)), g.random((20, 7))
     for candidates in (1, 20, 1000):
-        assert neighbours.visited_of_many(d1, d2, counts, candidates) == neighbours.visited(d1, d2, counts.tolist(), candidates)
+        ix.n = 10**9
+        narrow = [{(a, n) for a, code in at for n in np.frombuffer(code, np.uint16).tolist()} for at in ix.visits(d1, d2, candidates)]
+        ix.n = 1
+        wide = [{(a, n) for a, code in at for n in np.flatnonzero(np.unpackbits(np.frombuffer(code, np.uint8))).tolist()} for at in ix.visits(d1, d2, candidates)]
+        assert all(a <= b and len(b) <= len(a) + 3 for a, b in zip(narrow, wide, strict=True))

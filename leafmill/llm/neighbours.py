@@ -15,6 +15,7 @@ their chunks are put back at the end, at most k + 1 for each entry, which is exa
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -153,13 +154,13 @@ class Index:
     def visits(self, d1: np.ndarray, d2: np.ndarray, candidates: int) -> Iterator[list[tuple[int, bytes]]]:
         """Of each query the lists it visits, each with its cells there: their numbers, or bits where they are many."""
         if candidates * MANY < self.n:
-            plain = self.counts.tolist()
+            plain, width = self.counts.tolist(), [len(m) for m in self.members[1]]
+            (g1, g2), (p1, p2) = (x.tolist() for x in self.groups), (x.tolist() for x in self.place)
             for a, b in zip(d1, d2, strict=True):
-                cells = np.array(visited(a, b, plain, candidates), np.int64).reshape(-1, 2)
-                lists, number = self.lists(cells[:, 0], cells[:, 1])
-                order = np.argsort(lists, kind="stable")
-                names, starts = np.unique(lists[order], return_index=True)
-                yield list(zip(names.tolist(), (x.astype(np.uint16).tobytes() for x in np.split(number[order], starts[1:])), strict=True)) if len(names) else []
+                at: dict[int, list[int]] = {}
+                for i, j in visited(a, b, plain, candidates):
+                    at.setdefault(g1[i] * len(width) + g2[j], []).append(p1[i] * width[g2[j]] + p2[j])
+                yield [(g, array("H", own).tobytes()) for g, own in at.items()]
             return
         some, rows = self.counts > 0, max(1, (1 << 21) // self.counts.size)
         for start in range(0, len(d1), rows):
@@ -383,8 +384,8 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidate
     )
 
 
-def found_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85, candidates: int = 500, dimension: int = 64, recall: float = 0.995) -> DataFrame:
+def found_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85, candidates: int = 500, dimension: int = 64, recall: float = 0.95) -> DataFrame:
     """Pairs of ids of which one is among the k most similar of the other, of at least the similarity: chunk_id_a,
-    chunk_id_b (first smaller)."""
+    chunk_id_b (first smaller). `recall` is that of one side; a pair is found from both."""
     near = most_similar(vectors, k, least, candidates, dimension, recall)
     return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()

@@ -2,13 +2,17 @@
 
 Each record's set of word shingles has a fingerprint of 60 components (min-hashes, 16 bits each). Components agree
 about as often as two sets overlap, so similar records have a small Hamming distance in components. Pigeonhole
-blocks: the fingerprint is split into 20 blocks of 3 components. Of two records at most 19 components apart some
-block agrees for certain; at a similarity of 0.6 one does with a probability of 0.992, at 0.7 of 0.9998. Records are
+blocks: the fingerprint is split into 30 blocks of 2 components. Two records at most 29 components apart share a
+block for certain (fewer differing components than blocks); a pair of a similarity of 0.6 is 24 apart on average, and where it is 30 or more apart
+it still shares a block mostly: all in all it fails to with a probability of 0.0000015, at 0.8 of less than 10^-13. Records are
 joined on blocks, the Hamming distance of the pairs is checked, and then the similarity exactly, on the shingles.
 
 Records with one set of shingles are copies: they are one representative from the start, and only memberships put
 them back. A block value shared by more than MOST_IN_BLOCK representatives isn't joined; its records are joined
-on their rarest shingles instead (an exact prefix filter), so no group's pairs are ever written out whole."""
+on their rarest shingles instead (an exact prefix filter): only records whose rarest shingles are common meet there in numbers.
+
+The results are pairs of representatives and memberships (`similar_sets`) or a row per record (`groups`); `similar_pairs`
+lists all pairs of records, copies included, and is as long as that list."""
 
 from __future__ import annotations
 
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.words import list_parts, mixed, shingles, word_hashes
 from leafmill.tables import written
 
-BLOCKS, ROWS = 20, 3
+BLOCKS, ROWS = 30, 2
 COMPONENTS = BLOCKS * ROWS
 MOST_IN_BLOCK = 500
 MOST_NAMED = 1_000_000  # 8 bytes each

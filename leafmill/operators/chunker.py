@@ -26,6 +26,7 @@ _PIECE = re.compile(r"\w+|[^\w\s]")
 _CUTS = {"paragraph": re.compile(r"\n{2,}"), "line": re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), "sentence": re.compile(r"(?<=[.!?])\s+"), "word": re.compile(r"\s+")}
 _GLUE = {"paragraph": "\n\n", "line": "\n", "sentence": " ", "word": " "}
 _PROSE, _ROWS = ("paragraph", "line", "sentence", "word"), ("line", "paragraph", "sentence", "word")
+# Fixed values.
 _HEADER = ("columns:", "headers:", "header:", "fields:")
 _INTRODUCERS = ("the following", "following ", "scope includes")
 
@@ -320,7 +321,7 @@ def merged(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
     ids = F.array_distinct(every("block_ids"))
     numbers = lambda f: F.array_sort(F.array_distinct(every(f)))
     return g.select(
-        F.concat("source_file", F.lit("::chunk_"), F.format_string("%04d", "target")).alias("chunk_id"), F.col("source_file").alias("file_name"), "source_file", "m.source_path", "m.doc_type", "m.chunk_type", "section_path",
+        F.concat("source_file", F.lit("::chunk_"), F.format_string("%04d", "target")).alias("chunk_id"), F.element_at(F.split("source_file", "/"), -1).alias("file_name"), "source_file", "m.source_path", "m.doc_type", "m.chunk_type", "section_path",
         F.array_join("section_path", " > ").alias("section_key"), section_title(F.col("heading"), F.col("section_path")).alias("section_title"), "heading", "text", F.length("text").alias("char_count"), ids.alias("block_ids"), F.array_distinct(every("block_types")).alias("block_types"),
         F.array_min(F.transform("c", lambda x: x["order_start"])).alias("order_start"), F.array_max(F.transform("c", lambda x: x["order_end"])).alias("order_end"), F.get(numbers("page_numbers"), F.lit(0)).alias("page_number"),
         numbers("page_numbers").alias("page_numbers"), numbers("slide_numbers").alias("slide_numbers"), numbers("shape_indices").alias("shape_indices"), F.array_distinct(every("sheet_names")).alias("sheet_names"), numbers("row_numbers").alias("row_numbers"),

@@ -20,9 +20,13 @@ def empty_path() -> Column:
 
 def prepared(blocks: DataFrame) -> DataFrame:
     """Blocks in the chunker's form: trimmed text and type, a path without blanks, order 0 for none. The latest row of
-    each block_id counts; blocks without text are dropped."""
+    each block_id counts; blocks without text are dropped. A block without an id has one made of its place and text, so
+    only equal rows without an id count once."""
     columns = ["source_path", "doc_type", "page_number", "slide_number", "shape_index", "sheet_name", "row_number"]
-    once = blocks.withColumn("_n", F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc_nulls_last("ingested_at"), F.xxhash64("text")))).filter("_n = 1")
+    place = F.xxhash64("source_file", "doc_type", "block_type", "order", "text", *(c for c in columns if c != "doc_type"))
+    own = F.concat(F.lit("unnamed_"), F.lower(F.lpad(F.hex(place), 16, "0")))
+    blocks = blocks.withColumn("block_id", F.when(F.trim(F.coalesce("block_id", F.lit(""))) == "", own).otherwise(F.col("block_id")))
+    once = blocks.withColumn("_n", F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc_nulls_last(F.col("ingested_at") if "ingested_at" in blocks.columns else F.lit(0)), F.xxhash64("text")))).filter("_n = 1")
     path = F.filter(F.transform(F.coalesce("section_path", empty_path()), stripped), lambda x: x != "")
     return once.select(
         F.coalesce("source_file", F.lit("")).alias("source_file"), "block_id", F.coalesce("order", F.lit(0)).alias("order"), clean_type("block_type").alias("block_type"), stripped("text").alias("text"), path.alias("path"), *columns

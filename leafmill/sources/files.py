@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import heading_score, page_normal, slide_normal
 from leafmill.sources.elements import FIELDS, READERS, SCHEMA
-from leafmill.tables import stripped
+from leafmill.tables import stripped, written
 
+# Fixed values.
 HEADING_THRESHOLD = 3
 SKIPPED_PLACEHOLDERS = ("dt", "ftr", "sldNum", "dgm", "obj")
 SLIDE_ROW = 50_000  # EMU
@@ -23,12 +26,19 @@ BULLET = r"\A([•\-*–—]|\d+[.)])\s+"
 BLOCK = ["block_id", "source_file", "source_path", "doc_type", "block_type", "order", "text", "section_path", "page_number", "slide_number", "shape_index", "sheet_name", "row_number", "metadata_json"]
 
 
+def relative(path: Column, folder: str) -> Column:
+    """The part of a path below the folder; the whole path where the folder isn't in it (as of a pattern)."""
+    base = posixpath.normpath(urlparse(folder).path).lstrip(".").rstrip("/") + "/"
+    return F.when(path.contains(base), F.substring_index(F.regexp_replace(path, F.lit(f"\\A.*?{re.escape(base)}"), F.lit("\n")), "\n", -1)).otherwise(path)
+
+
 def discover(spark: SparkSession, folder: str, types: tuple[str, ...] = tuple(READERS), recursive: bool = True) -> DataFrame:
-    """The files of the supported types, without lock files (~$): source_path, source_file, doc_type, content."""
+    """The files of the supported types, without lock files (~$): source_path, source_file (the path below the folder, so that
+    files of one name in two folders are two), doc_type, content. Other files aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.regexp_extract(name, r"\.([^.]+)\z", 1))
-    return files.filter(kind.isin(*types) & ~name.startswith("~$")).select(F.col("path").alias("source_path"), name.alias("source_file"), kind.alias("doc_type"), "content")
+    return files.filter(kind.isin(*types) & ~name.startswith("~$")).select(F.col("path").alias("source_path"), relative(F.col("path"), folder).alias("source_file"), kind.alias("doc_type"), "content")
 
 
 def elements(files: DataFrame, permissive: bool = False) -> DataFrame:
@@ -183,12 +193,16 @@ def pdf_blocks(found: DataFrame, empty_pages: bool = True) -> DataFrame:
     return _finish(df.filter((F.col("block_type") != "page_notice") | images | failed | F.lit(empty_pages)), ["n"])
 
 
-def ingest(spark: SparkSession, folder: str, permissive: bool = False, recursive: bool = True) -> DataFrame:
-    """The blocks of all supported files of a folder. See `elements` for files that can't be read."""
-    found = elements(discover(spark, folder, recursive=recursive), permissive)
+def blocks_of(found: DataFrame) -> DataFrame:
+    """The blocks of elements of all types."""
     return reduce(DataFrame.unionByName, (docx_blocks(found), pptx_blocks(found), xlsx_blocks(found), pdf_blocks(found)))
 
 
+def ingest(spark: SparkSession, folder: str, permissive: bool = False, recursive: bool = True, types: tuple[str, ...] = tuple(READERS)) -> DataFrame:
+    """The blocks of all supported files of a folder. Each file is parsed once: its elements are written. See `elements` for files that can't be read."""
+    return blocks_of(written(elements(discover(spark, folder, types, recursive), permissive), "elements"))
+
+
 def failures(spark: SparkSession, folder: str) -> DataFrame:
     """The files that can't be read, and why: source_path, doc_type, error."""
     return elements(discover(spark, folder), permissive=True).filter("error IS NOT NULL").select("source_path", "doc_type", "error")

@@ -84,6 +84,11 @@ def test_empty_null_and_blank(spark):
     assert [r.source_file for r in got] == [""]
 
 
+def test_null_ids_are_kept(spark):
+    got = run(spark, [(None, "paragraph", "First text.", ["A"]), (None, "paragraph", "Second text.", ["A"]), (" ", "paragraph", "Third.", ["A"])])
+    assert len(got) == 1 and got[0].text == "First text. Second text. Third." and len(set(got[0].block_ids)) == 3
+
+
 def test_config_is_checked():
     with pytest.raises(ValueError):
         ChunkConfig(max_chars=0)

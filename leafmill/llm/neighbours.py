@@ -31,8 +31,8 @@ SAMPLE = 16_384
 ITERATIONS = 8
 PER_CELL = 24  # vectors in a cell, on average
 CENTROIDS = (4, 1024)  # of a half, least and most; the cell counts are at most as many numbers squared
-IN_LIST = 32_768
-MOST_QUERIES = 65_536  # of a list, in one task
+IN_LIST = 65_536
+MOST_QUERIES = 131_072  # of a list, in one task
 PROBES = 256  # vectors searched exactly where a recall is asked for, and whose visits are counted
 MANY = 16  # from this part of all vectors on, cells are taken up to a distance, in steps of BINS, instead of from a heap
 BINS = 1024
@@ -370,7 +370,7 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidate
     near = entry_neighbours(vectors, k, least, candidates, dimension, recall)
     if least > -1:  # what one side finds counts for both; without a least similarity each has k of its own
         near = written(near, "near")
-        near = near.union(near.select("b", "a", "similarity")).distinct()
+        near = near.union(near.select("b", "a", "similarity")).repartition("a").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("r") <= (2 * k if least > -1 else k)).drop("r")
     heads = members.withColumn("at", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).filter(F.col("at") <= k + 1)
     heads = written(heads, "heads")

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from leafmill.operators.chunker import ChunkConfig
+from leafmill.operators.store import opened
 from leafmill.plans import pipeline
 from leafmill.session import ship
 from leafmill.sources.stages import read_stage
@@ -26,6 +27,7 @@ def main(args: list[str] | None = None) -> None:
     a = sub.add_parser("ask", help="show the best chunks for a question")
     a.add_argument("work")
     a.add_argument("question")
+    a.add_argument("--store", help="the store's path, if it isn't WORK/store")
     a.add_argument("--top-k", type=int, default=5)
     a.add_argument("--candidate-k", type=int, default=25)
     a.add_argument("--mode", choices=("debug", "compact", "text"), default="debug")
@@ -37,7 +39,7 @@ def main(args: list[str] | None = None) -> None:
     if o.command == "build":
         print(pipeline.build(spark, o.folder, o.work, ChunkConfig(o.max_chars, o.max_tokens, o.overlap_tokens), permissive=o.permissive, reset=o.reset))
     elif o.command == "ask":
-        found = pipeline.results(pipeline.retrieve(read_stage(spark, f"{o.work}/store"), pipeline.questions(spark, [o.question]), o.top_k, o.candidate_k)).orderBy("place")
+        found = pipeline.results(pipeline.retrieve(opened(spark, o.store or f"{o.work}/store"), pipeline.questions(spark, [o.question]), o.top_k, o.candidate_k)).orderBy("place")
         shown = {"debug": found, "compact": found.drop("text", "reasons", "rerank_delta", "query_id"), "text": found.select("text")}[o.mode]
         for line in shown.toJSON().toLocalIterator():
             print(line)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,17 +39,21 @@ def retrieval_text(section_path: str = "section_path") -> Column:
 
 
 def hashing_encoder(dimension: int = 64) -> Encoder:
-    """A deterministic encoder that needs no model: hashed counts of ASCII words, as unit vectors."""
-    import re
-
+    """A deterministic encoder that needs no model: signed counts of ASCII words by their MD5, as unit vectors. A text
+    without such a word is the zero vector."""
     word = re.compile("[a-z0-9]+")
 
+    @lru_cache(1 << 18)
+    def place(w: str) -> tuple[int, int]:
+        h = hashlib.md5(w.encode()).hexdigest()
+        return int(h[:8], 16) % dimension, 1 if h[8] >= "8" else -1
+
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for r, t in enumerate(texts):
             for w in word.findall(t.lower()):
-                h = zlib.crc32(w.encode())
-                out[r, h % dimension] += 1 if h & 0x80000000 else -1
+                at, sign = place(w)
+                out[r, at] += sign
         n = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 

@@ -130,6 +130,6 @@ def reasons(signals: Column | str) -> Column:
 
 
 def best(reranked: DataFrame, k: int) -> DataFrame:
-    """The k best of each query by final score; ties keep the candidates' order. Adds seed (from 0)."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "position")
+    """The k best of each query by final score; ties (to twelve decimals) keep the candidates' order. Adds seed (from 0)."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("final_score", 12)), "position")
     return reranked.withColumn("seed", F.row_number().over(w) - 1).filter(F.col("seed") < k)

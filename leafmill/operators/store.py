@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.vectors import usable
-from leafmill.tables import shared_dir, stripped
+from leafmill.tables import stripped, written
+
+BUCKETS = 64  # partitions of a store
+BUCKET = "_bucket"
 
 
 def valid(records: DataFrame) -> DataFrame:
@@ -30,15 +32,27 @@ def latest(records: DataFrame, key: str = "chunk_id", time: str = "embedded_at")
     return records.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def json_text(values: Column | str) -> Column:
+    """A list as JSON text, with a space after each comma; null for null."""
+    one = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)\A\[|\]\z", "")
+    v = F.col(values) if isinstance(values, str) else values
+    return F.when(v.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(v, one), ", ", "null"), F.lit("]")))
+
+
+def document(retrieval_text: Column | str = "retrieval_text", text: Column | str = "text") -> Column:
+    """The stored text of a record: its retrieval text, or its text where there is none."""
+    return stripped(F.coalesce(F.nullif(retrieval_text, F.lit("")), F.nullif(text, F.lit("")), F.lit("")))
+
+
 def metadata(records: DataFrame, runs: DataFrame) -> DataFrame:
-    """The stored metadata of each record: fallbacks for names and titles, empty strings as null, run facts joined."""
+    """The stored document and metadata of each record: fallbacks for names and titles, empty strings as null, lists as JSON, run facts joined."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     r = runs.select("run_id", F.col("source_path").alias("embedding_source_path"), F.col("model.name").alias("embedding_model"), F.col("model.normalized_embeddings").alias("normalized_embeddings")).dropDuplicates(["run_id"])
     return records.join(r, "run_id", "left").select(
         "chunk_id", F.coalesce(blank("file_name"), blank("source_file")).alias("file_name"), blank("source_file").alias("source_file"), blank("source_path").alias("source_path"),
         "doc_type", "chunk_type", F.coalesce(blank("section_title"), blank("heading"), blank("section_key")).alias("section_title"), blank("section_key").alias("section_key"), blank("heading").alias("heading"),
         "page_number", "order_start", "order_end", "char_count", "embedding_source_path", "embedding_model", "normalized_embeddings",
-        F.array_join("section_path", " > ").alias("section_path"), F.size("page_numbers").alias("n_pages"), F.size("block_ids").alias("n_blocks"),
+        *(json_text(c).alias(c) for c in ("section_path", "page_numbers", "slide_numbers", "block_ids", "block_types")), document().alias("document"),
     )
 
 
@@ -48,19 +62,39 @@ def model_name(runs: DataFrame, default: str) -> str:
     return found.name.strip() if found else default
 
 
-def upsert(spark: SparkSession, path: str, records: DataFrame, reset: bool = False) -> dict[str, int]:
-    """Stores records at `path`: rows of known chunk_ids are replaced, others added; with `reset` only these stay.
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the store at `path`; an error where there is none."""
+    try:
+        return spark.read.parquet(path).filter("chunk_id IS NOT NULL").drop(BUCKET)
+    except AnalysisException as e:
+        raise ValueError(f"no store at {path}") from e
+
+
+def upsert(spark: SparkSession, path: str, records: DataFrame, reset: bool = False, whole_files: bool = False) -> dict[str, int]:
+    """Stores records at `path`: rows of known chunk_ids are replaced, others added; with `reset` only these stay. With
+    `whole_files` the records are all there is of their source_files: other rows of these go.
 
-    The new table is first written whole into the shared folder; only then is the old one overwritten. Returns records_seen and records_stored."""
-    fresh = latest(with_ids(valid(records)))
-    seen, stored = records.count(), fresh.count()
+    The store is partitioned by a hash of chunk_id. The records are computed once, into the shared folder; of the store
+    only touched partitions are read, and replaced when their new rows are written whole. Returns records_seen and
+    records_stored."""
+    batch = written(records.withColumn("_usable", usable("embedding")), "batch")
+    fresh = written(latest(with_ids(batch.filter("_usable").drop("_usable"))).withColumn(BUCKET, F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")), "fresh")
+    try:
+        old = None if reset else spark.read.parquet(path)
+    except AnalysisException:  # the first records
+        old = None
     new = fresh
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not reset and fs.exists(fs_path):
-        old = spark.read.parquet(path)
-        new = old.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
-    beside = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    new.write.parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
-    return {"records_seen": seen, "records_stored": stored}
+    if old is not None:
+        touched = fresh.select(BUCKET)
+        if whole_files:
+            files = batch.select("source_file").distinct()
+            touched = touched.union(old.join(files, "source_file", "left_semi").select(BUCKET))
+            old = old.join(files, "source_file", "left_anti")
+        touched = written(touched.distinct(), "touched")  # at most BUCKETS numbers
+        kept = old.filter("chunk_id IS NOT NULL").join(F.broadcast(touched), BUCKET, "left_semi").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+        new = written(kept.unionByName(fresh, allowMissingColumns=True), "store")
+        emptied = touched.join(new.select(BUCKET).distinct(), BUCKET, "left_anti")  # a row without chunk_id replaces what a partition held
+        new = new.unionByName(emptied, allowMissingColumns=True)
+    w = new.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "static" if old is None else "dynamic")
+    w.partitionBy(BUCKET).parquet(path)
+    return {"records_seen": batch.count(), "records_stored": fresh.count()}

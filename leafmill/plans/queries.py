@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import answer, chunker, encode, expand, rerank, search, sections, store
-from leafmill.tables import clean_type, stripped, table
+from leafmill import tables
+from leafmill.sources import files
+from leafmill.tables import clean_type, stripped, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
-SEEDS, CANDIDATES = 8, 25
+BEST, CANDIDATES = 5, 25  # of a question
+SEEDS, SEED_CANDIDATES = 8, 80  # where context is added
 
 
 def _blocks(s: SparkSession, d: str) -> DataFrame:
     """Each block once."""
-    return table(s, d, "blocks").drop("metadata_json", "ingested_at").dropDuplicates(["block_id"])
+    return tables.once_per_key(table(s, d, "blocks").drop("metadata_json", "ingested_at"), "block_id")
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -42,7 +45,7 @@ def text_narrative(s: SparkSession, d: str) -> DataFrame:
 
 def text_sentence_end(s: SparkSession, d: str) -> DataFrame:
     n = T.narrative("text")
-    return _blocks(s, d).select("block_id", F.right(T.sentence_end(n, False), F.lit(3)).alias("soft"), F.right(T.sentence_end(n, True), F.lit(3)).alias("forced"))
+    return _blocks(s, d).select("block_id", T.sentence_end(n, False).alias("soft"), T.sentence_end(n, True).alias("forced"))
 
 
 def text_tokens(s: SparkSession, d: str) -> DataFrame:
@@ -84,8 +87,9 @@ def file_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def heading_scores(s: SparkSession, d: str) -> DataFrame:
-    b = _blocks(s, d).filter("doc_type = 'docx'")
-    return b.select("block_id", T.heading_score("text").alias("score"))
+    """Headings of the given files count as bold."""
+    b = tables.once_per_key(table(s, d, "blocks").filter("doc_type = 'docx'").select("block_id", "block_type", "text", "metadata_json"), "block_id")
+    return b.select("block_id", T.heading_score("text", F.coalesce(clean_type("block_type") == "heading", F.lit(False)), F.get_json_object("metadata_json", "$.style")).alias("score"))
 
 
 def heading_forward_fill(s: SparkSession, d: str) -> DataFrame:
@@ -102,18 +106,17 @@ def section_islands(s: SparkSession, d: str) -> DataFrame:
 
 def section_summary(s: SparkSession, d: str) -> DataFrame:
     got = sections.sections(sections.prepared(table(s, d, "blocks")))
-    ordered = F.array_sort(F.collect_list(F.struct("order", "block_id")))
     return got.groupBy("source_file", "section_id").agg(
-        F.count("*").alias("n_blocks"), F.min("order").alias("order_start"), F.max("order").alias("order_end"), F.array_join(F.sort_array(F.collect_set("page_number")).cast("array<string>"), ",").alias("pages"), F.get(ordered, F.lit(0))["block_id"].alias("first_block")
+        F.count("*").alias("n_blocks"), F.min("order").alias("order_start"), F.max("order").alias("order_end"), F.array_join(F.sort_array(F.collect_set("page_number")).cast("array<string>"), ",").alias("pages"), F.min(F.struct("order", "block_id"))["block_id"].alias("first_block")
     )
 
 
 def label_dedupe(s: SparkSession, d: str) -> DataFrame:
-    """The labels of header blocks, repeated ones numbered."""
+    """The labels of header blocks: blank ones are column letters, repeated ones numbered."""
     b = _blocks(s, d).filter(clean_type("block_type") == "header")
-    cells = b.select("block_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)\A\s*columns:\s*", ""), ", ")).alias("column", "label")).withColumn("label", stripped("label"))
-    n = F.row_number().over(Window.partitionBy("block_id", "label").orderBy("column"))
-    return cells.select("block_id", "column", F.when(n == 1, F.col("label")).otherwise(F.concat("label", F.lit(" ("), n.cast("string"), F.lit(")"))).alias("label"))
+    cells = F.split(F.coalesce("text", F.lit("")), r"\|")
+    blank = F.lit("|  | a | a |")  # each header has further columns: two blank ones, and two of one name
+    return b.select("block_id", F.posexplode(files.labels(F.concat(cells, F.split(blank, r"\|")))).alias("column", "label"))
 
 
 def slide_rollup(s: SparkSession, d: str) -> DataFrame:
@@ -127,8 +130,7 @@ def slide_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_split(s: SparkSession, d: str) -> DataFrame:
-    b = _blocks(s, d).filter("doc_type = 'docx'")
-    each = b.select("block_id", F.posexplode(F.split(T.clean_text("text"), r"(?<=[.!?])[\s\x0B\x1C-\x1F\x85\p{Z}]+")).alias("position", "sentence"))
+    each = _blocks(s, d).select("block_id", F.posexplode(F.split(T.clean_text("text"), r"(?<=[.!?])[\s\x0B\x1C-\x1F\x85\p{Z}]+")).alias("position", "sentence"))
     return each.withColumn("sentence", stripped("sentence")).filter("sentence <> ''")
 
 
@@ -136,6 +138,42 @@ def chunk_full(s: SparkSession, d: str) -> DataFrame:
     return chunker.chunk(table(s, d, "blocks"))
 
 
+def chunk_cover(s: SparkSession, d: str) -> DataFrame:
+    """Each block's chunks: whether they are of its file, hold its order, and keep the budget (unless short headings were attached or a word is beyond it)."""
+    c = written(chunk_full(s, d).select("source_file", "order_start", "order_end", "block_ids", "section_key", F.array_join("section_path", " > ").alias("joined"), "char_count", F.length("text").alias("n"), (F.col("metadata.source_block_count") == F.size("block_ids")).alias("counted")), "cover")
+    b = sections.prepared(table(s, d, "blocks")).select("block_id", F.col("source_file").alias("of"), F.col("order").alias("o"))
+    each = b.join(c.withColumn("block_id", F.explode("block_ids")), "block_id")
+    return each.groupBy("block_id", F.col("of").alias("source_file")).agg(
+        F.bool_and(F.col("of") == F.col("source_file")).alias("same_file"), F.bool_and(F.col("o").between(F.col("order_start"), F.col("order_end"))).alias("in_range"),
+        F.bool_and((F.col("char_count") == F.col("n")) & (F.col("section_key") == F.col("joined")) & F.col("counted")).alias("consistent"),
+    )
+
+
+def _sectioned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = written(sections.sections(sections.prepared(table(s, d, "blocks"))), "sections")
+    return found, chunker.chunk_rows(found, chunker.ChunkConfig())
+
+
+def chunk_tables(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of tables within the budget."""
+    _, rows = _sectioned(s, d)
+    t = rows.filter("chunk_type = 'table'").withColumns({"title": chunker.section_title(F.col("heading"), F.col("section_path")), "block_id": F.get("block_ids", F.lit(0))})
+    whole = t.groupBy("block_id").agg(F.count("*").alias("n")).filter("n = 1").select("block_id")
+    small = (F.length("text") <= 2000) & (T.token_estimate("text") <= 380)
+    return t.join(whole, "block_id", "left_semi").filter(small).select("block_id", "source_file", "text", F.array_join("section_path", " > ").alias("section_key"), "heading", F.col("title").alias("section_title"), "order_start", "order_end", "original_block_type")
+
+
+def chunk_sections(s: SparkSession, d: str) -> DataFrame:
+    """The texts of the section parts that fit one chunk without cutting a block; null for the others."""
+    found, rows = _sectioned(s, d)
+    place = found.filter("NOT is_heading AND NOT is_table").select("source_file", "section_id", "part", "block_id")
+    body = rows.filter("chunk_type = 'section'").select("source_file", "seq", "text", "block_ids", F.explode("block_ids").alias("block_id")).join(place, ["source_file", "block_id"])
+    segs = chunker.segments(found, chunker.ChunkConfig()).filter("seg > 0").select("source_file", "section_id", "part").distinct().withColumn("cut", F.lit(True))
+    g = body.groupBy("source_file", "section_id", "part").agg(F.countDistinct("seq").alias("n"), F.min(F.struct("seq", "text"))["text"].alias("text"), F.min(F.struct("seq", F.array_join("block_ids", ",").alias("ids")))["ids"].alias("ids"))
+    g = g.join(segs, ["source_file", "section_id", "part"], "left").withColumn("one", (F.col("n") == 1) & F.col("cut").isNull())
+    return g.select("source_file", "section_id", "part", F.when(F.col("one"), F.col("text")).alias("text"), F.when(F.col("one"), F.col("ids")).alias("block_ids"))
+
+
 def retrieval_text(s: SparkSession, d: str) -> DataFrame:
     return _chunks(s, d).select("chunk_id", encode.retrieval_text().alias("retrieval_text_built"))
 
@@ -159,7 +197,7 @@ def store_upsert_latest(s: SparkSession, d: str) -> DataFrame:
 
 def store_metadata(s: SparkSession, d: str) -> DataFrame:
     c = store.latest(table(s, d, "chunk_records").filter("chunk_id IS NOT NULL"))
-    return store.metadata(c, table(s, d, "embedding_runs")).drop("order_start", "order_end")
+    return store.metadata(c, table(s, d, "embedding_runs"))
 
 
 def vector_topk_batch(s: SparkSession, d: str) -> DataFrame:
@@ -169,26 +207,33 @@ def vector_topk_batch(s: SparkSession, d: str) -> DataFrame:
     return got.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
-def _questions(s: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
-    """query_id, query and vector: every hundredth citation, with the vector of its source's first chunk."""
-    c = table(s, d, "citations").filter("citation_id % 100 = 0").select(F.col("citation_id").alias("query_id"), F.col("text").alias("query"), "source").dropDuplicates(["query_id"])
-    first = chunks.filter(F.size("embedding") == 64).groupBy("source_file").agg(F.min_by("embedding", "chunk_id").alias("v"))
-    return c.join(first, c.source == first.source_file).select("query_id", "query", "v")
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    """query_id, query and vector of every hundredth citation. One without words has no vector, and so no result."""
+    c = table(s, d, "citations").filter("citation_id % 100 = 0").select(F.col("citation_id").alias("query_id"), F.col("text").alias("query")).dropDuplicates(["query_id"])
+    return written(c.withColumn("v", encode.encoder_udf(encode.hashing_encoder)("query")).filter(F.exists("v", lambda x: x != 0)), "questions")
 
 
 def _candidates(s: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
     """The k most similar chunks of each question with their columns (position, raw_score), and all chunks."""
-    chunks = _chunks(s, d)
-    questions = _questions(s, d, chunks)
+    chunks = written(_chunks(s, d).withColumn("embedding", encode.encoder_udf(encode.hashing_encoder)("retrieval_text")).drop("retrieval_text"), "chunks")
+    questions = _questions(s, d)
     got = search.top_k_batch(chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")), questions.select("query_id", "v"), k)
-    found = got.withColumnRenamed("id", "chunk_id").join(chunks.drop("embedding", "retrieval_text"), "chunk_id").join(questions.select("query_id", "query"), "query_id")
-    return found.withColumnsRenamed({"rank": "position", "score": "raw_score"}).withColumn("source_block_count", F.col("metadata.source_block_count")), chunks.drop("embedding", "retrieval_text")
+    found = got.withColumnRenamed("id", "chunk_id").join(chunks.drop("embedding"), "chunk_id").join(questions.select("query_id", "query"), "query_id")
+    return found.withColumnsRenamed({"rank": "position", "score": "raw_score"}).withColumn("source_block_count", F.col("metadata.source_block_count")), chunks.drop("embedding")
 
 
 def rerank_final(s: SparkSession, d: str) -> DataFrame:
+    """The best few of each question's candidates, by their final scores."""
+    found, _ = _candidates(s, d, CANDIDATES)
+    got = rerank.best(rerank.rerank(found), BEST)
+    return got.select("query_id", "chunk_id", F.col("seed").cast("int").alias("seed"), F.round("raw_score", 6).alias("raw_score"), F.round("rerank_delta", 6).alias("rerank_delta"), F.round("final_score", 6).alias("final_score"), F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("signal_names"))
+
+
+def rerank_signals(s: SparkSession, d: str) -> DataFrame:
+    """The signals of all candidates."""
     found, _ = _candidates(s, d, CANDIDATES)
-    got = rerank.best(rerank.rerank(found), CANDIDATES)
-    return got.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), F.round("rerank_delta", 6).alias("rerank_delta"), F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("signal_names"))
+    got = rerank.rerank(found)
+    return got.select("query_id", "chunk_id", "position", F.round("rerank_delta", 6).alias("rerank_delta"), F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("signal_names"))
 
 
 def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
@@ -198,8 +243,8 @@ def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def _seeds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    found, chunks = _candidates(s, d, SEEDS)
-    return found.withColumns({"seed": F.col("position") - 1, "final_score": F.col("raw_score")}), chunks
+    found, chunks = _candidates(s, d, SEED_CANDIDATES)
+    return written(rerank.best(rerank.rerank(found), SEEDS), "seeds"), chunks
 
 
 def group_rank(s: SparkSession, d: str) -> DataFrame:
@@ -229,7 +274,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         doc_scan_filter, text_clean, text_narrative, text_sentence_end, text_tokens, text_preview, text_variants, heading_prefix, joined_parts, heading_body, retrieved_text,
-        block_counts, file_counts, heading_scores, heading_forward_fill, section_islands, section_summary, label_dedupe, slide_rollup, sentence_split, chunk_full, retrieval_text, hash_encode, run_summary,
-        store_valid, store_upsert_latest, store_metadata, vector_topk_batch, rerank_overlap, rerank_final, group_rank, associated_expand, citation_context, grounded_prompt,
+        block_counts, file_counts, heading_scores, heading_forward_fill, section_islands, section_summary, label_dedupe, slide_rollup, sentence_split, chunk_full, chunk_cover, chunk_tables, chunk_sections, retrieval_text, hash_encode, run_summary,
+        store_valid, store_upsert_latest, store_metadata, vector_topk_batch, rerank_overlap, rerank_signals, rerank_final, group_rank, associated_expand, citation_context, grounded_prompt,
     )
 }

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import heading_score, page_normal, slide_normal
+from leafmill.functions.text import heading_score, let, page_normal, slide_normal
 from leafmill.sources.elements import FIELDS, READERS, SCHEMA
 from leafmill.tables import stripped, written
 
@@ -145,15 +145,20 @@ def column_letter(n: Column) -> Column:
     return F.concat(F.when(z >= 0, at(z)).otherwise(""), F.when(y >= 0, at(y)).otherwise(""), at(x))
 
 
+def labels(cells: Column) -> Column:
+    """The labels of header cells: blank ones are their column's letter, and the n-th of a name is "name (n)"."""
+    named = F.transform(cells, lambda x, i: F.when(stripped(F.coalesce(x, F.lit(""))) == "", column_letter(i + 1)).otherwise(stripped(x)))
+    nth = lambda all_, x, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda y: y == x))
+    numbered = lambda x, n: F.when(n == 1, x).otherwise(F.concat(x, F.lit(" ("), n.cast("string"), F.lit(")")))
+    return let(named, lambda all_: F.transform(all_, lambda x, i: numbered(x, nth(all_, x, i))))
+
+
 def xlsx_blocks(found: DataFrame) -> DataFrame:
     """Workbook facts, and of each sheet a summary, the header (its first row with content) and the rows under its labels."""
     df = found.filter("doc_type = 'xlsx' AND error IS NULL")
     keys = ["source_path", "source_file", "doc_type"]
     rows = df.filter("kind = 'row'").withColumn("is_header", F.row_number().over(Window.partitionBy("source_path", "sheet_index").orderBy("row")) == 1)
-    head = rows.filter("is_header").select("source_path", "sheet_index", F.col("row").alias("header_row"), F.inline("cells"))
-    nth = F.row_number().over(Window.partitionBy("source_path", "sheet_index", "value").orderBy("col"))
-    head = head.withColumn("label", F.when(nth == 1, F.col("value")).otherwise(F.concat("value", F.lit(" ("), nth.cast("string"), F.lit(")"))))
-    labels = head.groupBy("source_path", "sheet_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "label")))).alias("labels"))
+    head = rows.filter("is_header").select("source_path", "sheet_index", F.map_from_arrays(F.transform("cells", lambda c: c["col"]), labels(F.transform("cells", lambda c: c["value"]))).alias("labels"))
     size = rows.groupBy("source_path", "sheet_index").agg(F.count("*").alias("n_rows"), F.max("row").alias("last_row"), F.max(F.array_max(F.transform("cells", lambda c: c["col"]))).alias("last_col"))
     base = [*keys, "sheet", "sheet_index"]
     line = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit(0)).cast("string"))
@@ -161,7 +166,7 @@ def xlsx_blocks(found: DataFrame) -> DataFrame:
         *base, F.lit(-2).alias("at"), F.lit("sheet_metadata").alias("block_type"), F.lit(None).cast("int").alias("row_number"), F.col("facts").alias("metadata_json"),
         F.concat_ws("\n", F.concat(F.lit("Sheet: "), "sheet"), line("Rows With Content", F.col("n_rows")), line("Data Rows", F.greatest(F.coalesce("n_rows", F.lit(0)) - 1, F.lit(0))), line("Worksheet Max Row", F.col("last_row")), line("Worksheet Max Column", F.col("last_col")), line("Max Populated Column Index", F.col("last_col"))).alias("text"),
     )
-    of_rows = rows.join(labels, ["source_path", "sheet_index"])
+    of_rows = rows.join(head, ["source_path", "sheet_index"])
     header = of_rows.filter("is_header").select(*base, F.lit(-1).alias("at"), F.lit("header").alias("block_type"), F.col("row").alias("row_number"), F.to_json(F.struct(F.map_values("labels").alias("columns"))).alias("metadata_json"), F.concat(F.lit("Columns: "), F.array_join(F.map_values("labels"), ", ")).alias("text"))
     named = F.transform("cells", lambda c: F.concat(F.coalesce(F.try_element_at("labels", c["col"]), column_letter(c["col"])), F.lit(": "), c["value"]))
     facts = F.to_json(F.struct(F.transform("cells", lambda c: c["ref"]).alias("cell_refs"), F.size("cells").alias("non_empty_cell_count"), F.transform(F.filter("cells", lambda c: c["formula"]), lambda c: F.struct(c["ref"].alias("ref"), c["value"].alias("formula"))).alias("formulas")))

@@ -2,6 +2,7 @@ import pytest
 
 import office
 from leafmill.__main__ import main
+from leafmill.operators.store import opened
 from leafmill.plans import pipeline
 from leafmill.sources.stages import BLOCK_SCHEMA, read_stage, write_stage
 
@@ -17,7 +18,7 @@ def test_build_and_ask(spark, tmp_path, capsys):
     main(["ask", work, "project plan sentence", "--top-k", "2", "--candidate-k", "4"])
     lines = capsys.readouterr().out.strip().splitlines()
     assert len(lines) == 2 and "a.docx" in lines[0]
-    store = read_stage(spark, f"{work}/store")
+    store = opened(spark, f"{work}/store")
     asked = pipeline.questions(spark, ["project plan", "lower text"])
     got = pipeline.evidence(store, asked, seeds=1, candidates=3)
     assert {r.query_id for r in got.collect()} == {1, 2}

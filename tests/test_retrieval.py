@@ -120,12 +120,27 @@ def test_store(spark, tmp_path):
     rows = [("a", "f", "f", "one", [1.0], 1, T0), ("b", "f", "f", "none", [], 2, T0), (None, "f", "f", "no id", [1.0], 3, T0), (" ", "f", "f", "blank", [1.0], 4, T0), ("n", "f", "f", "nan", [math.nan], 5, T0)]
     path = str(tmp_path / "store")
     assert store.upsert(spark, path, spark.createDataFrame(rows, RECORD)) == {"records_seen": 5, "records_stored": 3}
-    assert {r.chunk_id for r in spark.read.parquet(path).collect()} == {"a", "f::record_000000", "f::record_000001"}
+    assert {r.chunk_id for r in store.opened(spark, path).collect()} == {"a", "f::record_000000", "f::record_000001"}
     later = [("a", "f", "f", "two", [2.0], 1, T0 + dt.timedelta(1)), ("a", "f", "f", "old", [3.0], 1, T0)]
     store.upsert(spark, path, spark.createDataFrame(later, RECORD))
-    assert {(r.chunk_id, r.text) for r in spark.read.parquet(path).filter("chunk_id = 'a'").collect()} == {("a", "two")} and spark.read.parquet(path).count() == 3
+    assert {(r.chunk_id, r.text) for r in store.opened(spark, path).filter("chunk_id = 'a'").collect()} == {("a", "two")} and store.opened(spark, path).count() == 3
     store.upsert(spark, path, spark.createDataFrame(later, RECORD), reset=True)
-    assert spark.read.parquet(path).count() == 1
+    assert store.opened(spark, path).count() == 1
+
+
+def test_store_of_whole_files(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(f"{f}{n}", f, f, "t", [1.0], n, T0) for f in "ab" for n in range(3)]
+    store.upsert(spark, path, spark.createDataFrame(rows, RECORD))
+    store.upsert(spark, path, spark.createDataFrame([("a0", "a", "a", "new", [1.0], 0, T0)], RECORD), whole_files=True)
+    assert {(r.chunk_id, r.text) for r in store.opened(spark, path).collect()} == {("a0", "new"), ("b0", "t"), ("b1", "t"), ("b2", "t")}
+    with pytest.raises(ValueError, match="no store"):
+        store.opened(spark, str(tmp_path / "none"))
+
+
+def test_json_and_documents(spark):
+    df = spark.createDataFrame([(["a", 'q"é'], [1, 2], "", " text "), ([], None, "r", "t")], "s array<string>, n array<int>, retrieval_text string, text string")
+    assert [tuple(r) for r in df.select(store.json_text("s"), store.json_text("n"), store.document()).collect()] == [('["a", "q\\"é"]', "[1, 2]", "text"), ("[]", None, "r")]
 
 
 def test_model_name(spark):
@@ -168,7 +183,7 @@ def test_stream_into_store(spark, tmp_path):
         q.awaitTermination()
         if file:
             blocks(spark, rows, file).write.mode("append").parquet(str(source))
-    assert {r.chunk_id for r in spark.read.parquet(path).collect()} == {"a.docx::chunk_0001", "b.docx::chunk_0001"}
+    assert {r.chunk_id for r in store.opened(spark, path).collect()} == {"a.docx::chunk_0001", "b.docx::chunk_0001"}
     q = blocks_per_hour(new_rows(spark, str(source), schema)).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.n_blocks for r in spark.table("hours").collect()] == [2]

@@ -1,10 +1,10 @@
 """Records that are similar beyond a threshold, from small edits, insertions or another order.
 
-Each record's set of word shingles has a fingerprint of 60 components (min-hashes, 16 bits each). Components agree
+Each record's set of word shingles has a fingerprint of 90 components (min-hashes, 16 bits each). Components agree
 about as often as two sets overlap, so similar records have a small Hamming distance in components. Pigeonhole
-blocks: the fingerprint is split into 30 blocks of 2 components. Two records at most 29 components apart share a
-block for certain (fewer differing components than blocks); a pair of a similarity of 0.6 is 24 apart on average, and where it is 30 or more apart
-it still shares a block mostly: all in all it fails to with a probability of 0.0000015, at 0.8 of less than 10^-13. Records are
+blocks: the fingerprint is split into 30 blocks of 3 components. Two records at most 29 components apart share a
+block for certain (fewer differing components than blocks). A pair of a similarity of 0.6 is 36 apart on average, and shares a
+block with a probability of 0.9993; at 0.65 of 0.99995, at 0.8 of all but 10^-9. Records are
 joined on blocks, the Hamming distance of the pairs is checked, and then the similarity exactly, on the shingles.
 
 Records with one set of shingles are copies: they are one representative from the start, and only memberships put
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.words import list_parts, mixed, shingles, word_hashes
 from leafmill.tables import written
 
-BLOCKS, ROWS = 30, 2
+BLOCKS, ROWS = 30, 3
 COMPONENTS = BLOCKS * ROWS
 MOST_IN_BLOCK = 500
 MOST_NAMED = 1_000_000  # 8 bytes each

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import answer, chunker, encode, expand, rerank, search, sections, store
 from leafmill import tables
-from leafmill.sources import files
+from leafmill.sources import files, office
 from leafmill.tables import clean_type, stripped, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,43 @@ def chunk_cover(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+PART = 200  # blocks, slides or rows of a file that is written and parsed again
+
+
+def _again(parts: DataFrame, doc_type: str, order: list[str]) -> DataFrame:
+    """The elements of office files that are made of blocks."""
+    return written(files.elements(office.as_files(parts, doc_type, order)), "elements")
+
+
+def parse_docx(s: SparkSession, d: str) -> DataFrame:
+    """The docx blocks written as documents and parsed again: headings by score, sections, tables as text."""
+    b = tables.once_per_key(table(s, d, "blocks").filter("doc_type = 'docx'").select("block_id", "source_file", "order", "block_type", "text", "metadata_json"), "block_id")
+    parts = b.select(office.part_of(F.col("source_file"), F.col("order"), PART).alias("file"), F.coalesce("order", F.lit(0)).alias("order"), "block_id", clean_type("block_type").alias("kind"), "text", F.get_json_object("metadata_json", "$.style").alias("style"))
+    got = files.docx_blocks(_again(parts, "docx", ["order", "block_id"]))
+    return got.select(F.col("source_path").alias("file"), "order", "block_type", "text", F.array_join("section_path", " > ").alias("section_key"), F.get_json_object("metadata_json", "$.heading_score").cast("int").alias("score"))
+
+
+def parse_pptx(s: SparkSession, d: str) -> DataFrame:
+    """The pptx blocks written as slides and parsed again: shapes in visual order, titles, bullets, tables, notes."""
+    b = tables.once_per_key(table(s, d, "blocks").filter("doc_type = 'pptx' AND slide_number IS NOT NULL").select("block_id", "source_file", "slide_number", "shape_index", "block_type", "text"), "block_id")
+    parts = b.select(office.part_of(F.col("source_file"), F.col("slide_number"), PART // 4).alias("file"), F.col("slide_number").alias("slide"), F.coalesce("shape_index", F.lit(0)).alias("index"), "block_id", clean_type("block_type").alias("kind"), "text")
+    got = files.pptx_blocks(_again(parts, "pptx", ["slide", "index", "block_id"]))
+    return got.select(F.col("source_path").alias("file"), "order", "slide_number", "block_type", "text", F.get("section_path", F.lit(0)).alias("hint"))
+
+
+def parse_xlsx(s: SparkSession, d: str) -> DataFrame:
+    """The header and row blocks written as sheets and parsed again: workbook and sheet facts, labels, rows under their labels."""
+    b = tables.once_per_key(table(s, d, "blocks").filter("doc_type = 'xlsx' AND row_number > 0 AND sheet_name IS NOT NULL").select("block_id", "source_file", "sheet_name", "row_number", "block_type", "text"), "block_id")
+    b = b.groupBy("source_file", "sheet_name", "row_number").agg(F.min(F.struct("block_id", "block_type", "text")).alias("b"))
+    cells = F.split(F.regexp_replace(F.coalesce("b.text", F.lit("")), "\r\n?", "\n"), r" \| ")
+    value = lambda c: F.when(c.contains(": "), F.substring_index(F.regexp_replace(c, r"(?s)\A.*?: ", "\x01"), "\x01", -1)).otherwise(c)
+    cells = F.when(clean_type("b.block_type") == "header", cells).otherwise(F.transform(cells, value))
+    file = office.part_of(F.concat(F.coalesce("source_file", F.lit("")), F.lit("/"), "sheet_name"), F.col("row_number"), PART)
+    parts = b.select(file.alias("file"), F.col("sheet_name").alias("sheet"), F.col("row_number").alias("row"), cells.alias("cells"))
+    got = files.xlsx_blocks(_again(parts, "xlsx", ["row"]))
+    return got.select(F.col("source_path").alias("file"), "order", "block_type", "text", "row_number", "sheet_name")
+
+
 def _sectioned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     found = written(sections.sections(sections.prepared(table(s, d, "blocks"))), "sections")
     return found, chunker.chunk_rows(found, chunker.ChunkConfig())
@@ -168,9 +205,10 @@ def chunk_sections(s: SparkSession, d: str) -> DataFrame:
     found, rows = _sectioned(s, d)
     place = found.filter("NOT is_heading AND NOT is_table").select("source_file", "section_id", "part", "block_id")
     body = rows.filter("chunk_type = 'section'").select("source_file", "seq", "text", "block_ids", F.explode("block_ids").alias("block_id")).join(place, ["source_file", "block_id"])
-    segs = chunker.segments(found, chunker.ChunkConfig()).filter("seg > 0").select("source_file", "section_id", "part").distinct().withColumn("cut", F.lit(True))
+    segs = chunker.segments(found, chunker.ChunkConfig()).filter("seg > 0 AND NOT is_table").select("source_file", "section_id", "part").distinct().withColumn("cut", F.lit(True))
     g = body.groupBy("source_file", "section_id", "part").agg(F.countDistinct("seq").alias("n"), F.min(F.struct("seq", "text"))["text"].alias("text"), F.min(F.struct("seq", F.array_join("block_ids", ",").alias("ids")))["ids"].alias("ids"))
-    g = g.join(segs, ["source_file", "section_id", "part"], "left").withColumn("one", (F.col("n") == 1) & F.col("cut").isNull())
+    fits = (F.length("text") <= 2000) & (T.token_estimate("text") <= 380)  # a single long word may not
+    g = g.join(segs, ["source_file", "section_id", "part"], "left").withColumn("one", (F.col("n") == 1) & F.col("cut").isNull() & fits)
     return g.select("source_file", "section_id", "part", F.when(F.col("one"), F.col("text")).alias("text"), F.when(F.col("one"), F.col("ids")).alias("block_ids"))
 
 
@@ -274,7 +312,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         doc_scan_filter, text_clean, text_narrative, text_sentence_end, text_tokens, text_preview, text_variants, heading_prefix, joined_parts, heading_body, retrieved_text,
-        block_counts, file_counts, heading_scores, heading_forward_fill, section_islands, section_summary, label_dedupe, slide_rollup, sentence_split, chunk_full, chunk_cover, chunk_tables, chunk_sections, retrieval_text, hash_encode, run_summary,
+        block_counts, file_counts, heading_scores, heading_forward_fill, section_islands, section_summary, label_dedupe, slide_rollup, sentence_split, parse_docx, parse_pptx, parse_xlsx, chunk_full, chunk_cover, chunk_tables, chunk_sections, retrieval_text, hash_encode, run_summary,
         store_valid, store_upsert_latest, store_metadata, vector_topk_batch, rerank_overlap, rerank_signals, rerank_final, group_rank, associated_expand, citation_context, grounded_prompt,
     )
 }

@@ -200,6 +200,8 @@ def packed(segs: DataFrame, config: ChunkConfig) -> DataFrame:
     return sorted_.mapInPandas(_pack(config), "source_file string, section_id bigint, part bigint, group int, pos int, order int, block_id string, seg int")
 
 
+PLACE = ("section_id", "part", "kind", "group")  # a chunk's place in its file
+SPAN = 1024  # sections, and runs of chunks, of a range
 _SEGMENT = ("block_id", "block_type", "order", "page_number", "slide_number", "shape_index", "sheet_name", "row_number")
 
 
@@ -214,7 +216,7 @@ def section_title(heading: Column, path: Column) -> Column:
 
 
 def chunk_rows(sectioned: DataFrame, config: ChunkConfig) -> DataFrame:
-    """Chunks before short headings are attached, with seq (their place in the file)."""
+    """Chunks before short headings are attached, with their place in the file: PLACE."""
     segs = written(segments(sectioned, config), "segments")
     facts = F.struct(*_SEGMENT, "segment")
     context = ["source_path", "doc_type", "path", "heading"]
@@ -234,9 +236,8 @@ def chunk_rows(sectioned: DataFrame, config: ChunkConfig) -> DataFrame:
     heading_first = F.array(F.struct(*(F.col(f"heading.{c}").alias(c) for c in _SEGMENT), F.col("heading.text").alias("segment")))
     df = df.withColumn("text", text).withColumn("_s", F.when(is_table | F.col("heading").isNull(), F.col("_s")).otherwise(F.concat(heading_first, F.col("_s"))))
     distinct = lambda f: F.array_distinct(F.filter(F.transform("_s", lambda x: x[f]), lambda x: x.isNotNull()))
-    seq = F.row_number().over(Window.partitionBy("source_file").orderBy("section_id", "part", "kind", "group"))
     return df.select(
-        "source_file", "source_path", "doc_type", seq.alias("seq"), F.when(is_table, "table").otherwise("section").alias("chunk_type"), F.col("path").alias("section_path"), F.col("heading.text").alias("heading"), "text",
+        "source_file", "source_path", "doc_type", *PLACE, F.when(is_table, "table").otherwise("section").alias("chunk_type"), F.col("path").alias("section_path"), F.col("heading.text").alias("heading"), "text",
         distinct("block_id").alias("block_ids"), distinct("block_type").alias("block_types"), F.array_min(F.transform("_s", lambda x: x["order"])).alias("order_start"), F.array_max(F.transform("_s", lambda x: x["order"])).alias("order_end"),
         _numbers("page_number").alias("page_numbers"), _numbers("slide_number").alias("slide_numbers"), _numbers("shape_index").alias("shape_indices"), distinct("sheet_name").alias("sheet_names"), _numbers("row_number").alias("row_numbers"),
         F.when(is_table, F.get("_s", F.lit(0))["block_type"]).alias("original_block_type"),
@@ -244,26 +245,30 @@ def chunk_rows(sectioned: DataFrame, config: ChunkConfig) -> DataFrame:
 
 
 def _attach(config: ChunkConfig):  # noqa: ANN202
-    """Where each chunk goes: source_file, seq, target (its new number's anchor), role (0 prefix, 1 main, 2 suffix)."""
+    """Where each chunk of a run goes: source_file, run, its place, target (number of the new chunk in the run), role (0 prefix, 1 main, 2 suffix)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, pending, last = None, [], None  # last: [number, chars, pieces, soft] of the newest output
+    def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, pending, last = None, [], None  # last: [number, chars, pieces, soft] of the newest output
         number, out = 0, []
 
         def fit(r) -> bool:  # noqa: ANN001
             chars = last[1] + last[3] + 1 + r.chars + r.hard
             return chars <= config.max_chars and max(last[2] + last[3] + r.pieces + r.hard, math.ceil(chars / 4)) <= config.max_tokens
 
+        def put(r, role: int) -> None:  # noqa: ANN001
+            out.append((r.source_file, r.run, r.section_id, r.part, r.kind, r.group, number, role))
+
         def suffix(r) -> None:  # noqa: ANN001
             nonlocal last
-            last = [last[0], last[1] + last[3] + 1 + r.chars + r.hard, last[2] + last[3] + r.pieces + r.hard, 0]
-            out.append((r.source_file, r.seq, last[0], 2))
+            last = [number, last[1] + last[3] + 1 + r.chars + r.hard, last[2] + last[3] + r.pieces + r.hard, 0]
+            put(r, 2)
 
         def main(r) -> None:  # noqa: ANN001
             nonlocal last, number
             number += 1
-            out.extend((p.source_file, p.seq, number, 0) for p in pending)
-            out.append((r.source_file, r.seq, number, 1))
+            for p in pending:
+                put(p, 0)
+            put(r, 1)
             last = [number, sum(p.chars + p.soft + 1 for p in pending) + r.chars + (r.hard if pending else 0), sum(p.pieces + p.soft for p in pending) + r.pieces + (r.hard if pending else 0), 0 if pending else r.soft]
             pending.clear()
 
@@ -276,11 +281,12 @@ def _attach(config: ChunkConfig):  # noqa: ANN202
                 else:
                     main(p)
 
+        columns = ["source_file", "run", *PLACE, "target", "role"]
         for b in batches:
             for r in b.itertuples(index=False):
-                if r.source_file != file:
+                if (r.source_file, r.run) != run:
                     close()
-                    file, last, number = r.source_file, None, 0
+                    run, last, number = (r.source_file, r.run), None, 0
                 if not r.short:
                     main(r)
                 elif pending or r.introduces or last is None:
@@ -289,26 +295,52 @@ def _attach(config: ChunkConfig):  # noqa: ANN202
                     suffix(r)
                 else:
                     pending.append(r)
-            yield pd.DataFrame(out, columns=["source_file", "seq", "target", "role"])
+            yield pd.DataFrame(out, columns=columns)
             out.clear()
         close()
-        yield pd.DataFrame(out, columns=["source_file", "seq", "target", "role"])
+        yield pd.DataFrame(out, columns=columns)
 
-    return run
+    return moves
+
+
+def runs(sized: DataFrame) -> DataFrame:
+    """Adds run: chunks of a file that can be attached to each other. One begins at each chunk that isn't short and follows
+    none that is, as no short chunk waits there. Counted in ranges of sections, and over the ranges."""
+    sized = sized.withColumn("_range", F.floor(F.col("section_id") / SPAN))
+    keys, place = ["source_file", "_range"], F.struct(*PLACE)
+    inside = Window.partitionBy(*keys).orderBy(*PLACE)
+    before = Window.partitionBy("source_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sized.groupBy(*keys).agg(F.max_by("short", place).alias("s")).select(*keys, F.last("s").over(before).alias("_short_before"))
+    df = sized.join(ends, keys)
+    df = df.withColumn("_begins", (~F.col("short") & ~F.coalesce(F.lag("short").over(inside), F.col("_short_before"), F.lit(False))).cast("int"))
+    counts = df.groupBy(*keys).agg(F.sum("_begins").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_runs"))
+    return df.join(counts, keys).withColumn("run", F.sum("_begins").over(inside) + F.col("_runs")).drop("_range", "_begins", "_runs", "_short_before")
+
+
+def first_numbers(places: DataFrame) -> DataFrame:
+    """source_file, run and first: the number of new chunks before the run in its file, in ranges of runs and over the ranges."""
+    n = places.groupBy("source_file", "run").agg(F.max("target").alias("n")).withColumn("_range", F.floor(F.col("run") / SPAN))
+    inside = Window.partitionBy("source_file", "_range").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = n.groupBy("source_file", "_range").agg(F.sum("n").alias("n")).select("source_file", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return n.join(totals, ["source_file", "_range"]).select("source_file", "run", (F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("_before")).cast("int").alias("first"))
 
 
 def merged(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
     """Chunks with short heading chunks attached to the chunk they introduce or follow, and numbered."""
-    df = chunks.select("source_file", "seq", "chunk_type", "block_types", narrative("text").alias("p"))
+    df = chunks.select("source_file", *PLACE, "chunk_type", "block_types", narrative("text").alias("p"))
     df = df.withColumns({"low": without_colons(F.lower("p")), "soft_end": sentence_end(F.col("p"), False), "hard_end": sentence_end(F.col("p"), True)})
     heads = (F.size("block_types") > 0) & (F.size(F.array_except("block_types", F.array(*map(F.lit, HEADING_TYPES)))) == 0)
     introduces = F.col("p").endswith(":") | reduce(lambda a, b: a | b, (F.col("low").startswith(x) for x in _INTRODUCERS))
     short = (F.col("chunk_type") == "section") & heads & (F.col("p") != "") & (F.length("p") < config.min_section_chars)
-    sized = df.select("source_file", "seq", short.alias("short"), introduces.alias("introduces"), F.length("p").alias("chars"), word_pieces(F.col("p")).alias("pieces"), (F.length("soft_end") - F.length("p")).alias("soft"), (F.length("hard_end") - F.length("p")).alias("hard"))
-    places = sized.repartition("source_file").sortWithinPartitions("source_file", "seq").mapInPandas(_attach(config), "source_file string, seq int, target int, role int")
-    df = chunks.withColumn("section_title", section_title(F.col("heading"), F.col("section_path"))).join(places, ["source_file", "seq"])
-    fields = [c for c in df.columns if c not in ("source_file", "target")]
-    g = df.groupBy("source_file", "target").agg(F.array_sort(F.collect_list(F.struct("seq", "role", *(c for c in fields if c not in ("seq", "role"))))).alias("c"))
+    sized = df.select("source_file", *PLACE, short.alias("short"), introduces.alias("introduces"), F.length("p").alias("chars"), word_pieces(F.col("p")).alias("pieces"), (F.length("soft_end") - F.length("p")).alias("soft"), (F.length("hard_end") - F.length("p")).alias("hard"))
+    ordered = runs(written(sized, "sizes")).repartition("source_file", "run").sortWithinPartitions("source_file", "run", *PLACE)
+    places = written(ordered.mapInPandas(_attach(config), "source_file string, run bigint, section_id bigint, part bigint, kind int, group int, target int, role int"), "places")
+    chunks = chunks.join(places, ["source_file", *PLACE]).withColumn("seq", F.struct(*PLACE)).drop(*PLACE)
+    df = chunks.withColumn("section_title", section_title(F.col("heading"), F.col("section_path")))
+    fields = [c for c in df.columns if c not in ("source_file", "run", "target")]
+    g = df.groupBy("source_file", "run", "target").agg(F.array_sort(F.collect_list(F.struct("seq", "role", *(c for c in fields if c not in ("seq", "role"))))).alias("c"))
+    g = g.join(first_numbers(places), ["source_file", "run"]).withColumn("target", F.col("target") + F.col("first"))
     main, n = F.get(F.filter("c", lambda x: x["role"] == 1), F.lit(0)), F.size("c")
     led = F.get("c", F.lit(0))["role"] == 0
     every = lambda f: F.flatten(F.transform("c", lambda x: x[f]))

@@ -1,4 +1,4 @@
-"""Blocks into sections: headings, forward fill and islands, as windows over a file's blocks."""
+"""Blocks into sections: headings, forward fill and islands along a file's blocks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import narrative, word_count
-from leafmill.tables import clean_type, stripped
+from leafmill.tables import clean_type, stripped, written
+
+SPAN = 4096  # orders of a range
 
 # Fixed values.
 HEADING_TYPES = ("heading", "title", "header")
@@ -43,19 +45,31 @@ def sections(blocks: DataFrame) -> DataFrame:
     """Prepared blocks with is_heading, is_table, path (carried forward), section_id (from 1), part (the tables before the
     block in its section, itself included) and heading (its section's heading block, null for none).
 
-    A section begins at a heading and where the path changes. A file is one window partition, which Spark sorts and spills."""
-    w = Window.partitionBy("source_file").orderBy("order", "block_id")
+    A section begins at a heading and where the path changes. What runs along a file is computed in two steps, so that a
+    file of any length is no single task: within ranges of SPAN orders, and over the ranges, of which a file has few."""
     colon = inferred_heading(F.col("block_type"), F.col("text"))
     df = blocks.withColumn("block_type", F.when(colon, "heading").otherwise(F.col("block_type")))
-    df = df.withColumns({"is_heading": F.coalesce(F.col("block_type").isin(*HEADING_TYPES), F.lit(False)), "is_table": F.coalesce(F.col("block_type").isin(*TABLE_TYPES), F.lit(False))})
-    own = F.when(F.size("path") > 0, F.col("path")).when(F.col("is_heading"), F.array("text"))
-    df = df.withColumn("path", F.coalesce(F.last(own, ignorenulls=True).over(w), empty_path()))
-    changed = F.col("path") != F.coalesce(F.lag("path").over(w), empty_path())
-    df = df.withColumn("_begins", (F.col("is_heading") | changed).cast("int"))
-    df = df.withColumn("section_id", F.sum("_begins").over(w)).drop("_begins")
-    inside = Window.partitionBy("source_file", "section_id").orderBy("order", "block_id")
-    first = F.struct("block_id", "block_type", "text", "order", "page_number", "slide_number", "shape_index", "sheet_name", "row_number")
-    return df.withColumns({
-        "heading": F.first(F.when(F.col("is_heading"), first), ignorenulls=True).over(inside),
-        "part": F.sum(F.col("is_table").cast("int")).over(inside),
-    })
+    df = df.withColumns({"is_heading": F.coalesce(F.col("block_type").isin(*HEADING_TYPES), F.lit(False)), "is_table": F.coalesce(F.col("block_type").isin(*TABLE_TYPES), F.lit(False)), "_range": F.floor(F.col("order") / SPAN)})
+    df = written(df.withColumn("_own", F.when(F.size("path") > 0, F.col("path")).when(F.col("is_heading"), F.array("text"))), "prepared")
+    keys, place = ["source_file", "_range"], F.struct("order", "block_id")
+    inside = Window.partitionBy(*keys).orderBy("order", "block_id")
+    before = Window.partitionBy("source_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+
+    paths = df.groupBy(*keys).agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), place)).alias("p")).select(*keys, F.last("p", ignorenulls=True).over(before).alias("_path_before"))
+    df = df.join(paths, keys)
+    so_far = lambda w: F.coalesce(F.last("_own", ignorenulls=True).over(w), F.col("_path_before"), empty_path())
+    df = df.withColumns({"path": so_far(inside), "_previous": so_far(inside.rowsBetween(Window.unboundedPreceding, -1))})
+    table = F.col("is_table").cast("int")
+    df = df.withColumns({"_begins": F.col("is_heading") | (F.col("path") != F.col("_previous")), "_tables": F.sum(table).over(inside)})
+    head = F.struct(F.when(F.col("is_heading"), F.struct("block_id", "block_type", "text", "order", "page_number", "slide_number", "shape_index", "sheet_name", "row_number")).alias("heading"))
+    df = df.withColumn("_start", F.when(F.col("_begins"), F.struct((F.col("_tables") - table).alias("tables"), head.alias("head"))))
+
+    ranges = df.groupBy(*keys).agg(F.sum(F.col("_begins").cast("int")).alias("begins"), F.sum(table).alias("tables"), F.max_by("_start", F.when(F.col("_begins"), place)).alias("start"))
+    ranges = ranges.withColumn("_base", total("tables")).withColumn("_at", F.col("_base") + F.col("start.tables"))
+    ranges = ranges.select(*keys, total("begins").alias("_sections"), F.last("start.head", ignorenulls=True).over(before).alias("_head"), (F.col("_base") - F.coalesce(F.last("_at", ignorenulls=True).over(before), F.lit(0))).alias("_open"))
+    df = df.join(ranges, keys)
+    start = F.last("_start", ignorenulls=True).over(inside)
+    df = df.withColumns({"section_id": F.sum(F.col("_begins").cast("int")).over(inside) + F.col("_sections"), "_start": start})
+    df = df.withColumns({"part": F.col("_tables") - F.coalesce(F.col("_start.tables"), -F.col("_open")), "heading": F.coalesce("_start.head", "_head")["heading"]})
+    return df.select(*blocks.columns, "is_heading", "is_table", "section_id", "part", "heading")

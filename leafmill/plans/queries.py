@@ -204,7 +204,7 @@ def chunk_sections(s: SparkSession, d: str) -> DataFrame:
     """The texts of the section parts that fit one chunk without cutting a block; null for the others."""
     found, rows = _sectioned(s, d)
     place = found.filter("NOT is_heading AND NOT is_table").select("source_file", "section_id", "part", "block_id")
-    body = rows.filter("chunk_type = 'section'").select("source_file", "seq", "text", "block_ids", F.explode("block_ids").alias("block_id")).join(place, ["source_file", "block_id"])
+    body = rows.filter("chunk_type = 'section'").select("source_file", F.struct(*chunker.PLACE).alias("seq"), "text", "block_ids", F.explode("block_ids").alias("block_id")).join(place, ["source_file", "block_id"])
     segs = chunker.segments(found, chunker.ChunkConfig()).filter("seg > 0 AND NOT is_table").select("source_file", "section_id", "part").distinct().withColumn("cut", F.lit(True))
     g = body.groupBy("source_file", "section_id", "part").agg(F.countDistinct("seq").alias("n"), F.min(F.struct("seq", "text"))["text"].alias("text"), F.min(F.struct("seq", F.array_join("block_ids", ",").alias("ids")))["ids"].alias("ids"))
     fits = (F.length("text") <= 2000) & (T.token_estimate("text") <= 380)  # a single long word may not

@@ -115,3 +115,17 @@ def test_every_block_is_in_a_chunk(spark, sf):
     assert plain.filter("NOT text rlike '[^ ]{400}'").count() == 0
     again = chunk(b.repartition(3)).select("chunk_id", "text")
     assert again.exceptAll(got.select("chunk_id", "text")).count() == 0
+
+
+def test_ranges_change_nothing(spark, sf):
+    """What runs along a file is the same in however small ranges it is computed."""
+    from leafmill.operators import chunker, sections
+
+    b = spark.read.parquet(f"{sf}/blocks.parquet")
+    whole = {tuple(map(str, r)) for r in chunk(b).drop("metadata").collect()}
+    keep = sections.SPAN, chunker.SPAN
+    sections.SPAN, chunker.SPAN = 3, 2
+    try:
+        assert {tuple(map(str, r)) for r in chunk(b).drop("metadata").collect()} == whole
+    finally:
+        sections.SPAN, chunker.SPAN = keep

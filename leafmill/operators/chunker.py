@@ -120,63 +120,58 @@ def segments(sectioned: DataFrame, config: ChunkConfig) -> DataFrame:
     return both.select("*", F.posexplode("segments").alias("seg", "segment")).drop("segments", "clean", "chars", "tokens", "whole")
 
 
-class _Size(NamedTuple):
-    """What a segment adds to a chunk: characters, pieces, and a full stop inside or at the end of it."""
+class _Item(NamedTuple):
+    """A segment: what it adds to a chunk (characters, pieces, a full stop inside or at the end of it), whether it begins with the heading."""
 
     chars: int
     pieces: int
     soft: int
     hard: int
-
-
-def _rendered(group: list, lead: tuple[int, int, int, int]) -> tuple[int, int]:
-    """Characters and tokens of a chunk of these segments. lead: characters and pieces of the heading."""
-    sizes = [g.size for g in group]
-    chars = sum(s.chars + s.soft for s in sizes[:-1]) + len(sizes) - 1 + sizes[-1].chars + sizes[-1].hard
-    pieces = sum(s.pieces + s.soft for s in sizes[:-1]) + sizes[-1].pieces + sizes[-1].hard
-    if not group[0].leads:
-        chars, pieces = chars + lead[0], pieces + lead[1]
-    return chars, max(pieces, math.ceil(chars / 4))
-
-
-class _Item(NamedTuple):
-    size: _Size
-    leads: bool  # begins with the heading
+    leads: bool
     tokens: int
     row: tuple
 
 
 def _pack(config: ChunkConfig):  # noqa: ANN202
-    def within(group: list, lead: tuple) -> bool:
-        chars, tokens = _rendered(group, lead)
-        return chars <= config.max_chars and tokens <= config.max_tokens
+    def within(chars: int, pieces: int, n: int, first: _Item, item: _Item, lead: tuple[int, int]) -> bool:
+        """Whether a chunk of n segments of so many characters and pieces, led by `first`, and the item keeps the budget."""
+        chars, pieces = chars + n + item.chars + item.hard, pieces + item.pieces + item.hard
+        if not first.leads:
+            chars, pieces = chars + lead[0], pieces + lead[1]
+        return chars <= config.max_chars and max(pieces, math.ceil(chars / 4)) <= config.max_tokens
+
+    def sums(group: list[_Item]) -> tuple[int, int]:
+        return sum(g.chars + g.soft for g in group), sum(g.pieces + g.soft for g in group)
 
-    def overlap(group: list, item: _Item, lead: tuple) -> list:
+    def overlap(group: list[_Item], item: _Item, lead: tuple[int, int]) -> list[_Item]:
         tail, total = [], 0
         for g in reversed(group):
             total += g.tokens
             if total > config.overlap_tokens:
                 break
             tail.insert(0, g)
-        while tail and not within([*tail, item], lead):
+        while tail and not within(*sums(tail), len(tail), tail[0], item, lead):
             tail.pop(0)
         return tail
 
+    fields = ["source_file", "section_id", "part", "chars", "pieces", "soft", "hard", "leads", "tokens", "lead_chars", "lead_pieces", "order", "block_id", "seg"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, group, number = None, [], 0
+        place, group, number, chars, pieces = None, [], 0, 0, 0
         columns = ["source_file", "section_id", "part", "group", "pos", "order", "block_id", "seg"]
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                if (here := (r.source_file, r.section_id, r.part)) != part:
-                    part, group, number = here, [], 0
-                lead = (r.lead_chars, r.lead_pieces)
-                item = _Item(_Size(r.chars, r.pieces, r.soft, r.hard), r.leads, r.tokens, (r.order, r.block_id, r.seg))
-                if group and not within([*group, item], lead):
+            for file, section, part, *size, lead_chars, lead_pieces, order, block, seg in zip(*(b[c].tolist() for c in fields), strict=True):
+                if (here := (file, section, part)) != place:
+                    place, group, number, chars, pieces = here, [], 0, 0, 0
+                item, lead = _Item(*size, (order, block, seg)), (lead_chars, lead_pieces)
+                if group and not within(chars, pieces, len(group), group[0], item, lead):
                     number += 1
                     group = overlap(group, item, lead)
+                    chars, pieces = sums(group)
                     out += [(*here, number, k, *g.row) for k, g in enumerate(group)]
                 group.append(item)
+                chars, pieces = chars + item.chars + item.soft, pieces + item.pieces + item.soft
                 out.append((*here, number, len(group) - 1, *item.row))
             yield pd.DataFrame(out, columns=columns)
 

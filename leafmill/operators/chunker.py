@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import NamedTuple
@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_text, heading_like, narrative, sentence_end, starts_with_heading, token_estimate, with_heading, without_colons, word_pieces
-from leafmill.operators.sections import HEADING_TYPES, prepared, sections
+from leafmill.functions.text import IMAGE, SOFT_TERMINAL, TERMINAL, clean_text, heading_like, narrative, sentence_end, starts_with_heading, token_estimate, with_heading, without_colons, word_pieces
+from leafmill.operators.sections import HEADING_TYPES, TABLE_TYPES, prepared, sections
 from leafmill.tables import written
 
 _PIECE = re.compile(r"\w+|[^\w\s]")
@@ -37,6 +37,9 @@ class ChunkConfig:
     max_tokens: int = 380
     overlap_tokens: int = 40
     min_section_chars: int = 120
+    heading_types: tuple[str, ...] = HEADING_TYPES
+    table_types: tuple[str, ...] = TABLE_TYPES
+    tokenizer: Callable[[], Callable[[str], int]] | None = None  # opened once in a task; gives a text's number of tokens
 
     def __post_init__(self) -> None:
         if min(self.max_chars, self.max_tokens) <= 0 or min(self.overlap_tokens, self.min_section_chars) < 0 or self.overlap_tokens >= self.max_tokens:
@@ -48,8 +51,13 @@ def estimate(text: str) -> int:
     return max(len(_PIECE.findall(text)), math.ceil(len(text) / 4))
 
 
-def fits(text: str, chars: int, tokens: int) -> bool:
-    return len(text) <= chars and estimate(text) <= tokens
+def counter(config: ChunkConfig) -> Callable[[str], int]:
+    """What counts a text's tokens: the tokenizer, or the estimate."""
+    return config.tokenizer() if config.tokenizer else estimate
+
+
+def fits(text: str, chars: int, tokens: int, count: Callable[[str], int] = estimate) -> bool:
+    return len(text) <= chars and count(text) <= tokens
 
 
 def _finest_cut(text: str, order: tuple[str, ...]) -> tuple[str, list[str]] | None:
@@ -60,61 +68,79 @@ def _finest_cut(text: str, order: tuple[str, ...]) -> tuple[str, list[str]] | No
     return None
 
 
-def cut_prose(text: str, chars: int, tokens: int) -> list[str]:
+def cut_prose(text: str, chars: int, tokens: int, count: Callable[[str], int] = estimate) -> list[str]:
     """Units within the budget, as coarse as they may be; they aren't put together again. One word is never cut."""
-    if not text or fits(text, chars, tokens) or not (cut := _finest_cut(text, _PROSE)):
+    if not text or fits(text, chars, tokens, count) or not (cut := _finest_cut(text, _PROSE)):
         return [text] if text else []
-    return [s for u in cut[1] for s in cut_prose(u, chars, tokens)]
+    return [s for u in cut[1] for s in cut_prose(u, chars, tokens, count)]
 
 
-def cut_rows(text: str, chars: int, tokens: int, order: tuple[str, ...] = _ROWS) -> list[str]:
+def cut_rows(text: str, chars: int, tokens: int, order: tuple[str, ...] = _ROWS, count: Callable[[str], int] = estimate) -> list[str]:
     """Lines (or finer units) put together again up to the budget."""
-    if not text or fits(text, chars, tokens) or not (cut := _finest_cut(text, order)):
+    if not text or fits(text, chars, tokens, count) or not (cut := _finest_cut(text, order)):
         return [text] if text else []
     glue, out, open_ = _GLUE[cut[0]], [], ""
     for u in cut[1]:
         joined = f"{open_}{glue}{u}" if open_ else u
-        if fits(joined, chars, tokens):
+        if fits(joined, chars, tokens, count):
             open_ = joined
             continue
         if open_:
             out.append(open_)
-        open_ = u if fits(u, chars, tokens) else ""
+        open_ = u if fits(u, chars, tokens, count) else ""
         if not open_:
-            out += cut_rows(u, chars, tokens, _ROWS if cut[0] == "line" else _PROSE)
+            out += cut_rows(u, chars, tokens, _ROWS if cut[0] == "line" else _PROSE, count)
     return [*out, open_] if open_ else out
 
 
-def cut_table(text: str, chars: int, tokens: int) -> list[str]:
+def cut_table(text: str, chars: int, tokens: int, count: Callable[[str], int] = estimate) -> list[str]:
     """A table's pieces; a first line that names the columns leads each of them."""
     lines = [u for x in _CUTS["line"].split(text) if (u := x.strip())]
     header = lines[0] if len(lines) > 1 and lines[0].lower().startswith(_HEADER) else ""
     if not header or not text.startswith(header):
-        return cut_rows(text, chars, tokens)
-    rows = cut_rows(text[len(header) :].strip(), max(chars - len(header) - 1, 1), max(tokens - estimate(header), 1))
+        return cut_rows(text, chars, tokens, count=count)
+    rows = cut_rows(text[len(header) :].strip(), max(chars - len(header) - 1, 1), max(tokens - count(header), 1), count=count)
     return [f"{header}\n{r}" for r in rows] or [header]
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        cut = [cut_table(r.clean, r.chars, r.tokens) if r.is_table else cut_prose(r.clean, r.chars, r.tokens) for r in b.itertuples(index=False)]
-        yield pd.DataFrame({"source_file": b["source_file"], "block_id": b["block_id"], "segments": cut})
+def _cut(config: ChunkConfig):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(config)
+        for b in batches:
+            cut = [cut_table(r.clean, r.chars, r.tokens, count) if r.is_table else cut_prose(r.clean, r.chars, r.tokens, count) for r in b.itertuples(index=False)]
+            yield pd.DataFrame({"source_file": b["source_file"], "block_id": b["block_id"], "segments": cut})
+
+    return run
+
+
+def tokens_of(text: Column, config: ChunkConfig) -> Column:
+    """A text's number of tokens by the tokenizer, or the estimate."""
+    if not config.tokenizer:
+        return token_estimate(text)
+
+    @F.pandas_udf("int")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = config.tokenizer()
+        for s in batches:
+            yield s.map(lambda x: count(x or "")).astype("int32")
+
+    return counted(text)
 
 
 def segments(sectioned: DataFrame, config: ChunkConfig) -> DataFrame:
     """Each body or table block's segments (seg from 0): blocks within the budget that their heading leaves stay as they
     are in the JVM; tables and blocks beyond it are cut."""
     lead = F.concat("heading.text", F.lit("\n\n"))
-    left_chars, left_tokens = F.lit(config.max_chars) - F.length(lead), F.lit(config.max_tokens) - token_estimate(lead)
+    left_chars, left_tokens = F.lit(config.max_chars) - F.length(lead), F.lit(config.max_tokens) - F.coalesce(tokens_of(lead, config), F.lit(0))
     own = F.col("heading").isNull() | F.col("is_table")
     df = sectioned.filter("NOT is_heading").withColumns({
         "clean": clean_text("text"),
         "chars": F.when(own | (left_chars <= 0), config.max_chars).otherwise(left_chars),
         "tokens": F.when(own | (left_tokens <= 0), config.max_tokens).otherwise(left_tokens),
     })
-    whole = ~F.col("is_table") & (F.length("clean") <= F.col("chars")) & (token_estimate("clean") <= F.col("tokens"))
+    whole = ~F.col("is_table") & (F.length("clean") <= F.col("chars")) & (tokens_of(F.col("clean"), config) <= F.col("tokens"))
     df = written(df.drop("text").withColumn("whole", whole), "sized")
-    beyond = df.filter("NOT whole").select("source_file", "block_id", "is_table", "clean", "chars", "tokens").mapInPandas(_cut, "source_file string, block_id string, segments array<string>")
+    beyond = df.filter("NOT whole").select("source_file", "block_id", "is_table", "clean", "chars", "tokens").mapInPandas(_cut(config), "source_file string, block_id string, segments array<string>")
     one = df.filter("whole").withColumn("segments", F.array("clean"))
     both = one.unionByName(df.filter("NOT whole").join(beyond, ["source_file", "block_id"]).select(*one.columns))
     return both.select("*", F.posexplode("segments").alias("seg", "segment")).drop("segments", "clean", "chars", "tokens", "whole")
@@ -178,6 +204,51 @@ def _pack(config: ChunkConfig):  # noqa: ANN202
     return run
 
 
+def _ended(text: str, force: bool) -> str:
+    """sentence_end of leafmill.functions.text, for a string."""
+    return text if not text or text == IMAGE or text[-1] in TERMINAL or (not force and text[-1] in SOFT_TERMINAL) else text + "."
+
+
+def _pack_texts(config: ChunkConfig):  # noqa: ANN202
+    """As _pack, for a tokenizer: its counts don't add up, so the chunk's text is rendered and counted. The state is one open chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(config)
+
+        def within(group: list) -> bool:
+            texts = [x for g in group if (x := g.text)]
+            body = " ".join(_ended(x, n == len(texts) - 1) for n, x in enumerate(texts))
+            r = group[0]
+            if r.whole and body and not r.leads:
+                body = f"{r.short}: {body}" if r.like else f"{r.whole}\n\n{body}"
+            return fits(body or r.whole or "", config.max_chars, config.max_tokens, count)
+
+        place, group, number = None, [], 0
+        columns = ["source_file", "section_id", "part", "group", "pos", "order", "block_id", "seg"]
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if (here := (r.source_file, r.section_id, r.part)) != place:
+                    place, group, number = here, [], 0
+                if group and not within([*group, r]):
+                    number += 1
+                    total, tail = 0, []
+                    for g in reversed(group):
+                        total += g.tokens
+                        if total > config.overlap_tokens:
+                            break
+                        tail.insert(0, g)
+                    while tail and not within([*tail, r]):
+                        tail.pop(0)
+                    group = tail
+                    out += [(*here, number, k, g.order, g.block_id, g.seg) for k, g in enumerate(group)]
+                group.append(r)
+                out.append((*here, number, len(group) - 1, r.order, r.block_id, r.seg))
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
 def packed(segs: DataFrame, config: ChunkConfig) -> DataFrame:
     """The groups of body segments: source_file, section_id, part, group, pos, order, block_id, seg. A segment of the
     overlap is in two groups. Only sizes go through Python."""
@@ -186,13 +257,13 @@ def packed(segs: DataFrame, config: ChunkConfig) -> DataFrame:
     p, short, whole, like = (F.col(c) for c in ("p", "short", "whole", "like"))
     sized = df.select(
         "source_file", "section_id", "part", "order", "block_id", "seg", F.length(p).alias("chars"), word_pieces(p).alias("pieces"), (F.length("soft_end") - F.length(p)).alias("soft"), (F.length("hard_end") - F.length(p)).alias("hard"),
-        token_estimate("segment").alias("tokens"), F.coalesce(starts_with_heading(p, short), F.lit(False)).alias("leads"),
+        tokens_of(F.col("segment"), config).alias("tokens"), *([p.alias("text"), whole.alias("whole"), short.alias("short"), like.alias("like")] if config.tokenizer else []), F.coalesce(starts_with_heading(p, short), F.lit(False)).alias("leads"),
         F.when(whole == "", 0).when(like, F.length(short) + 2).otherwise(F.length(whole) + 2).alias("lead_chars"),
         F.when(whole == "", 0).when(like, word_pieces(short) + 1).otherwise(word_pieces(whole)).alias("lead_pieces"),
     )
     keys = ["source_file", "section_id", "part"]
     sorted_ = sized.repartition(*keys).sortWithinPartitions(*keys, "order", "block_id", "seg")
-    return sorted_.mapInPandas(_pack(config), "source_file string, section_id bigint, part bigint, group int, pos int, order int, block_id string, seg int")
+    return sorted_.mapInPandas((_pack_texts if config.tokenizer else _pack)(config), "source_file string, section_id bigint, part bigint, group int, pos int, order int, block_id string, seg int")
 
 
 PLACE = ("section_id", "part", "kind", "group")  # a chunk's place in its file
@@ -243,11 +314,14 @@ def _attach(config: ChunkConfig):  # noqa: ANN202
     """Where each chunk of a run goes: source_file, run, its place, target (number of the new chunk in the run), role (0 prefix, 1 main, 2 suffix)."""
 
     def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, pending, last = None, [], None  # last: [number, chars, pieces, soft] of the newest output
+        run, pending, last = None, [], None  # last: [number, chars, pieces, soft, text for a tokenizer] of the newest output
+        count = counter(config) if config.tokenizer else None
         number, out = 0, []
 
         def fit(r) -> bool:  # noqa: ANN001
             chars = last[1] + last[3] + 1 + r.chars + r.hard
+            if count:
+                return chars <= config.max_chars and count(f"{_ended(last[4], False)} {_ended(r.text, True)}") <= config.max_tokens
             return chars <= config.max_chars and max(last[2] + last[3] + r.pieces + r.hard, math.ceil(chars / 4)) <= config.max_tokens
 
         def put(r, role: int) -> None:  # noqa: ANN001
@@ -255,7 +329,7 @@ def _attach(config: ChunkConfig):  # noqa: ANN202
 
         def suffix(r) -> None:  # noqa: ANN001
             nonlocal last
-            last = [number, last[1] + last[3] + 1 + r.chars + r.hard, last[2] + last[3] + r.pieces + r.hard, 0]
+            last = [number, last[1] + last[3] + 1 + r.chars + r.hard, last[2] + last[3] + r.pieces + r.hard, 0, f"{_ended(last[4], False)} {_ended(r.text, True)}" if count else ""]
             put(r, 2)
 
         def main(r) -> None:  # noqa: ANN001
@@ -264,7 +338,7 @@ def _attach(config: ChunkConfig):  # noqa: ANN202
             for p in pending:
                 put(p, 0)
             put(r, 1)
-            last = [number, sum(p.chars + p.soft + 1 for p in pending) + r.chars + (r.hard if pending else 0), sum(p.pieces + p.soft for p in pending) + r.pieces + (r.hard if pending else 0), 0 if pending else r.soft]
+            last = [number, sum(p.chars + p.soft + 1 for p in pending) + r.chars + (r.hard if pending else 0), sum(p.pieces + p.soft for p in pending) + r.pieces + (r.hard if pending else 0), 0 if pending else r.soft, " ".join([*(_ended(p.text, False) for p in pending), _ended(r.text, bool(pending))]) if count else ""]
             pending.clear()
 
         def close() -> None:
@@ -325,10 +399,10 @@ def merged(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
     """Chunks with short heading chunks attached to the chunk they introduce or follow, and numbered."""
     df = chunks.select("source_file", *PLACE, "chunk_type", "block_types", narrative("text").alias("p"))
     df = df.withColumns({"low": without_colons(F.lower("p")), "soft_end": sentence_end(F.col("p"), False), "hard_end": sentence_end(F.col("p"), True)})
-    heads = (F.size("block_types") > 0) & (F.size(F.array_except("block_types", F.array(*map(F.lit, HEADING_TYPES)))) == 0)
+    heads = (F.size("block_types") > 0) & (F.size(F.array_except("block_types", F.array(*map(F.lit, config.heading_types)))) == 0)
     introduces = F.col("p").endswith(":") | reduce(lambda a, b: a | b, (F.col("low").startswith(x) for x in _INTRODUCERS))
     short = (F.col("chunk_type") == "section") & heads & (F.col("p") != "") & (F.length("p") < config.min_section_chars)
-    sized = df.select("source_file", *PLACE, short.alias("short"), introduces.alias("introduces"), F.length("p").alias("chars"), word_pieces(F.col("p")).alias("pieces"), (F.length("soft_end") - F.length("p")).alias("soft"), (F.length("hard_end") - F.length("p")).alias("hard"))
+    sized = df.select("source_file", *PLACE, short.alias("short"), introduces.alias("introduces"), *([F.col("p").alias("text")] if config.tokenizer else []), F.length("p").alias("chars"), word_pieces(F.col("p")).alias("pieces"), (F.length("soft_end") - F.length("p")).alias("soft"), (F.length("hard_end") - F.length("p")).alias("hard"))
     ordered = runs(written(sized, "sizes")).repartition("source_file", "run").sortWithinPartitions("source_file", "run", *PLACE)
     places = written(ordered.mapInPandas(_attach(config), "source_file string, run bigint, section_id bigint, part bigint, kind int, group int, target int, role int"), "places")
     chunks = chunks.join(places, ["source_file", *PLACE]).withColumn("seq", F.struct(*PLACE)).drop(*PLACE)
@@ -360,5 +434,5 @@ def chunk(blocks: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     """The chunks of all files' blocks. Empty and null texts give nothing; a null source_file is the file ""; the latest row
     of a repeated block counts; further columns are ignored."""
     c = config or ChunkConfig()
-    sectioned = written(sections(prepared(blocks)), "sections")
+    sectioned = written(sections(prepared(blocks), c.heading_types, c.table_types), "sections")
     return merged(written(chunk_rows(sectioned, c), "chunks"), c)

@@ -41,7 +41,7 @@ def inferred_heading(block_type: Column, text: Column) -> Column:
     return t.endswith(":") & ~F.coalesce(block_type, F.lit("")).isin(*NEVER_HEADING) & (F.length(t) <= 120) & (word_count(t) <= 12)
 
 
-def sections(blocks: DataFrame) -> DataFrame:
+def sections(blocks: DataFrame, heading_types: tuple[str, ...] = HEADING_TYPES, table_types: tuple[str, ...] = TABLE_TYPES) -> DataFrame:
     """Prepared blocks with is_heading, is_table, path (carried forward), section_id (from 1), part (the tables before the
     block in its section, itself included) and heading (its section's heading block, null for none).
 
@@ -49,7 +49,7 @@ def sections(blocks: DataFrame) -> DataFrame:
     file of any length is no single task: within ranges of SPAN orders, and over the ranges, of which a file has few."""
     colon = inferred_heading(F.col("block_type"), F.col("text"))
     df = blocks.withColumn("block_type", F.when(colon, "heading").otherwise(F.col("block_type")))
-    df = df.withColumns({"is_heading": F.coalesce(F.col("block_type").isin(*HEADING_TYPES), F.lit(False)), "is_table": F.coalesce(F.col("block_type").isin(*TABLE_TYPES), F.lit(False)), "_range": F.floor(F.col("order") / SPAN)})
+    df = df.withColumns({"is_heading": F.coalesce(F.col("block_type").isin(*heading_types), F.lit(False)), "is_table": F.coalesce(F.col("block_type").isin(*table_types), F.lit(False)), "_range": F.floor(F.col("order") / SPAN)})
     df = written(df.withColumn("_own", F.when(F.size("path") > 0, F.col("path")).when(F.col("is_heading"), F.array("text"))), "prepared")
     keys, place = ["source_file", "_range"], F.struct("order", "block_id")
     inside = Window.partitionBy(*keys).orderBy("order", "block_id")

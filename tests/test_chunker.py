@@ -70,6 +70,26 @@ def test_overlap_repeats_a_sentence(spark):
     assert any(s in got[0].text and s in got[1].text for s in ("Epsilon zeta", "Iota kappa"))
 
 
+def test_tokenizer_counts_rendered_texts(spark):
+    """A tokenizer whose tokens are words, and two marks around them."""
+    count = lambda text: len(text.split()) + 2
+    load = lambda: count
+    words = ("alpha beta gamma", "delta eps zeta", "eta theta iota", "kappa lam mu", "nu xi om", "pi rho sig")
+    body = " ".join(f"{w.capitalize()}." for w in words)
+    got = run(spark, [("h", "heading", "Greek", ["Greek"]), ("p", "paragraph", body, ["Greek"])], max_tokens=12, overlap_tokens=5, tokenizer=load)
+    assert len(got) > 1 and all(count(r.text) <= 12 and r.heading == "Greek" for r in got)
+    assert all(a.text.split(". ")[-1].rstrip(".") in b.text for a, b in zip(got, got[1:]))
+    long = "supercalifragilistic " * 30  # many estimated tokens, few words
+    assert len(run(spark, [("p", "paragraph", long.strip(), [])], max_tokens=40, overlap_tokens=0, tokenizer=load)) == 1
+    assert len(run(spark, [("p", "paragraph", " ".join(["It is long."] * 60), [])], max_tokens=40, overlap_tokens=0)) > 1
+
+
+def test_types_are_parameters(spark):
+    rows = [("a", "caption", "Lead", ["A"]), ("b", "paragraph", "Body of it.", ["A"]), ("c", "grid", "x | y", ["A"])]
+    got = run(spark, rows, heading_types=("caption",), table_types=("grid",))
+    assert [(r.chunk_type, r.heading) for r in got] == [("section", "Lead"), ("table", "Lead")]
+
+
 def test_two_files_stay_apart_and_repeats_count_once(spark):
     one = blocks(spark, [("h", "heading", "A", ["A"]), ("p", "paragraph", "Body text.", ["A"])])
     two = blocks(spark, [("h2", "heading", "A", ["A"]), ("p2", "paragraph", "Body text.", ["A"])], "b.docx")

@@ -11,6 +11,7 @@ from leafmill.operators.store import opened
 from leafmill.plans import pipeline
 from leafmill.session import ship
 from leafmill.sources.stages import read_stage
+from leafmill.tables import discard
 
 
 def main(args: list[str] | None = None) -> None:
@@ -38,11 +39,13 @@ def main(args: list[str] | None = None) -> None:
     ship(spark)
     if o.command == "build":
         print(pipeline.build(spark, o.folder, o.work, ChunkConfig(o.max_chars, o.max_tokens, o.overlap_tokens), permissive=o.permissive, reset=o.reset))
+        discard(spark)
     elif o.command == "ask":
         found = pipeline.results(pipeline.retrieve(opened(spark, o.store or f"{o.work}/store"), pipeline.questions(spark, [o.question]), o.top_k, o.candidate_k)).orderBy("place")
         shown = {"debug": found, "compact": found.drop("text", "reasons", "rerank_delta", "query_id"), "text": found.select("text")}[o.mode]
         for line in shown.toJSON().toLocalIterator():
             print(line)
+        discard(spark)
     else:
         read_stage(spark, f"{o.work}/blocks").groupBy("doc_type", "block_type").count().orderBy("doc_type", "block_type").show(100, False)
         read_stage(spark, f"{o.work}/chunks").groupBy("doc_type", "chunk_type").count().orderBy("doc_type", "chunk_type").show(100, False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,6 +42,14 @@ def prompts(queries: DataFrame, cited: DataFrame) -> DataFrame:
     )
 
 
+def answer_stream(prompt: str, has_context: bool, generate: Callable[[str], Iterable[str]]) -> Iterator[str]:
+    """The parts of one answer as the text generator gives them; without context only a refusal."""
+    if not has_context:
+        yield REFUSAL
+        return
+    yield from filter(None, generate(prompt))
+
+
 def answers(prompted: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
     """query_id and answer from a text generator that `load` opens once per task. Without context the answer is a refusal,
     and an empty reply is an error."""

@@ -60,23 +60,33 @@ def hashing_encoder(dimension: int = 64) -> Encoder:
     return encode
 
 
-def encoder_udf(load: Callable[[], Encoder], batch: int = 32) -> Callable[[Column | str], Column]:
-    """A Column function that embeds texts. `load` runs once for each Python worker and gives the model's function."""
+def encoder_udf(load: Callable[[], Encoder], batch: int = 32, role: str = "document", normalise: bool = True) -> Callable[[Column | str], Column]:
+    """A Column function that embeds texts. `load` runs once for each Python worker and gives the model: a function, or an
+    object with functions encode_document and encode_query where it encodes questions in another way (role "query").
+    With `normalise`, vectors are given length 1 (zero vectors stay)."""
+    if role not in ("document", "query"):
+        raise ValueError(f"no such role: {role}")
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load()
+        model = load()
+        encode = getattr(model, f"encode_{role}", model)
         for s in batches:
             texts = s.fillna("").tolist()
-            rows = [r for start in range(0, len(texts), batch) for r in encode(texts[start : start + batch]).astype(np.float32)]
+            rows = []
+            for start in range(0, len(texts), batch):
+                x = np.asarray(encode(texts[start : start + batch]), np.float64)
+                if normalise and not np.allclose(n := np.sqrt((x * x).sum(1, keepdims=True)), 1, atol=1e-12):
+                    x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+                rows += list(x.astype(np.float32))
             yield pd.Series(rows, index=s.index, dtype=object)
 
     return embed
 
 
-def embedded(chunks: DataFrame, load: Callable[[], Encoder] = hashing_encoder) -> DataFrame:
+def embedded(chunks: DataFrame, load: Callable[[], Encoder] = hashing_encoder, normalise: bool = True) -> DataFrame:
     """Chunks with retrieval_text and embedding. Null texts count as empty."""
-    return chunks.withColumn("retrieval_text", retrieval_text()).withColumn("embedding", encoder_udf(load)("retrieval_text"))
+    return chunks.withColumn("retrieval_text", retrieval_text()).withColumn("embedding", encoder_udf(load, normalise=normalise)("retrieval_text"))
 
 
 def run_summary(records: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def build(spark: SparkSession, folder: str, work: str, config: ChunkConfig | Non
 
 def questions(spark: SparkSession, texts: list[str], load: Callable[[], Encoder] = hashing_encoder) -> DataFrame:
     """query_id (from 1), query and vector of a few questions."""
-    return spark.createDataFrame(list(enumerate(texts, 1)), "query_id int, query string").withColumn("v", encoder_udf(load)("query"))
+    return spark.createDataFrame(list(enumerate(texts, 1)), "query_id int, query string").withColumn("v", encoder_udf(load, role="query")("query"))
 
 
 def retrieve(store: DataFrame, asked: DataFrame, k: int = 5, candidates: int = 25, config: rerank.RerankConfig | None = None) -> DataFrame:

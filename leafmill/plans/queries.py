@@ -248,7 +248,7 @@ def vector_topk_batch(s: SparkSession, d: str) -> DataFrame:
 def _questions(s: SparkSession, d: str) -> DataFrame:
     """query_id, query and vector of every hundredth citation. One without words has no vector, and so no result."""
     c = table(s, d, "citations").filter("citation_id % 100 = 0").select(F.col("citation_id").alias("query_id"), F.col("text").alias("query")).dropDuplicates(["query_id"])
-    return written(c.withColumn("v", encode.encoder_udf(encode.hashing_encoder)("query")).filter(F.exists("v", lambda x: x != 0)), "questions")
+    return written(c.withColumn("v", encode.encoder_udf(encode.hashing_encoder, role="query")("query")).filter(F.exists("v", lambda x: x != 0)), "questions")
 
 
 def _candidates(s: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from leafmill.tables import handover_dir
+from leafmill.tables import handed_over
 
 _shipped: set[str] = set()
 
@@ -18,9 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).parent
-    target = handover_dir(spark) / "leafmill.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
-    sc.addPyFile(str(target))
+    sc.addPyFile(handed_over(spark, "leafmill.zip", data.getvalue()))
     _shipped.add(sc.applicationId)

@@ -184,6 +184,10 @@ def pdf(content: bytes) -> Iterator[dict]:
             text = page.extract_text() or ""
         except Exception as e:  # a broken page doesn't end the file
             text, facts["extraction_error"] = "", str(e)
+        try:
+            facts |= {"width_points": round(float(page.mediabox.width), 2), "height_points": round(float(page.mediabox.height), 2), "rotation": int(page.rotation or 0)}
+        except Exception:
+            pass  # a page without a box has no dimensions
         try:
             facts["image_count"] = len(page.images)
         except Exception:

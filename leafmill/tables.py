@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def handover_dir(spark: SparkSession) -> Path:
-    """A folder of the driver for a file that Spark then sends to the executors: in the shared folder where that is
-    mounted, else (an object store, or HDFS) the driver's own temporary folder, which no executor reads."""
-    shared = shared_dir(spark)
-    local = shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else None
-    if local:
-        Path(local).mkdir(parents=True, exist_ok=True)
-    return Path(tempfile.mkdtemp(prefix="spark-", dir=local))
+def handed_over(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file of the driver in a folder of its own below the shared folder, of whatever file system that is: its path, to be
+    sent to the executors by Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path.toString()
+
+
+_written: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +50,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes the tables that were written between the steps so far. Results that were not yet computed can't be any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stripped(c: Column | str) -> Column:
     """`c` without white space (Unicode) at both ends."""
     return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")

@@ -157,6 +157,27 @@ def test_encoding(spark):
     assert encode.embedded(c.withColumn("text", F.lit(None).cast("string"))).first().retrieval_text.endswith("Content:")
 
 
+def test_encoders_of_two_roles(spark):
+    def load():
+        class Model:
+            def encode_document(self, texts):
+                return np.array([[3.0, 4.0]] * len(texts))
+
+            def encode_query(self, texts):
+                return np.array([[0.0, 2.0]] * len(texts))
+
+        return Model()
+
+    df = spark.createDataFrame([("x",)], "t string")
+    both = df.select(encode.encoder_udf(load)("t").alias("d"), encode.encoder_udf(load, role="query")("t").alias("q"), encode.encoder_udf(load, normalise=False)("t").alias("raw")).first()
+    assert [round(x, 6) for x in both.d] == [0.6, 0.8] and list(both.q) == [0.0, 1.0] and list(both.raw) == [3.0, 4.0]
+
+
+def test_answer_stream():
+    assert list(answer.answer_stream("p", True, lambda p: ["a", "", "b"])) == ["a", "b"]
+    assert list(answer.answer_stream("p", False, lambda p: ["a"])) == [answer.REFUSAL]
+
+
 def test_text_functions(spark):
     row = lambda **kw: spark.createDataFrame([tuple(kw.values())], ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in kw.items()))
     val = lambda df, c: df.select(c).first()[0]

@@ -9,6 +9,7 @@ are merged exactly by the vocabulary's ranks."""
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import Vocabulary, default_path, distinct_pieces, split, texts_of
-from leafmill.tables import handover_dir, once_per_key
+from leafmill.tables import handed_over, once_per_key
 
 LEXICON = 65_536
 MOST_CACHED = 400_000
@@ -163,8 +164,7 @@ def encode(documents: DataFrame, path: str | None = None, lexicon_size: int = LE
     vocabulary = Vocabulary(path or default_path())
     sc = documents.sparkSession.sparkContext
     texts = once_per_key(documents.select("doc_id", "text"), "doc_id")
-    folder = handover_dir(documents.sparkSession)
-    file = f"lexicon-{uuid.uuid4().hex}.npy"
-    np.save(folder / file, build_lexicon(texts, vocabulary, lexicon_size))
-    sc.addFile(str(folder / file))
+    file, data = f"lexicon-{uuid.uuid4().hex}.npy", io.BytesIO()
+    np.save(data, build_lexicon(texts, vocabulary, lexicon_size))
+    sc.addFile(handed_over(documents.sparkSession, file, data.getvalue()))
     return texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(_encode(file, sc.broadcast(vocabulary)), "id bigint, ids array<int>").withColumnRenamed("id", "doc_id")

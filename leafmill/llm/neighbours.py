@@ -244,6 +244,26 @@ def _keep_best(best: tuple[np.ndarray, np.ndarray], rows: np.ndarray, p: np.ndar
     scores[rows], entries[rows] = np.take_along_axis(both, at, 1), np.take_along_axis(names, at, 1)
 
 
+def _by_number(cells: list[bytes], held: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each cell that is held, the queries that visit it. cells: of each query the numbers of those it visits."""
+    cell = np.frombuffer(b"".join(cells), np.uint16).astype(np.int32)
+    row = np.repeat(np.arange(len(cells)), np.fromiter(map(len, cells), np.int64, len(cells)) // 2)
+    by = np.argsort(cell, kind="stable")
+    cell, row = cell[by], row[by]
+    for j in np.intersect1d(cell, held).tolist():
+        yield j, row[slice(*np.searchsorted(cell, [j, j + 1]))]
+
+
+def _by_bits(cells: list[bytes], held: np.ndarray, block: int = 16_384) -> Iterator[tuple[int, np.ndarray]]:
+    """The same, where the cells are bits, for a block of queries at a time."""
+    for start in range(0, len(cells), block):
+        part = cells[start : start + block]
+        bits = np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), -1), axis=1)
+        for j in held.tolist():
+            if len(rows := np.flatnonzero(bits[:, j])):
+                yield j, rows + start
+
+
 def _rerank(k: int, least: float, dimension: int, wide: bool):  # noqa: ANN202
     def run(base: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
@@ -256,21 +276,10 @@ def _rerank(k: int, least: float, dimension: int, wide: bool):  # noqa: ANN202
         y, qs = unit(queries.column("v").combine_chunks(), dimension), queries.column("vid").to_numpy()
         x32, y32 = x.astype(np.float32), y.astype(np.float32)
         cells = queries.column("cells").to_pylist()
-        if wide:
-            bits = np.unpackbits(np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1), axis=1)
-            cell, row = np.nonzero(bits[:, : js[-1] + 1].T)
-        else:
-            cell = np.frombuffer(b"".join(cells), np.uint16).astype(np.int32)
-            row = np.repeat(np.arange(len(cells)), np.fromiter(map(len, cells), np.int64, len(cells)) // 2)
-            by = np.argsort(cell, kind="stable")
-            cell, row = cell[by], row[by]
         held = k + 4  # itself, and some that float32 may misplace
         best = np.full((len(qs), held), max(-2.0, least - 1e-4), np.float32), np.full((len(qs), held), -1, np.int32)
-        for j in np.unique(cell):
+        for j, all_rows in (_by_bits if wide else _by_number)(cells, np.unique(js)):
             a, b = np.searchsorted(js, [j, j + 1])
-            if a == b:
-                continue
-            all_rows = row[slice(*np.searchsorted(cell, [j, j + 1]))]
             for s in range(0, len(all_rows), 4096):
                 rows = all_rows[s : s + 4096]
                 for t in range(a, b, 2048):

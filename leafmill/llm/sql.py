@@ -37,4 +37,22 @@ dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM
 ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM iw WHERE len(w) >= 12)),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM dw WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (run)""",
+    "p8_passages": r"""WITH iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+ig AS (SELECT item_id, p, array_to_string(w[p:p + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM iw WHERE len(w) >= 12)),
+dg AS (SELECT doc_id, p, array_to_string(w[p:p + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM dw WHERE len(w) >= 12)),
+hits AS (SELECT doc_id, item_id, dg.p AS at_, dg.p - ig.p AS shift FROM dg JOIN ig USING (run)),
+islands AS (SELECT *, at_ - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY at_) AS island FROM hits),
+lengths AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM islands GROUP BY doc_id, item_id, shift, island)
+SELECT item_id, count(DISTINCT doc_id) AS n_documents, CAST(max(n) AS INT) AS longest_run FROM lengths GROUP BY 1""",
+    "p6_groups": r"""WITH RECURSIVE records AS (SELECT DISTINCT 'block' AS kind, block_id AS id, text FROM blocks WHERE block_id IS NOT NULL UNION SELECT DISTINCT 'chunk', chunk_id, retrieval_text FROM chunk_records WHERE chunk_id IS NOT NULL),
+worded AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM records),
+each AS (SELECT DISTINCT kind, id, array_to_string(w[p:p + 4], ' ') AS shingle FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS p FROM worded WHERE len(w) >= 5)),
+sized AS (SELECT kind, id, count(*) AS n FROM each GROUP BY ALL),
+shared AS (SELECT a.kind, a.id AS a, b.id AS b, count(*) AS s FROM each a JOIN each b ON a.kind = b.kind AND a.shingle = b.shingle AND a.id <> b.id GROUP BY ALL),
+short AS (SELECT kind, id, CASE WHEN len(w) = 0 THEN 'text ' || text ELSE 'words ' || array_to_string(w, ' ') END AS key FROM worded WHERE text IS NOT NULL AND len(w) < 5),
+links AS MATERIALIZED (SELECT s.kind, a, b FROM shared s JOIN sized x ON x.kind = s.kind AND x.id = a JOIN sized y ON y.kind = s.kind AND y.id = b WHERE s * 10 >= 8 * (x.n + y.n - s)
+  UNION ALL SELECT x.kind, x.id, y.id FROM short x JOIN short y ON x.kind = y.kind AND x.key = y.key AND x.id <> y.id),
+reach(kind, id, other) AS (SELECT kind, id, id FROM records UNION SELECT r.kind, r.id, l.b FROM reach r JOIN links l ON l.kind = r.kind AND l.a = r.other)
+SELECT g.kind, g.id, g.group_id, coalesce(n, 0) AS n_links FROM (SELECT kind, id, min(other) AS group_id FROM reach GROUP BY 1, 2) g LEFT JOIN (SELECT kind, a, count(*) AS n FROM links GROUP BY 1, 2) c ON c.kind = g.kind AND c.a = g.id""",
 }

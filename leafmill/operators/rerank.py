@@ -98,20 +98,21 @@ def rerank(found: DataFrame, config: RerankConfig | None = None) -> DataFrame:
         "_file": F.lower(narrative(F.coalesce(F.nullif("file_name", F.lit("")), e("source_file")))),
     })
     df = df.withColumn("_all", F.array_join(F.filter(F.array(low, "_file", "_text"), lambda x: x != ""), " "))
-    q, title, text, all_ = (F.col(x) for x in ("_q", "title", "_text", "_all"))
+    df = df.withColumns({"_title_tokens": tokens(low), "_text_tokens": tokens("_text")})
+    q, title, text, all_, title_tokens, text_tokens = (F.col(x) for x in ("_q", "title", "_text", "_all", "_title_tokens", "_text_tokens"))
     admin = F.arrays_overlap(q, F.array(*map(F.lit, c.admin_terms)))
     types = F.transform(F.coalesce("block_types", F.array().cast("array<string>")), lambda x: F.lower(x))
     bad_title = low.isin(*c.boilerplate_titles) | reduce(lambda a, b: a | b, (low.startswith(p) for p in c.boilerplate_title_starts))
-    broad = (F.length(text) > 500) & (F.size(tokens(text)) > 90) & ~_any_in(low, c.scope_phrases) & ~F.coalesce(F.arrays_overlap(types, F.array(F.lit("table"), F.lit("row"))), F.lit(False)) & _any_in(text, c.boilerplate_phrases)
+    broad = (F.length(text) > 500) & (F.size(text_tokens) > 90) & ~_any_in(low, c.scope_phrases) & ~F.coalesce(F.arrays_overlap(types, F.array(F.lit("table"), F.lit("row"))), F.lit(False)) & _any_in(text, c.boilerplate_phrases)
     amounts = {
         "scope_section": scope_boost(q, title, c),
-        "title_overlap": c.title_overlap * overlap(q, tokens(low)),
+        "title_overlap": c.title_overlap * overlap(q, title_tokens),
         "file_overlap": c.file_overlap * overlap(q, tokens("_file")),
-        "text_overlap": c.text_overlap * overlap(q, tokens(text)),
+        "text_overlap": c.text_overlap * overlap(q, text_tokens),
         "phrase_overlap": c.phrase_overlap * phrase_share(q, all_),
         "exact_query": F.when(F.contains(all_, F.col("_qt")), c.exact_query).otherwise(0.0),
         "heading_body": F.when((title != "") & (F.length(text) > F.greatest(F.lit(120), F.length(title) + 40)), c.heading_body).otherwise(0.0),
-        "adjacent_section": F.when(F.col("_adjacent") & (overlap(q, tokens(low)) >= 0.25), c.adjacent_section).otherwise(0.0),
+        "adjacent_section": F.when(F.col("_adjacent") & (overlap(q, title_tokens) >= 0.25), c.adjacent_section).otherwise(0.0),
         "tiny_chunk": F.when((F.length(text) < 80) & (F.coalesce("source_block_count", F.lit(1)) <= 1), -c.tiny_chunk).otherwise(0.0),
         "boilerplate": F.when(_any_in(all_, c.boilerplate_phrases) & ~admin, -c.boilerplate).otherwise(0.0),
         "broad_boilerplate": F.when((bad_title | broad) & ~admin, -c.broad_boilerplate).otherwise(0.0),
@@ -121,7 +122,7 @@ def rerank(found: DataFrame, config: RerankConfig | None = None) -> DataFrame:
     signals = F.filter(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("amount")) for n in c.signals)), lambda s: s["amount"] != 0)
     delta = reduce(lambda a, b: a + b, (F.col(f"_{n}") for n in c.signals))
     df = df.withColumns({"signals": signals, "rerank_delta": delta, "final_score": F.col("raw_score") + delta})
-    return df.drop("_adjacent", "_qt", "_q", "_text", "_file", "_all", *(f"_{n}" for n in c.signals))
+    return df.drop("_adjacent", "_qt", "_q", "_text", "_file", "_all", "_title_tokens", "_text_tokens", *(f"_{n}" for n in c.signals))
 
 
 def reasons(signals: Column | str) -> Column:

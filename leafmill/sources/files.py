@@ -6,7 +6,6 @@ import posixpath
 import re
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,7 +27,7 @@ BLOCK = ["block_id", "source_file", "source_path", "doc_type", "block_type", "or
 
 def relative(path: Column, folder: str) -> Column:
     """The part of a path below the folder; the whole path where the folder isn't in it (as of a pattern)."""
-    base = posixpath.normpath(urlparse(folder).path).lstrip(".").rstrip("/") + "/"
+    base = posixpath.normpath(re.sub(r"\A[a-z0-9+.-]+:(//[^/]*)?(?=/)", "", folder)).removeprefix(".").rstrip("/") + "/"
     return F.when(path.contains(base), F.substring_index(F.regexp_replace(path, F.lit(f"\\A.*?{re.escape(base)}"), F.lit("\n")), "\n", -1)).otherwise(path)
 
 

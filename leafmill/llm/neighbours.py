@@ -393,7 +393,7 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, candidate
     )
 
 
-def found_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85, candidates: int = 500, dimension: int = 64, recall: float = 0.95) -> DataFrame:
+def found_pairs(vectors: DataFrame, k: int = 10, least: float = 0.85, candidates: int = 500, dimension: int = 64, recall: float = 0.975) -> DataFrame:
     """Pairs of ids of which one is among the k most similar of the other, of at least the similarity: chunk_id_a,
     chunk_id_b (first smaller). `recall` is that of one side; a pair is found from both."""
     near = most_similar(vectors, k, least, candidates, dimension, recall)

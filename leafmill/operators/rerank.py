@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import narrative, retrieved_text, tokens, without_colons
+from leafmill.functions.text import let, narrative, retrieved_text, tokens, without_colons
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def phrase_share(query: Column, text: Column) -> Column:
         return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(query, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
     phrases = F.concat(runs(3), runs(2))
-    return F.when(n < 2, 0.0).otherwise(F.size(F.filter(phrases, lambda p: F.contains(joined, p))) / F.size(phrases))
+    return F.when(n < 2, 0.0).otherwise(let(joined, lambda j: F.size(F.filter(phrases, lambda p: F.contains(j, p)))) / F.size(phrases))
 
 
 def _any_in(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -84,10 +84,12 @@ def rerank(found: DataFrame, config: RerankConfig | None = None) -> DataFrame:
 
     found: query_id, query, position (order of the candidates of a query), raw_score, and the chunk's section_title,
     heading, section_key, file_name, source_file, text, block_types and source_block_count. Adjacency is that of the
-    candidates' positions. A query without tokens changes nothing. Null texts and names count as empty."""
+    candidates' positions. A query without tokens changes nothing. Null texts and names count as empty. The candidates are
+    few bytes and much work, so they are spread over as many tasks as shuffles have."""
     c = config or RerankConfig()
     e = lambda x: F.coalesce(F.nullif(F.col(x), F.lit("")), F.lit(""))
-    df = found.withColumn("title", section_title_of(F.col("section_title"), F.col("heading"), F.col("section_key")))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = found.repartition(parts, "query_id").withColumn("title", section_title_of(F.col("section_title"), F.col("heading"), F.col("section_key")))
     w = Window.partitionBy("query_id").orderBy("position")
     low = F.lower("title")
     df = df.withColumns({

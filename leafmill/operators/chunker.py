@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import IMAGE, SOFT_TERMINAL, TERMINAL, clean_text, heading_like, narrative, sentence_end, starts_with_heading, token_estimate, with_heading, without_colons, word_pieces
 from leafmill.operators.sections import HEADING_TYPES, TABLE_TYPES, prepared, sections
-from leafmill.tables import written
+from leafmill.tables import as_many, written
 
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _CUTS = {"paragraph": re.compile(r"\n{2,}"), "line": re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), "sentence": re.compile(r"(?<=[.!?])\s+"), "word": re.compile(r"\s+")}
@@ -262,7 +262,7 @@ def packed(segs: DataFrame, config: ChunkConfig) -> DataFrame:
         F.when(whole == "", 0).when(like, word_pieces(short) + 1).otherwise(word_pieces(whole)).alias("lead_pieces"),
     )
     keys = ["source_file", "section_id", "part"]
-    sorted_ = sized.repartition(*keys).sortWithinPartitions(*keys, "order", "block_id", "seg")
+    sorted_ = sized.repartition(as_many(sized), *keys).sortWithinPartitions(*keys, "order", "block_id", "seg")
     return sorted_.mapInPandas((_pack_texts if config.tokenizer else _pack)(config), "source_file string, section_id bigint, part bigint, group int, pos int, order int, block_id string, seg int")
 
 
@@ -403,7 +403,7 @@ def merged(chunks: DataFrame, config: ChunkConfig) -> DataFrame:
     introduces = F.col("p").endswith(":") | reduce(lambda a, b: a | b, (F.col("low").startswith(x) for x in _INTRODUCERS))
     short = (F.col("chunk_type") == "section") & heads & (F.col("p") != "") & (F.length("p") < config.min_section_chars)
     sized = df.select("source_file", *PLACE, short.alias("short"), introduces.alias("introduces"), *([F.col("p").alias("text")] if config.tokenizer else []), F.length("p").alias("chars"), word_pieces(F.col("p")).alias("pieces"), (F.length("soft_end") - F.length("p")).alias("soft"), (F.length("hard_end") - F.length("p")).alias("hard"))
-    ordered = runs(written(sized, "sizes")).repartition("source_file", "run").sortWithinPartitions("source_file", "run", *PLACE)
+    ordered = runs(written(sized, "sizes")).repartition(as_many(chunks), "source_file", "run").sortWithinPartitions("source_file", "run", *PLACE)
     places = written(ordered.mapInPandas(_attach(config), "source_file string, run bigint, section_id bigint, part bigint, kind int, group int, target int, role int"), "places")
     chunks = chunks.join(places, ["source_file", *PLACE]).withColumn("seq", F.struct(*PLACE)).drop(*PLACE)
     df = chunks.withColumn("section_title", section_title(F.col("heading"), F.col("section_path")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import let, narrative, retrieved_text, tokens, without_colons
+from leafmill.tables import as_many
 
 
 @dataclass(frozen=True)
@@ -88,8 +89,7 @@ def rerank(found: DataFrame, config: RerankConfig | None = None) -> DataFrame:
     few bytes and much work, so they are spread over as many tasks as shuffles have."""
     c = config or RerankConfig()
     e = lambda x: F.coalesce(F.nullif(F.col(x), F.lit("")), F.lit(""))
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = found.repartition(parts, "query_id").withColumn("title", section_title_of(F.col("section_title"), F.col("heading"), F.col("section_key")))
+    df = found.repartition(as_many(found), "query_id").withColumn("title", section_title_of(F.col("section_title"), F.col("heading"), F.col("section_key")))
     w = Window.partitionBy("query_id").orderBy("position")
     low = F.lower("title")
     df = df.withColumns({

@@ -61,6 +61,11 @@ def discard(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def as_many(df: DataFrame) -> int:
+    """The number of tasks that shuffles have, for rows that are few bytes but much work, which would else be put together in few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stripped(c: Column | str) -> Column:
     """`c` without white space (Unicode) at both ends."""
     return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
